@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremolo.llm import decontaminate, mixing, sharding, tokens
+from tremolo.llm import decontaminate, exact, language, mixing, sharding, tokens
 from tremolo.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -17,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -40,5 +48,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.shard_sql(SHARD_BYTES),
         "op7_mixing": mixing.mix_sql(),
+        "op8_exact_dedup": exact.deduplicate_sql(),
         "op9_decontamination": decontaminate.report_sql(),
     }
