@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremolo.llm import decontaminate, exact, language, mixing, sharding, tokens
+from tremolo.llm import decontaminate, exact, language, mixing, near, sharding, tokens
 from tremolo.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -27,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.shard_sql(SHARD_BYTES),
+        "op6_near_dedup": near.deduplicate_sql(),
         "op7_mixing": mixing.mix_sql(),
         "op8_exact_dedup": exact.deduplicate_sql(),
         "op9_decontamination": decontaminate.report_sql(),
