@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremolo.llm import decontaminate, exact, language, mixing, near, sharding, tokens
+from tremolo.llm import decontaminate, exact, language, licenses, mixing, near, sharding, tokens, toxicity
 from tremolo.llm.common import table
 
 #: Bytes of text that a shard holds at most.
 SHARD_BYTES = 16 << 20
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -44,6 +48,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -55,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.mix_sql(),
         "op8_exact_dedup": exact.deduplicate_sql(),
         "op9_decontamination": decontaminate.report_sql(),
+        "op10_license_scan": licenses.scan_sql(),
     }
