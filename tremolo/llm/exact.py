@@ -20,7 +20,9 @@ from tremolo.llm.sharding import BITS, directory
 #: Bytes of text that an owner's bucket holds at most (a single larger text apart), and that a task holds before it
 #: hands on what it has combined.
 BUCKET_BYTES = 8 << 20
-HELD_BYTES = 32 << 20
+HELD_BYTES = 8 << 20
+#: Rows of a batch that become Python objects at once.
+ROWS = 256
 
 
 def normalised() -> Column:
@@ -38,18 +40,27 @@ def _smaller(a, b):
     return b if a is None else a if b is None else min(a, b)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            part = batch.slice(a, ROWS)
+            yield list(zip(*[part.column(n).to_pylist() for n in names], strict=True))
+
+
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows h, sha, body, doc_id, n: those with equal bytes become one, with the smallest id and the sum of n."""
+    """Rows h, sha, body, doc_id, n: those with equal bytes become one, with the smallest id and the sum of n.
+
+    When more than HELD_BYTES are held, texts that came once go out first; those that came again stay, up to half of
+    that size, so that a text with very many copies leaves the task about once."""
     held: dict[int, list[list]] = {}
-    size, names = 0, None
+    size = 0
 
-    def out() -> pa.RecordBatch:
-        rows = [(h, *entry) for h, chain in held.items() for entry in chain]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=names.field(i).type) for i in range(5)], schema=names)
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=["h", "sha", "body", "doc_id", "n"])
 
-    for batch in batches:
-        names = batch.schema
-        for h, sha, body, doc, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+    for rows in sliced(batches, "h", "sha", "body", "doc_id", "n"):
+        for h, sha, body, doc, n in rows:
             chain = held.setdefault(h, [])
             for entry in chain:
                 if entry[1] == body:
@@ -59,10 +70,17 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chain.append([sha, body, doc, n])
                 size += len(body)
         if size > HELD_BYTES:
-            yield out()
-            held, size = {}, 0
-    if held:
-        yield out()
+            gone, stay, size = [], {}, 0
+            for h, chain in held.items():
+                for entry in chain:
+                    if entry[3] > 1 and size + len(entry[1]) <= HELD_BYTES // 2:
+                        stay.setdefault(h, []).append(entry)
+                        size += len(entry[1])
+                    else:
+                        gone.append((h, *entry))
+            held = stay
+            yield out(gone)
+    yield out([(h, *entry) for h, chain in held.items() for entry in chain])
 
 
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +97,8 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["h", "link", "sha", "keep_id", "group_size"])
 
-    for batch in batches:
-        for h, sha, body, doc, n in zip(*[batch.column(c).to_pylist() for c in ("h", "sha", "body", "doc_id", "n")], strict=True):
+    for rows in sliced(batches, "h", "sha", "body", "doc_id", "n"):
+        for h, sha, body, doc, n in rows:
             if h != at:
                 close()
                 at, chain = h, []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremolo.llm import decontaminate, exact, language, licenses, mixing, near, sharding, tokens, toxicity
+from tremolo.llm import decontaminate, exact, language, licenses, mixing, near, sharding, substrings, tokens, toxicity
 from tremolo.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), 50)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_sharding": sharding.shard_sql(SHARD_BYTES),
+        "op4_suffix_dedup": substrings.deduplicate_sql(),
         "op6_near_dedup": near.deduplicate_sql(),
         "op7_mixing": mixing.mix_sql(),
         "op8_exact_dedup": exact.deduplicate_sql(),
