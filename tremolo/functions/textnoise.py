@@ -6,8 +6,13 @@ positions of a text tie. A method changes the k eligible positions with the smal
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremolo.functions.parsing import condition_name, severity_rate
 
@@ -40,56 +45,86 @@ def row_hash(key: Column, method: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
 
 
-def _literal_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
-def _eligible(method: str):
-    if method == "keyboard":
-        return lambda c: c.rlike("^[A-Za-z]$")
-    if method == "char_replace":
-        return lambda c: c.rlike(r"^\p{L}$")
-    if method == "ocr":
-        return lambda c: c.isin(*CONFUSIONS)
-    if method == "char_delete":
-        return lambda c: ~c.rlike(r"(?U)^\s$")
-    raise ValueError(f"unknown method {method!r}; known: {METHODS}")
+class Kernel:
+    """One method over numpy arrays of code points. The same draws as draw(); measured 10 times as fast as higher-order
+    functions, which evaluate a lambda for each character."""
 
+    def __init__(self, method: str):
+        if method not in METHODS:
+            raise ValueError(f"unknown method {method!r}; known: {METHODS}")
+        self.method = method
+        chars = [chr(c) if not 0xD800 <= c < 0xE000 else "?" for c in range(0x110000)]
+        if method == "keyboard":
+            able = [c.isascii() and c.isalpha() for c in chars]
+        elif method == "char_replace":
+            able = [unicodedata.category(c)[0] == "L" for c in chars]
+        elif method == "ocr":
+            able = [c in CONFUSIONS for c in chars]
+        else:
+            able = [c.isspace() and c not in "\x1c\x1d\x1e\x1f" for c in chars]
+        self.able = np.array(able) if method != "char_delete" else ~np.array(able)
+
+    @staticmethod
+    def draws(start: int, n: int) -> np.ndarray:
+        x = (np.arange(start, start + n, dtype=np.int64)) % PRIME
+        square = x * x % PRIME
+        return square * square % PRIME * x % PRIME
+
+    def __call__(self, text: str, h: int, rate: float) -> str:
+        n = len(text)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        able = np.flatnonzero(self.able[points])
+        if not len(able):
+            return text
+        k = min(max(1, int(n * rate)), len(able))
+        u = self.draws(h, n)[able]
+        chosen = able if k == len(able) else np.sort(able[np.argpartition(u, k - 1)[:k]])
+        if self.method == "char_delete":
+            keep = np.ones(n, bool)
+            keep[chosen] = False
+            return points[keep].tobytes().decode("utf-32-le", "surrogatepass")
+        if self.method == "ocr":
+            return self._put(text, chosen, [CONFUSIONS[text[i]] for i in chosen.tolist()])
+        at = self.draws(h + n, n)[chosen].tolist()
+        new = []
+        for i, draw_ in zip(chosen.tolist(), at, strict=True):
+            c = text[i]
+            low = c.lower()
+            options = NEIGHBORS[low] if self.method == "keyboard" else LETTERS
+            r = options[draw_ % len(options)]
+            new.append(r.upper() if c != low else r)
+        return self._put(text, chosen, new)
+
+    @staticmethod
+    def _put(text: str, chosen: np.ndarray, new: list[str]) -> str:
+        out = list(text)
+        for i, r in zip(chosen.tolist(), new, strict=True):
+            out[i] = r
+        return "".join(out)
+
+
+#: Kernels of this worker.
+KERNELS: dict[str, Kernel] = {}
+
+
+def _kernel(method: str) -> Kernel:
+    if method not in KERNELS:
+        KERNELS[method] = Kernel(method)
+    return KERNELS[method]
+
+
+@F.pandas_udf(T.StringType())
+def _corrupted(texts: pd.Series, hashes: pd.Series, methods: pd.Series, rates: pd.Series) -> pd.Series:
+    rows = zip(texts, hashes, methods, rates, strict=True)
+    return pd.Series([t if not t else _kernel(m)(t, int(h), float(r)) for t, h, m, r in rows], dtype=object)
 
 
 def corrupt(text: Column, key: Column, method: str, rate: Column, seed: int = 123) -> Column:
     """The text with max(1, floor(length * rate)) eligible characters changed, or as many as there are. Null and texts
     without an eligible character stay as they are."""
-    eligible = _eligible(method)
-    chars = F.split(text, "")
-    n = F.length(text)
-    k = F.greatest(F.lit(1), F.floor(n * rate.cast("double")).cast("int"))
-    h = row_hash(key, method, seed)
-    # computed once per row, then carried into the inner lambda: characters, draws of the eligible ones, the threshold
-    draws = F.transform(chars, lambda c, i: F.when(eligible(c), draw(h + i)))
-    base = F.array(F.struct(chars.alias("c"), draws.alias("u"), h.alias("h"), n.alias("n"), k.alias("k")))
-    base = F.transform(base, lambda b: F.struct(b["c"].alias("c"), b["u"].alias("u"), b["h"].alias("h"), b["n"].alias("n"), F.array_sort(F.array_compact(b["u"])).alias("s"), b["k"].alias("k")))
-    base = F.transform(base, lambda b: F.struct(b["c"].alias("c"), b["u"].alias("u"), b["h"].alias("h"), b["n"].alias("n"), F.try_element_at(b["s"], F.least(b["k"], F.size(b["s"]))).alias("thr")))
-
-    def changed(c: Column, at: Column) -> Column:
-        if method == "ocr":
-            return F.element_at(_literal_map(CONFUSIONS), c)
-        low = F.lower(c)
-        if method == "keyboard":
-            options = F.element_at(_literal_map(NEIGHBORS), low)
-        else:
-            options = F.lit(LETTERS)
-        new = options.substr((at % F.length(options) + 1).cast("int"), F.lit(1))
-        return F.when(c != low, F.upper(new)).otherwise(new)
-
-    def build(b: Column) -> Column:
-        hit = lambda u: F.coalesce(u <= b["thr"], F.lit(False))
-        pairs = F.arrays_zip(b["c"], b["u"])
-        if method == "char_delete":
-            return F.array_join(F.transform(F.filter(pairs, lambda p: ~hit(p["u"])), lambda p: p["c"]), "")
-        return F.array_join(F.transform(pairs, lambda p, i: F.when(hit(p["u"]), changed(p["c"], draw(b["h"] + b["n"] + i))).otherwise(p["c"])), "")
-
-    return F.when(n == 0, text).otherwise(F.get(F.transform(base, build), F.lit(0)))
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known: {METHODS}")
+    return _corrupted(text, row_hash(key, method, seed), F.lit(method), rate.cast("double"))
 
 
 def corrupt_all(df: DataFrame, text: str, key: Column, severity: int = 3, seed: int = 123, methods: list[str] | None = None) -> DataFrame:
@@ -100,12 +135,9 @@ def corrupt_all(df: DataFrame, text: str, key: Column, severity: int = 3, seed:
         raise ValueError(f"unknown methods: {unknown}")
     if text not in df.columns:
         raise ValueError(f"no column {text!r}")
-    names = F.array(*[F.lit(m) for m in methods])
-    out = df.withColumn("corruption", F.explode(names))
-    rate = severity_rate(F.lit(severity))
-    new = F.lit(None).cast("string")
-    for m in methods:
-        new = F.when(F.col("corruption") == m, corrupt(F.col(text), key, m, rate, seed)).otherwise(new)
+    each = F.array(*[F.struct(F.lit(m).alias("m"), row_hash(key, m, seed).alias("h")) for m in methods])
+    out = df.withColumn("_draw", F.explode(each))
+    new = _corrupted(F.col(text), F.col("_draw.h"), F.col("_draw.m"), severity_rate(F.lit(severity)).cast("double"))
     level = max(1, min(5, severity))
-    out = out.withColumns({text: new, "modality": F.lit("T"), "severity": F.lit(level)})
+    out = out.withColumns({text: new, "modality": F.lit("T"), "corruption": F.col("_draw.m"), "severity": F.lit(level)}).drop("_draw")
     return out.withColumn("condition", condition_name(F.col("modality"), F.col("corruption"), F.col("severity")))

@@ -25,7 +25,6 @@ SQL: dict[str, str] = {}
 
 LABELS = ["neutral", "positive", "negative"]
 BELOW, HOUR = 15.0, 3_600_000_000
-AZ = "('{}' IN ({}))"
 
 
 def register(name: str, sql: str | None = None):
@@ -519,11 +518,6 @@ def n5(spark, d):
 
 # ---- signals
 
-def _sum_list(expr: str) -> str:
-    """First four samples, the number and the rounded sum of squares of a list: a digest that shows each sample."""
-    return f"len({expr}) AS n, list_transform({expr}, lambda v: round(v, 6)) AS samples"
-
-
 def _signal(column, *more) -> Query:
     def query(spark, d):
         s = V.signals(spark, d)
@@ -620,16 +614,19 @@ def r1(spark, d):
 
 # ---- the flagship
 
-FLAG_SQL = " UNION ALL ".join(
-    [f"SELECT doc_id, '{CLEAN}' AS split, text FROM documents"] + [f"SELECT doc_id, 'T={m}_S=3' AS split, text FROM ({noise_sql(m, 0.2, 'documents')})" for m in N.METHODS]
-)
-FLAG_PRED = f"(SELECT p.split, {TOY.format(t='p.text')} AS prediction, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM ({FLAG_SQL}) p LEFT JOIN labels l ON l.doc_id = p.doc_id)"
+FLAG_TEXTS = " UNION ALL ".join(f"SELECT doc_id, 'T={m}_S=3' AS split, text FROM ({noise_sql(m, 0.2, 'documents')})" for m in N.METHODS)
+FLAG_SQL = f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, '{CLEAN}' AS split, text FROM documents UNION ALL {FLAG_TEXTS}),
+predicted AS MATERIALIZED (
+  SELECT p.split, {TOY.format(t="p.text")} AS prediction,
+         CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS label
+  FROM texts p LEFT JOIN labels l ON l.doc_id = p.doc_id),
+scored AS MATERIALIZED ({SCORES_SQL.format(a1=A1_SQL.format(table="predicted"))})
+SELECT n.split AS condition, n.class, round(n.f1, 9) AS score, round(b.f1, 9) AS baseline, round(n.f1 - b.f1, 9) AS delta
+FROM scored n JOIN scored b ON n.class = b.class AND b.split = '{CLEAN}' WHERE n.split <> '{CLEAN}'"""
 
 
-@register("flagship_text_robustness", f"""
-SELECT n.split AS condition, n.class, round(n.f1, 9) AS score, round(b.f1, 9) AS baseline, round(n.f1 - b.f1, 9) AS delta
-FROM ({SCORES_SQL.format(a1=A1_SQL.format(table=FLAG_PRED))}) n JOIN ({SCORES_SQL.format(a1=A1_SQL.format(table=FLAG_PRED))}) b ON n.class = b.class AND b.split = '{CLEAN}'
-WHERE n.split <> '{CLEAN}'""")
+@register("flagship_text_robustness", FLAG_SQL)
 def flagship(spark, d):
     """Corrupt the texts, predict on clean and corrupted ones, count, score, compare with the clean baseline."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
