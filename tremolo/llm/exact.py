@@ -123,7 +123,9 @@ def groups(docs: DataFrame, entries: DataFrame, bucket_bytes: int) -> DataFrame:
     rows = keyed(docs).select("h", "sha", "body", F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("n"))
     packed = rows.mapInArrow(combine, rows.schema)
     bits = [r["leaf_bits"] for r in index.select("leaf_bits").distinct().orderBy("leaf_bits").collect()]  # one for each round of doubling
-    if len(bits) == 1:
+    if not bits:  # no rows
+        owned = packed.withColumn("shard_id", F.lit("s"))
+    elif len(bits) == 1:
         leaf = F.shiftright("h", BITS - bits[0])
         owned = packed.withColumn("leaf", leaf).join(index.select("leaf", "shard_id"), "leaf", "left")
     else:  # the longest entry that covers the hash
