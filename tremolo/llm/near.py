@@ -7,7 +7,7 @@
 3. A list is not expanded into pairs. In each round every class of a list is paired with the list's leader; candidates
    are filtered by the estimate from the union of the sketches, confirmed by exact Jaccard similarity on the texts'
    full sets, and linked classes become one component. A list that lies in one component is done. What is left after
-   the rounds is paired across components, so that no link between components is lost.
+   the rounds is searched exactly, over whole sets, for links across components, so that none is lost.
 4. Components are smallest ids over links, and come back to the documents through their class.
 """
 
@@ -183,6 +183,35 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         comp = step.select("id", F.col("new").alias("comp"))
 
 
+def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, id2: what can still be linked across components, among the classes of the lists that are left.
+
+    Here the lists are over whole sets, with the bounds of exact similarity joins: in an order from rare shingles to
+    frequent ones, a pair that is similar enough has its first common shingle within the first quarter of both sets,
+    and from there on there must be room for all that they need in common. A class whose rare shingles are its own has
+    no candidates, whatever it shares with a large group."""
+    members = saved(todo.select("id", "comp").distinct(), "members")
+    body = texts.join(members.select(F.col("id").alias("doc_id"), "comp"), "doc_id").select(F.col("doc_id").alias("id"), "comp", "text")
+
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingles(t, width).view(np.int64))
+
+    each = F.pandas_udf(whole, T.ArrayType(T.LongType()))
+    sets = body.select("id", "comp", each("text").alias("s")).select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("token"))
+    often = saved(sets.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    total = members.count()
+    seen = join_unique(sets, often, "token", "often", total)
+    # a set is bounded by its document; shingles that no other member has come before those collected here
+    own = seen.groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("v"))
+    own = own.select("id", "comp", "n", F.size("v").alias("m"), F.posexplode("v").alias("at", "x")).select("id", "comp", "n", (F.col("n") - F.col("m") + F.col("at") + 1).alias("place"), "x.token")
+    own = saved(own.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
+    y = own.select(F.col("token").alias("token2"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    common = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    on = (F.col("token") == F.col("token2")) & (F.col("comp") < F.col("comp2")) & (room >= common) & (F.col("n") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n"))
+    return own.join(y, on).select("id", "id2")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -207,9 +236,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
             pairs = led.filter((F.col("id") != F.col("leader")) & fits)
             other, todo = F.col("leader"), led.drop("leader", "n2")
         else:
-            b = todo.select("value", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = todo.join(b, "value").filter((F.col("comp") < F.col("comp2")) & fits)
-            other = F.col("id2")
+            pairs, other = residual(todo, texts, width, percent), F.col("id2")
         pairs = pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         links = saved(confirm(pairs, classes, texts, width, percent), "links")
@@ -222,7 +249,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
     return comp
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are runs of non-space characters, A-Z lower-cased. A text without words (or null) has no shingles and links
