@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tremolo.functions.parsing import extract_reply
 
+# Fixed value: the prompt that the predictions are made with.
 SYSTEM = (
     "The dataset contains utterances from Friends TV series. "
     "Each utterance in a dialog can be of positive, negative or neutral sentiment. "
