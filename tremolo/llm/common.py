@@ -26,6 +26,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: at most so many rows go to a Python worker at once, for what the session runs from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """True for documents of the hold-out fold: crc32 of the id as text, taken by the modulus. A null id counts as
     the empty text."""

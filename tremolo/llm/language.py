@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import held_out, saved
+from tremolo.llm.common import held_out, small_batches
 
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -182,6 +182,7 @@ def predictor(docs: DataFrame, train: DataFrame, rows: int, chars: int):
             texts.setdefault(lang, []).append(text[: chars - have])
             held[lang] = have + len(text)
     joined = {k: "\n".join(v) for k, v in texts.items()}
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(joined)
     name = str(sorted((k, len(v), v[:64]) for k, v in joined.items()))
 
