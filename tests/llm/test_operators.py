@@ -156,9 +156,10 @@ def substring_brute(pairs, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_substrings(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, filter_bytes", [(100_000, 64 << 20), (2, 64 << 20), (100_000, 0)])
+def test_substrings(spark, monkeypatch, hot, filter_bytes):
     monkeypatch.setattr(substrings, "MOST_SPANS", hot)
+    monkeypatch.setattr(substrings, "FILTER_BYTES", filter_bytes)
     rows = rows_of(spark) + [(2000, "z" * 300), (2001, "y" * 20 + "z" * 120), (2002, "ab" * 200), (2003, "c" + "ab" * 60)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(docs(spark, rows)).collect()}
     assert got == substring_brute(rows)
@@ -196,13 +197,14 @@ def test_blocks_of_one_key_are_merged_by_binary_search(monkeypatch):
     spans = [("".join(r.choice("ab") for _ in range(r.randint(0, 3))) + core + "".join(r.choice("ab") for _ in range(3))).encode() for _ in range(40)]
     keys = [1] * 30 + [2] * 10
     ids = list(range(40, 0, -1))
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(spans), pa.array(ids)], names=["key", "span", "doc_id"])
+    numbers = {s: i for i, s in enumerate(sorted(set(spans)))}
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([numbers[s] for s in spans]), pa.array(spans), pa.array(ids)], names=["key", "span_id", "span", "doc_id"])
     import numpy as np
 
     got = {}
     for b in substrings.shard_minima(iter([batch])):
-        for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got.setdefault(k, []).append(np.frombuffer(v, "<i8"))
+        for k, i, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got.setdefault((k, i), []).append(np.frombuffer(v, "<i8"))
     for key in (1, 2):
         least = {}
         mine = [(s, i) for s, i, k in zip(spans, ids, keys, strict=True) if k == key]
@@ -211,7 +213,7 @@ def test_blocks_of_one_key_are_merged_by_binary_search(monkeypatch):
                 least[s[p : p + 50]] = min(least.get(s[p : p + 50], i), i)
         for s, _ in mine:
             want = [least[s[p : p + 50]] for p in range(len(s) - 49)]
-            found = got[hashlib.blake2b(s, digest_size=16).digest()]
+            found = got[key, numbers[s]]
             assert any(np.array_equal(np.broadcast_to(v, len(want)), want) for v in found)
 
 

@@ -3,11 +3,12 @@
 A byte goes if a string of `length` bytes around it also starts in a document with a smaller id. Only strings that come
 in several documents matter, and these are found by content before any suffix is sorted:
 
-1. Every string start is keyed by the smallest hash of the 16-byte grams in the string. Equal strings have equal keys,
+1. Every string start is keyed by the smallest hash of the 24-byte grams in the string. Equal strings have equal keys,
    and neighbouring starts mostly share one, so a text becomes a few runs of starts. Keys are dealt out in sorted,
    packed blocks; a key that comes in several documents is a candidate.
-2. A candidate run goes, with the bytes that its strings span, to the shard of its key. Equal spans become one, with
-   their smallest id. Since all occurrences of a string have one key, no match crosses shards.
+2. A candidate run spans the bytes of its strings. Equal spans of a key become one class, with their smallest id; the
+   spans of a key that has several go, with their bytes, to the shard of the key. Since all occurrences of a string have
+   one key, no match crosses shards.
 3. A shard's spans are put into a suffix array by Larsson-Sadakane refinement: ranks by 8 bytes, then by 16, 32 and
    `length`, each time only within groups that are not told apart yet. Kasai's common prefixes then show which
    neighbours agree in `length` bytes, and the smallest id of such a run is that of all its strings. A key whose spans
@@ -26,18 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import saved, width
+from tremolo.llm.common import saved, small_batches, width
 from tremolo.llm.near import mix64
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 #: A missing id counts as larger than any.
 LAST = (1 << 63) - 1
 #: Bytes of text after which a task hands on its keys; bytes of spans in one suffix array; spans of one key beyond
 #: which its strings are compared by Spark's own grouping.
-FLUSH_BYTES, BLOCK_BYTES, MOST_SPANS = 64 << 20, 4 << 20, 200_000
+FLUSH_BYTES, BLOCK_BYTES, MOST_SPANS = 32 << 20, 1 << 20, 100_000
 #: Bytes up to which the removed spans are broadcast to the documents.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a filter over candidate keys up to which it is broadcast; beyond, the keys are joined to the documents.
+FILTER_BYTES = 64 << 20
 
 
 def words8(b: np.ndarray) -> np.ndarray:
@@ -54,7 +58,9 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     if n < length:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
     w = words8(np.frombuffer(data, np.uint8))
-    m = mix64(w[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + mix64(w[8 : 8 + n - GRAM + 1]))
+    grams = n - GRAM + 1
+    m = mix64(w[:grams] * MIXER + mix64(w[8 : 8 + grams]))
+    m = mix64(m * MIXER + w[16 : 16 + grams])
     window, span = length - GRAM + 1, 1
     while 2 * span <= window:
         m = np.minimum(m[:-span], m[span:])
@@ -62,7 +68,7 @@ def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     if span < window:
         m = np.minimum(m[: len(m) - (window - span)], m[window - span :])
     first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-    return m[first], first, np.append(first[1:], len(m)) - 1
+    return mix64(m[first] * MIXER), first, np.append(first[1:], len(m)) - 1  # smallest values are not uniform, keys are
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -89,7 +95,7 @@ def task_keys(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> Iter
 
     def out():
         k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k)
         k, d = k[order], d[order]
         same = np.concatenate(([False], k[1:] == k[:-1], [False]))
         return k, d, same[1:] | same[:-1]
@@ -106,16 +112,27 @@ def task_keys(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> Iter
         yield out()
 
 
-def candidates(data: DataFrame, total: int, length: int) -> DataFrame:
-    """doc_id, key: keys (their upper bits) that come in several documents, for each of these."""
-    records = total / (length - GRAM + 2) * 2 + 1
-    bits = min(60, math.ceil(math.log2(records)) + 8)
+def expected(total: int, length: int) -> tuple[int, int]:
+    """The number of runs in so many bytes, and the bits of a key that tell them apart."""
+    records = int(total / (length - GRAM + 2) * 2) + 1
+    return records, min(60, math.ceil(math.log2(records)) + 8)
+
+
+def candidates(data: DataFrame, total: int, length: int, with_docs: bool) -> DataFrame:
+    """key (its upper bits, the rest 0) for the keys that come in several documents; with_docs: doc_id, key for each of
+    these documents. A task sends its keys once each, sorted and packed, to the part of the key space they are in."""
+    records, bits = expected(total, length)
     parts = max(width(data.sparkSession), math.ceil(records / 1_000_000))
+    shift = np.uint64(64 - bits)
+
+    def rows_of(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array((keys << shift).view(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(docs), *cols] if with_docs else cols, names=["doc_id", "key"][1 - with_docs :])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys that come again in the task itself."""
         for k, d, several in task_keys(batches, bits, length):
-            yield pa.RecordBatch.from_arrays([pa.array(d[several]), pa.array(k[several].astype(np.int64))], names=["doc_id", "key"])
+            yield rows_of(d[several], k[several])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each part of the key space, with the task's keys once each."""
@@ -124,22 +141,24 @@ def candidates(data: DataFrame, total: int, length: int) -> DataFrame:
             k, d, several = k[once], d[once], several[once]
             cut = np.searchsorted(k, (np.arange(parts + 1, dtype=np.float64) * (2.0**bits / parts)).astype(np.uint64))
             cut[-1] = len(k)
-            rows = [(p, planes(np.diff(k[a:b], prepend=np.uint64(0))), planes(d[a:b]), np.packbits(several[a:b]).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+            rows = [(p, planes(np.diff(k[a:b], prepend=np.uint64(0))), planes(d[a:b]) if with_docs else b"", np.packbits(several[a:b]).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), *[pa.binary()] * 3])], names=["part", "keys", "docs", "several"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys of a part that several tasks have, or one task several times; for the documents not yet told of it."""
+        """Keys of a part that several tasks have, or one task several times."""
 
         def out(blocks):
             k = np.concatenate([np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x, _, _ in blocks])
-            d = np.concatenate([unplanes(x, np.int64) for _, x, _ in blocks])
+            d = np.concatenate([unplanes(x, np.int64) for _, x, _ in blocks]) if with_docs else k
             sizes = [len(x) // 8 for x, _, _ in blocks]
             s = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for (_, _, x), n in zip(blocks, sizes, strict=True)]).astype(bool)
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k)
             k, d, s = k[order], d[order], s[order]
             same = np.concatenate(([False], k[1:] == k[:-1], [False]))
-            keep = (same[1:] | same[:-1]) & ~s
-            return pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(k[keep].astype(np.int64))], names=["doc_id", "key"])
+            if with_docs:
+                keep = (same[1:] | same[:-1]) & ~s  # documents that share the key within their task are told there
+                return rows_of(d[keep], k[keep])
+            return rows_of(d, np.unique(k[same[1:] | s]))
 
         at, blocks = None, []
         for batch in batches:
@@ -153,35 +172,73 @@ def candidates(data: DataFrame, total: int, length: int) -> DataFrame:
             yield out(blocks)
 
     dealt = data.mapInArrow(packed, "part int, keys binary, docs binary, several binary").repartition(parts, "part").sortWithinPartitions("part")
+    if not with_docs:
+        return dealt.mapInArrow(met, "key long")
     pairs = "doc_id long, key long"
-    return dealt.mapInArrow(met, pairs).unionByName(data.mapInArrow(shared, pairs)).withColumn("bits", F.lit(bits))
+    return dealt.mapInArrow(met, pairs).unionByName(data.mapInArrow(shared, pairs))
 
 
-def spans_of(data: DataFrame, found: DataFrame, bits: int, length: int) -> DataFrame:
-    """key, span, doc_id, text_id, start: the candidate runs with their bytes."""
-    own = found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # a document's keys, bounded by its length
+def bitmap(keys: DataFrame, count: int):
+    """A broadcast filter of 32 to 64 bits a key, by the keys' upper bits; None if it would exceed FILTER_BYTES. Each
+    task makes slices of it. About one key in 50 passes by chance, which costs a row and changes no result."""
+    bits = max(9, math.ceil(math.log2(32 * max(1, count))))
+    if 1 << bits > 8 * FILTER_BYTES:
+        return None
+    slices, each = 64, 1 << (bits - 6)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            for i in np.unique(at >> np.uint64(bits - 6)).tolist():
+                own = held.setdefault(i, np.zeros(each, bool))
+                own[(at[(at >> np.uint64(bits - 6)) == i] & np.uint64(each - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["slice", "bits"])
+
+    whole = np.zeros(slices * each // 8, np.uint8)
+    dealt = keys.select(F.shiftrightunsigned("key", 58).alias("slice"), "key").repartition(slices, "slice")
+    for i, part in dealt.mapInArrow(draw, "slice int, bits binary").toLocalIterator():
+        whole[i * each // 8 : (i + 1) * each // 8] |= np.frombuffer(part, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((bits, whole))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
 
-        def out():
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "span", "doc_id", "text_id", "start"])
+def occurrences(data: DataFrame, keys: DataFrame, count: int, length: int, with_span: bool, mask: int, with_docs) -> DataFrame:
+    """key, span_id, doc_id, text_id, start, size of the runs whose key is (all but surely) among the keys; with_span adds
+    their bytes. With a filter that fits, this is a scan; beyond, with_docs() gives doc_id, key and meets the texts."""
+    known = bitmap(keys, count)
+    names = ["key", "span_id", "doc_id", "text_id", "start", "size"] + ["span"] * with_span
+    kinds = [pa.int64()] * 6 + [pa.binary()] * with_span
 
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for j in range(batch.num_rows):
                 doc, tid, text = (batch.column(c)[j].as_py() for c in ("doc_id", "text_id", "data"))
-                wanted = batch.column("keys")[j].values.to_numpy()
                 k, a, b = runs(text, length)
-                hit = np.isin((k >> np.uint64(64 - bits)).astype(np.int64), wanted)
-                rows += [(key, text[x : y + length], doc, tid, x) for key, x, y in zip(k[hit].view(np.int64).tolist(), a[hit].tolist(), b[hit].tolist(), strict=True)]
+                if known is not None:
+                    bits, whole = known.value
+                    at = (k >> np.uint64(64 - bits)).astype(np.int64)
+                    hit = (whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                else:
+                    wanted = batch.column("keys")[j].values.to_numpy().view(np.uint64)
+                    hit = np.isin(k & np.uint64(mask), wanted)
+                for key, x, y in zip(k[hit].view(np.int64).tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
+                    span = text[x : y + length]
+                    row = (key, int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little", signed=True), doc, tid, x, y + length - x)
+                    rows.append((*row, span) if with_span else row)
                 if len(rows) > 20_000:
-                    yield out()
+                    yield out(rows)
                     rows = []
-        if rows:
-            yield out()
+        yield out(rows)
 
-    return data.join(own, "doc_id").mapInArrow(cut, "key long, span binary, doc_id long, text_id long, start long")
+    schema = ", ".join(f"{n} {'binary' if n == 'span' else 'long'}" for n in names)
+    if known is None:
+        own = with_docs().groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # a document's keys, bounded by its length
+        data = data.join(own, "doc_id")
+    return data.mapInArrow(cut, schema)
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -189,7 +246,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     twice as many, sorting in each round only what shares a rank with others."""
     n = len(text) - 7
     key = words8(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
     sorted_key = key[order]
     new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
@@ -202,7 +259,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
         open_ = np.flatnonzero(count[rank] > 1)
         open_ = open_[open_ + step < n]
         second = rank[open_ + step]
-        sub = np.lexsort((second, rank[open_]))
+        sub = np.argsort(rank[open_] * n + second)
         at, first, second = open_[sub], rank[open_][sub], second[sub]
         head = np.concatenate(([True], first[1:] != first[:-1]))
         fresh = head | np.concatenate(([True], second[1:] != second[:-1]))
@@ -210,7 +267,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
         group = np.maximum.accumulate(np.where(head, index, 0))
         rank[at] = first + np.maximum.accumulate(np.where(fresh, index, 0)) - group
         depth += step
-    return starts[np.argsort(rank[starts], kind="stable")]
+    return starts[np.argsort(rank[starts])]
 
 
 def kasai(text: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
@@ -272,7 +329,8 @@ def block_minima(spans: list[bytes], docs: np.ndarray, length: int):
 
 
 def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """A shard's spans, sorted by key: span_id and the smallest id for each start of the span."""
+    """A shard's spans, sorted by key: key, span_id and the smallest id for each start of the span (one number where
+    they are all the same)."""
     block, size, last = [], 0, None
     held: list = []  # blocks of a key that goes on
 
@@ -281,11 +339,10 @@ def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Ite
         for spans, (count, _, least, cls) in done:
             values = least[cls]
             ends = np.cumsum(count)
-            for (_, span, _), a, b in zip(spans, (ends - count).tolist(), ends.tolist(), strict=True):
+            for (key, span_id, _, _), a, b in zip(spans, (ends - count).tolist(), ends.tolist(), strict=True):
                 v = values[a:b]
-                one = v[:1] if (v == v[0]).all() else v
-                rows.append((hashlib.blake2b(span, digest_size=16).digest(), one.astype("<i8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], names=["span_id", "least"])
+                rows.append((key, span_id, (v[:1] if (v == v[0]).all() else v).astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "span_id", "least"])
 
     def close():
         """Put held blocks together: a string's smallest id over all of them, found by binary search."""
@@ -300,10 +357,11 @@ def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Ite
         return out(held)
 
     def sort():
-        held.append((block, block_minima([s for _, s, _ in block], np.array([d for _, _, d in block], np.int64), length)))
+        held.append((block, block_minima([r[2] for r in block], np.array([r[3] for r in block], np.int64), length)))
 
     for batch in batches:
-        for key, span, doc in zip(*[batch.column(c).to_pylist() for c in ("key", "span", "doc_id")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "span_id", "span", "doc_id")], strict=True):
+            key = row[0]
             if size > BLOCK_BYTES:
                 sort()
                 block, size = [], 0
@@ -314,8 +372,8 @@ def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Ite
                 sort()
                 yield close()
                 block, size, held = [], 0, []
-            block.append((key, span, doc))
-            size += len(span)
+            block.append(row)
+            size += len(row[2])
             last = key
     if block:
         sort()
@@ -325,22 +383,38 @@ def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Ite
 
 def removed_starts(data: DataFrame, total: int, length: int) -> DataFrame:
     """doc_id, text_id, first, last: runs of starts of strings that also start in a document with a smaller id."""
-    found = saved(candidates(data.select("doc_id", "data"), total, length), "keys")
-    bits = found.select("bits").first()
-    spans = saved(spans_of(data, found.select("doc_id", "key"), bits["bits"] if bits else 1, length), "spans")
-    alike = saved(spans.groupBy("key", "span").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")), "alike")
-    per_key = alike.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("last").alias("hi"))
-    per_key = saved(per_key.filter("lo < hi").select("key", "n"), "met")
+    plain = data.select("doc_id", "data")
+    mask = (1 << 64) - (1 << 64 - expected(total, length)[1])  # the upper bits, which a candidate's key keeps
+    found = saved(candidates(plain, total, length, False), "keys")
+
+    def told(keys: DataFrame):
+        """doc_id, key for some keys, where these are too many for a filter."""
+        some = keys.select(F.col("key").bitwiseAND(F.lit(mask - (1 << 64))).alias("key")).distinct()
+        return lambda: candidates(plain, total, length, True).join(some, "key", "left_semi").distinct()
+
+    # spans that are alike are one class of the key, with its smallest and largest id
+    rows = occurrences(data, found, found.count(), length, False, mask, told(found))
+    classes = rows.groupBy("key", "span_id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    classes = saved(classes, "classes")
+    per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key", "n")
+    per_key = saved(per_key, "met")
+    # a key with one span has nothing to sort: its strings' smallest id is the span's
+    least = classes.join(per_key.filter("n = 1").select("key"), "key", "left_semi").select("key", "span_id", "lo", F.lit(None).cast("binary").alias("least"))
+    several = per_key.filter("n > 1").select("key")
+    n = several.count()
+    bytes_ = occurrences(data, several, n, length, True, mask, told(several))
+    alike = bytes_.groupBy("key", "span_id", "span").agg(F.min("doc_id").alias("doc_id"))
+    cold = per_key.filter((F.col("n") > 1) & (F.col("n") <= MOST_SPANS)).select("key")
+    shards = alike.join(cold, "key", "left_semi").select("key", "span_id", "span", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
+    sorted_ = shards.mapInArrow(lambda b: shard_minima(b, length), "key long, span_id long, least binary")
+    least = saved(least.unionByName(sorted_.select("key", "span_id", F.lit(None).cast("bigint").alias("lo"), "least")), "least")
+    starts = rows.join(least, ["key", "span_id"]).select("doc_id", "text_id", "start", "size", "lo", "least")
+    starts = starts.filter("lo is null or lo < doc_id").mapInArrow(lambda b: _above(b, length), "doc_id long, text_id long, first long, last long")
     hot = per_key.filter(F.col("n") > MOST_SPANS).select("key")  # at most one key for each MOST_SPANS spans
-    cold = per_key.filter(F.col("n") <= MOST_SPANS).select("key")
-    shards = alike.join(cold, "key", "left_semi").select("key", "span", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
-    least = shards.mapInArrow(lambda b: shard_minima(b, length), "span_id binary, least binary")
-    named = spans.mapInArrow(_named, "doc_id long, text_id long, start long, span_id binary, size int")
-    starts = named.join(least, "span_id").mapInArrow(lambda b: _above(b, length), "doc_id long, text_id long, first long, last long")
     if hot.isEmpty():
         return starts
     # a key with very many different spans: its strings are grouped one by one, with partial minima before the shuffle
-    many = spans.join(F.broadcast(hot), "key", "left_semi")
+    many = bytes_.join(F.broadcast(hot), "key", "left_semi")
     each = many.select("doc_id", "text_id", "start", "span", F.explode(F.sequence(F.lit(0), F.octet_length("span") - length)).alias("i"))
     each = each.select("doc_id", "text_id", (F.col("start") + F.col("i")).alias("first"), F.expr(f"substring(span, i + 1, {length})").alias("string"))
     low = each.groupBy("string").agg(F.min("doc_id").alias("least"))
@@ -348,19 +422,16 @@ def removed_starts(data: DataFrame, total: int, length: int) -> DataFrame:
     return starts.unionByName(more.select("doc_id", "text_id", "first", F.col("first").alias("last")))
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        spans = b.column("span").to_pylist()
-        digest = pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in spans], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_id"), b.column("start"), digest, pa.array(map(len, spans), pa.int32())], names=["doc_id", "text_id", "start", "span_id", "size"])
-
-
 def _above(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The runs of starts whose smallest id is below the document's own."""
     for b in batches:
         rows = []
-        for doc, tid, start, size, low in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text_id", "start", "size", "least")], strict=True):
-            v, n = np.frombuffer(low, "<i8"), size - length + 1
+        for doc, tid, start, size, lo, low in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text_id", "start", "size", "lo", "least")], strict=True):
+            n = size - length + 1
+            if low is None:
+                rows.append((doc, tid, start, start + n - 1))
+                continue
+            v = np.frombuffer(low, "<i8")
             if len(v) == 1:
                 if v[0] < doc:
                     rows.append((doc, tid, start, start + n - 1))
@@ -392,6 +463,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     Texts are their UTF-8 bytes, null is empty. Strings are judged on the input: all their occurrences count, whatever
     else is removed there. A text below `length` bytes keeps everything. A null id counts as larger than any. Rows that
     repeat an id do not remove each other's strings. An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     data = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("text_id"), text.cast("binary").alias("data"))
     total = data.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
