@@ -405,6 +405,74 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL.replace("software: you", "software; you").replace("version 3", "version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_licenses_of_verbatim_notices(spark):
+    notices = [(MIT, "MIT", 4), (APACHE, "Apache-2.0", 3), (GPL, "GPL-3.0-or-later", 3), (GPL2, "GPL-2.0-or-later", 3), (MPL, "MPL-2.0", 1)]
+    rows, want = [], {}
+    for i, (text, name, known) in enumerate(notices):
+        commented = "#!/bin/sh\n" + "".join("# " + x + "\n" for x in text.split("\n")) + "echo x; exit\n"
+        for k, t in enumerate((text, commented, text.replace("\n", "\r\n"), " ".join(text.split()) if i else text)):
+            rows.append((10 * i + k, t))
+            want[10 * i + k] = (name, known, 1, 0)
+    rows.append((90, APACHE + "\n" + MPL + "\nReleased under\nthe MIT License\nof old\nReleased under the\nMIT license"))
+    want[90] = ("Apache-2.0,MIT,MPL-2.0", 6, 4, 0)
+    got = licenses.scan(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.licenses, len(r.sentence_ids.split(",")), r.n_matches, r.n_unmatched) for r in got} == want
+
+
 # ---- language
 
 def test_language(spark):

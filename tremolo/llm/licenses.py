@@ -1,12 +1,14 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised and looked up among known licence sentences. The identifiers, in the
-order of the text, are matched against licence rules, which are ordered sequences of identifiers; a longer rule goes
-first, and what it matches is used up.
+A text is cut into sentences, which are normalised; runs of them are looked up among known licence sentences, since the
+cut also falls at line breaks and inside a clause. The identifiers, in the order of the text, are matched against
+licence rules, which are ordered sequences of identifiers; a longer rule goes first, and what it matches is used up.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +62,22 @@ RULES = [
 ENDS = r"[.!?;:]+([\x20\x09-\x0D]+|$)|[\n\r]+"
 
 
+def spanning(sentences: dict[str, str]) -> str:
+    """A pattern for the known sentences in a text's sentences, each of which stands between line breaks: any blank of a
+    known one may be a break. Longer ones come first. Between two known ones a break may lack, as behind an address."""
+    ways = [r"[ \n]".join(map(re.escape, v.split(" "))) for v in sorted(sentences.values(), key=len, reverse=True)]
+    known = "|".join(ways)
+    return rf"(?:\n|\G )({known})(?=(?: (?:{known}))*\n)" if ways else r"(?!)()"
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Per row of docs: doc_id, n_sentences, sentence_ids (the known ones, in order, comma-joined), licenses (names of
     the rules that match, sorted, comma-joined), n_matches, n_unmatched (known sentences that no rule used).
 
+    A known sentence is one sentence of the text or several in a row that give it when joined, so that hard-wrapped
+    lines, blank lines, ';', ':' and "v." inside it do not matter; it starts and ends where sentences do, or where
+    another known one ends or starts. Of those that start at one place the longest goes, and the next is sought behind it.
+
     Sentences that are not known, such as names or titles between the clauses, do not part a rule's sentences. A null
     or empty text has no sentences. Rows stay as they are, with no shuffle; everything is by Spark's functions."""
     ordered = sorted(rules, key=lambda r: -len(r[1]))
@@ -73,8 +87,9 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     parts = F.transform(F.split(marked, "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     parts = F.filter(parts, lambda s: s != "")
     base = docs.select("doc_id", parts.alias("s"))
-    known = F.filter("s", lambda s: s.isin(*sentences.values()))
-    base = base.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.transform(known, lambda s: wanted[s]).alias("known"))
+    found = F.regexp_extract_all(F.concat(F.lit("\n"), F.array_join("s", "\n"), F.lit("\n")), F.lit(spanning(sentences)), F.lit(1))
+    known = F.transform(found, lambda s: wanted[F.translate(s, "\n", " ")])
+    base = base.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), known.alias("known"))
     codes = F.create_map(*[F.lit(x) for k, v in code.items() for x in (k, v)])
     line = F.concat_ws("", F.transform("known", lambda k: F.concat(F.lit("<"), codes[k], F.lit(">"))))
     out = base.select("doc_id", "n_sentences", F.concat_ws(",", "known").alias("sentence_ids"), line.alias("left0"))
