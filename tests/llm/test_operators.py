@@ -497,6 +497,42 @@ def test_language(spark):
     assert {x.lang_pred for x in language.report(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_a_hundred_labels(spark, monkeypatch):
+    r = random.Random(2)
+    vocab = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(30)] for k in range(100)}
+    texts = {k: " ".join(r.choice(v) for _ in range(150)) for k, v in vocab.items()}
+    rows = [(100 * i + n, " ".join(r.choice(vocab[k]) for _ in range(40)), k) for i, k in enumerate(vocab) for n in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    true = {i: k for i, _, k in rows}
+    assert all(x.lang_pred == true[x.doc_id] for x in language.report(d).collect() if any(zlib.crc32(str(100 * (x.doc_id // 100) + n).encode()) % 3 != 1 for n in range(4)))
+    said = [t for _, t, _ in rows] + ["", None]
+    whole = language.Model(texts)
+    monkeypatch.setattr(language, "TABLE_BYTES", 1 << 20)
+    blocks = language.Model(texts)
+    assert whole.kept is not None and blocks.kept is None
+    assert blocks.predict(said) == whole.predict(said)
+    batches = list(language.predicted(blocks, [said[:100], [], said[100:]], 1 << 20))
+    assert [len(b) for b in batches] == [100, 0, 302] and [x for b in batches for x in b.lang_pred] == [x for x, _ in whole.predict(said)]
+
+
+def test_language_letters_of_every_script():
+    r = random.Random(4)
+    scripts = {"ar": range(0x627, 0x63B), "el": range(0x3B1, 0x3C2), "ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xB500), "ru": range(0x430, 0x450), "th": range(0xE01, 0xE2E), "zh": range(0x4E00, 0x5300), "en": range(0x61, 0x7B)}
+    words = {k: ["".join(chr(r.choice(v)) for _ in range(4)) for _ in range(60)] for k, v in scripts.items()}
+    words["zz"] = [w[::-1] for w in words["zh"]]
+    m = language.Model({k: " ".join(v * 3) for k, v in words.items()})
+    letters = {c for v in words.values() for w in v for c in w}
+    assert len({m.alphabet.codes(c).tobytes() for c in letters}) == len(letters)
+    assert m.alphabet.codes("Б" + words["ru"][0].upper()).tolist() == m.alphabet.codes("б" + words["ru"][0]).tolist()
+    for k, v in words.items():
+        assert m.predict([" ".join(r.choice(v) for _ in range(30))])[0][0] == k
+
+
+def test_language_keeps_texts_where_nothing_is_learnt(spark):
+    d = spark.createDataFrame([(1, "some words", None), (2, "语言", None), (3, "12 !", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {x.doc_id for x in language.keep_identified(d).collect()} == {1, 2}
+
+
 def test_phrases_by_brute_force():
     m = language.Model({"a": "abracadabra banana", "b": "zebra quagga zzz"})
 

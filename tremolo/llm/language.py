@@ -23,6 +23,10 @@ UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 #: Characters of a text that are parsed as one; a phrase does not go beyond a block.
 BLOCK = 512
+#: Bytes of tables that a worker holds at once, but for one language's at least.
+TABLE_BYTES = 384 << 20
+#: Characters of text that are parsed together where the tables are built again for them.
+TOGETHER = 16 << 20
 
 
 def sample(docs: DataFrame, rows: int = 96) -> DataFrame:
@@ -39,14 +43,28 @@ def sample(docs: DataFrame, rows: int = 96) -> DataFrame:
 
 
 class Alphabet:
-    """Characters to small codes: the most frequent letters of the training texts; 0 for all that is no letter, 1 for
-    other letters. Letters are folded to small ones."""
+    """Characters to small codes: those of the letters of the training texts; 0 for all that is no letter, 1 for letters
+    that no training text has. Letters are folded to small ones.
+
+    If the texts have more letters than codes, half of the codes go to the most frequent ones, and every other letter is
+    spelt by several of the other half, so that no two letters share their codes."""
+
+    SPELT = 255
 
     def __init__(self, texts: dict[str, str], most: int = 62):
         folded = "".join(texts.values()).lower()
         points, counts = np.unique(np.frombuffer(folded.encode("utf-32-le", "replace"), np.uint32), return_counts=True)
-        letters = [int(p) for p in points[np.argsort(-counts, kind="stable")] if chr(p).isalpha()][:most]
-        self.size = len(letters) + 2
+        letters = [int(p) for p in points[np.argsort(-counts, kind="stable")] if chr(p).isalpha()]
+        self.base, self.digits, rare = 0, 0, []
+        if len(letters) > most:
+            self.base = most // 2
+            letters, rare = letters[: most - self.base], letters[most - self.base :]
+            self.digits = 1
+            while self.base**self.digits < len(rare):
+                self.digits += 1
+        self.first = len(letters) + 2
+        self.size = self.first + self.base
+        self.rank = np.zeros(0x110000 if rare else 0, np.int32)
         self.code = np.zeros(0x110000, np.uint8)
         for p in range(0x110000):
             if not 0xD800 <= p < 0xE000 and chr(p).isalpha():
@@ -57,10 +75,23 @@ class Alphabet:
             up = chr(p).upper()
             if len(up) == 1:
                 self.code[ord(up)] = i
+        for i, p in enumerate(sorted(rare)):
+            for c in {chr(p), chr(p).upper()}:
+                if len(c) == 1:
+                    self.code[ord(c)], self.rank[ord(c)] = self.SPELT, i
 
     def codes(self, text: str) -> np.ndarray:
         """Codes of a text, runs of non-letters as one 0."""
-        out = self.code[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        out = self.code[points]
+        if self.digits:
+            rare = out == self.SPELT
+            widths = np.where(rare, self.digits, 1)
+            at = (np.cumsum(widths) - widths)[rare]
+            rank = self.rank[points[rare]]
+            out = np.repeat(out, widths)
+            for d in range(self.digits):
+                out[at + d] = self.first + rank // self.base**d % self.base
         if len(out) > 1:
             keep = np.empty(len(out), bool)
             keep[0] = True
@@ -108,19 +139,46 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    """Automata for the languages of a sample: language -> text."""
+    """Automata for the languages of a sample: language -> text.
+
+    Tables are kept as long as all of them fit in TABLE_BYTES. If they do not, those that fit together are built, used
+    and freed, one block of languages after the other."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         self.alphabet = Alphabet(texts)
-        self.tables = [suffix_automaton(self.alphabet.codes(texts[k]), self.alphabet.size).ravel() for k in self.langs]
-
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """blocks: (position, block) codes, blocks sorted by falling length. Phrases by language and block."""
+        self.learnt = [self.alphabet.codes(texts[k]) for k in self.langs]
+        first, n = next(self._built(0), ([], 0))
+        self.kept = first if n == len(self.langs) else None
+
+    def _built(self, k: int) -> Iterator[tuple[list[np.ndarray], int]]:
+        """Blocks of tables from language k on, each with the number of the language behind it."""
+        tables: list[np.ndarray] = []
+        room = TABLE_BYTES
+        while k < len(self.learnt):
+            # a suffix automaton has fewer than twice as many states as codes
+            most = (2 * len(self.learnt[k]) + 1) * self.alphabet.size * 4
+            if tables and most > room:
+                yield tables, k
+                tables, room = [], TABLE_BYTES
+            tables.append(suffix_automaton(self.learnt[k], self.alphabet.size).ravel())
+            room -= tables[-1].nbytes
+            k += 1
+        if tables:
+            yield tables, k
+
+    def blocks(self) -> Iterator[tuple[list[np.ndarray], int]]:
+        return self._built(0) if self.kept is None else iter([(self.kept, len(self.langs))])
+
+    def phrases(self, blocks: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
+        """blocks: (position, block) codes, blocks sorted by falling length. Phrases by language and block, for the
+        languages of the tables given, else for all."""
+        if tables is None:
+            return np.concatenate([self.phrases(blocks, lengths, some) for some, _ in self.blocks()])
         size = self.alphabet.size
-        out = np.zeros((len(self.tables), len(lengths)), np.int64)
+        out = np.zeros((len(tables), len(lengths)), np.int64)
         alive = np.searchsorted(-lengths, -np.arange(1, len(blocks) + 1), side="right")
-        for k, table in enumerate(self.tables):
+        for k, table in enumerate(tables):
             state = np.zeros(len(lengths), np.int32)
             count = out[k]
             for t, n in enumerate(alive.tolist()):
@@ -144,14 +202,15 @@ class Model:
             lengths = np.array([len(p) for p in parts])
             order = np.argsort(-lengths, kind="stable")
             owner = np.array(owner)[order]
-            for a in range(0, len(order), 4096):
-                some = order[a : a + 4096]
-                grid = np.zeros((len(some), lengths[some[0]]), np.uint8)
-                for r, j in enumerate(some.tolist()):
-                    grid[r, : lengths[j]] = parts[j]
-                counts = self.phrases(np.ascontiguousarray(grid.T).astype(np.int32), lengths[some])
-                for k in range(len(self.langs)):
-                    total[k] += np.bincount(owner[a : a + 4096], counts[k], len(texts)).astype(np.int64)
+            for tables, behind in self.blocks():
+                for a in range(0, len(order), 4096):
+                    some = order[a : a + 4096]
+                    grid = np.zeros((len(some), lengths[some[0]]), np.uint8)
+                    for r, j in enumerate(some.tolist()):
+                        grid[r, : lengths[j]] = parts[j]
+                    counts = self.phrases(np.ascontiguousarray(grid.T).astype(np.int32), lengths[some], tables)
+                    for k, n in enumerate(counts, behind - len(tables)):
+                        total[k] += np.bincount(owner[a : a + 4096], n, len(texts)).astype(np.int64)
         out = []
         for i in range(len(texts)):
             if not sizes[i] or not self.langs:
@@ -168,17 +227,29 @@ class Model:
 BUILT: dict[str, Model] = {}
 
 
+def predicted(model: Model, batches: list[list[str | None]], step: int) -> Iterator[pd.DataFrame]:
+    """The predictions of each batch; `step` texts are parsed together."""
+    values = [t for batch in batches for t in batch]
+    rows: list[tuple[str, float]] = []
+    for a in range(0, len(values), step):
+        rows += model.predict(values[a : a + step])
+    at = 0
+    for batch in batches:
+        yield pd.DataFrame(rows[at : at + len(batch)], columns=["lang_pred", "score"])
+        at += len(batch)
+
+
 def predictor(docs: DataFrame, train: DataFrame, rows: int, chars: int):
     """A column function text -> (lang_pred, score), with automata of at most `chars` characters for each language.
 
-    The sample is at most `rows` documents for each language, cut at `chars` characters together, and at most 64
-    times `chars` over all languages: this bounds what comes to the driver and goes to the workers."""
+    The sample is at most `rows` documents for each language, cut at `chars` characters together: this bounds what comes
+    to the driver and goes to the workers for each language. All languages are learnt."""
     texts: dict[str, list[str]] = {}
     held: dict[str, int] = {}
     cut = sample(train, rows).withColumn("text", F.substring("text", 1, chars)).orderBy("lang", "__h", "doc_id")
     for lang, _, _, text in cut.toLocalIterator():
         have = held.get(lang, 0)
-        if have < chars and (lang in held or len(held) < 64):
+        if have < chars:
             texts.setdefault(lang, []).append(text[: chars - have])
             held[lang] = have + len(text)
     joined = {k: "\n".join(v) for k, v in texts.items()}
@@ -190,11 +261,16 @@ def predictor(docs: DataFrame, train: DataFrame, rows: int, chars: int):
         if name not in BUILT:
             BUILT.clear()
             BUILT[name] = Model(model.value)
+        kept = BUILT[name].kept is not None
+        waiting: list[list[str | None]] = []
+        size = 0
         for texts in batches:
-            values, rows = texts.tolist(), []
-            for a in range(0, len(values), 1000):
-                rows += BUILT[name].predict(values[a : a + 1000])
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            waiting.append(texts.tolist())
+            size += sum(len(t or "") + 64 for t in waiting[-1])
+            if kept or size >= TOGETHER:
+                yield from predicted(BUILT[name], waiting, 1000 if kept else 1 << 20)
+                waiting, size = [], 0
+        yield from predicted(BUILT[name], waiting, 1 << 20)
 
     return F.pandas_udf(predict, PREDICTION)
 
@@ -218,6 +294,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told: no text, or no letter in it."""
+    """docs without those whose language can't be told: no text, or no letter in it. Where nothing was learnt, texts
+    with a letter stay."""
     out = identify(docs, docs.filter(~held_out(3, 1)))
-    return out.filter(F.col("lang_id.lang_pred") != UNKNOWN).select("row.*")
+    return out.filter((F.col("lang_id.lang_pred") != UNKNOWN) | F.col("row.text").rlike(r"\p{L}")).select("row.*")
