@@ -344,6 +344,28 @@ def test_mixing_small_sources_stop(spark):
     assert sum(r.taken for r in got) == 1022
 
 
+def test_apply_mix_takes_rows_of_one_id_apart(spark):
+    r = random.Random(8)
+    rows = [(None, s, " ".join(["w"] * r.choice([3, 3, 4, 9])) + f" {s}{i}") for s, n in (("a", 20), ("b", 60), ("c", 90), (None, 50)) for i in range(n)]
+    rows += [(7, s, "two words") for s in "abc" * 15] + [(i, "b", "x y z") for i in range(100, 140)] + [(None, "a", ""), (8, "a", None)]
+    d = spark.createDataFrame([(i, s, t, "x") for i, s, t in rows], "doc_id long, source string, text string, times string")
+    want = Counter()
+    for x in mixing.mix_documents(d, whole=True).collect():
+        want[x.doc_id, x.source, x.size] += x.taken // x.size if x.size else 0
+    out = mixing.apply_mix(d)
+    assert out.columns == d.columns
+    got = out.collect()
+    have = Counter((x.doc_id, x.source, len(x.text.split())) for x in got)
+    assert have == +want
+    # no row is taken two times more than one that the mix can't tell from it
+    each = Counter((x.doc_id, x.source, x.text) for x in got)
+    by_size = defaultdict(list)
+    for i, s, t in rows:
+        if i is None and t:
+            by_size[s, len(t.split())].append(each[i, s, t])
+    assert all(max(v) - min(v) <= 1 for v in by_size.values())
+
+
 # ---- sharding
 
 def sharding_brute(sized, limit):
@@ -390,6 +412,19 @@ def test_sharding_repeated_ids(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/shards").count() == len(texts())
 
 
+def test_shard_documents_keeps_the_limit(spark, tmp_path):
+    rows = [(1, f"{i:02d}" * 10) for i in range(30)] + [(None, "y" * (1 + i % 30)) for i in range(60)] + [(k, "z" * 30) for k in range(2, 30)] + [(50, None)] * 3
+    d = docs(spark, rows)
+    sharding.write_shards(d, f"{tmp_path}/shards", 100)
+    out = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    filled = Counter()
+    for r in out:
+        filled[r.shard_id] += len(r.text or "")
+    assert max(filled.values()) <= 100
+    assert len({r.shard_id for r in out if r.doc_id == 50}) == 1
+
+
 # ---- licences
 
 def test_licenses(spark):

@@ -85,16 +85,44 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it (whole documents), with the columns of docs.
+    """The documents that the mix takes, each row as often as it takes it (whole documents), with the columns of docs.
 
-    Rows of one doc_id are taken alike."""
+    Rows that agree in id, source and size are alike to the mix: where it takes some of them once more than others,
+    those are any of them, but as many."""
     taken = mix_documents(docs, whole=True, **how)
-    # rows that repeat an id share its keys, sizes apart: the most that any of them is taken holds for all
-    times = taken.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)).alias("times"))
-    times = times.filter("times > 0").withColumnRenamed("doc_id", "of")
-    packed = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    out = packed.join(times, F.col("id").eqNullSafe(F.col("of")))
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = saved(taken.select("doc_id", "source", "size", times.alias("times")), "taken")
+    by_id = saved(taken.groupBy(F.col("doc_id").alias("of")).agg(F.min("times").alias("lo"), F.max("times").alias("hi")), "times")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    even, uneven = by_id.filter("lo = hi and hi > 0"), by_id.filter("lo < hi").select("of")
+    out = docs.select(F.col("doc_id").alias("id"), row).join(even, F.col("id").eqNullSafe(F.col("of"))).select("row", F.col("hi").alias("times"))
+    if not uneven.isEmpty():
+        out = out.unionByName(_uneven(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), "text", row), taken, uneven))
+    return out.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+
+
+def _uneven(rows: DataFrame, taken: DataFrame, uneven: DataFrame) -> DataFrame:
+    """row and times for the rows of ids whose rows are not all taken alike: by id, source and size.
+
+    A source's budget ends within one group of these at most; the rows of such a group are numbered, and the first of
+    them are taken once more."""
+    some = taken.join(uneven, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    groups = some.groupBy("doc_id", "source", "size").agg(F.min("times").alias("lo"), F.max("times").alias("hi"), F.sum("times").alias("all"), F.count(F.lit(1)).alias("n"))
+    groups = saved(groups.withColumn("more", F.col("all") - F.col("lo") * F.col("n")), "groups")
+    # null ids go without the join, which would bring them to one task
+    kept = rows.filter("id is not null").join(uneven, F.col("id") == F.col("of"), "left_semi")
+    if not uneven.filter("of is null").isEmpty():
+        kept = kept.unionByName(rows.filter("id is null"))
+    kept = kept.select("id", "src", word_count().alias("words"), "row")
+    kept = kept.join(groups, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    out = kept.filter("lo = hi").select("row", F.col("hi").alias("times"))
+    if groups.filter("lo < hi").isEmpty():
+        return out
+    cut = kept.filter("lo < hi").select("src", "lo", "hi", "more", "row", F.lit(1).alias("one"), F.monotonically_increasing_id().alias("tie"))
+    cut = saved(running_totals(cut, [F.col("src").asc_nulls_last(), F.col("tie")], {"place": "one"}, width(rows.sparkSession)), "placed")
+    start = cut.groupBy(F.col("src").alias("of")).agg(F.min("place").alias("start"))
+    cut = cut.join(F.broadcast(start), F.col("src").eqNullSafe(F.col("of")))
+    return out.unionByName(cut.select("row", F.when(F.col("place") - F.col("start") < F.col("more"), F.col("hi")).otherwise(F.col("lo")).alias("times")))
 
 
 def mix_sql(table: str = "documents", weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: str = "mix") -> str:

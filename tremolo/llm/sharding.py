@@ -44,9 +44,8 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         floor_bits, bits = bits + 1, min(BITS, bits + 6)
 
 
-def assign(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """rows (with h) joined to the directory over sizes."""
-    found = saved(directory(sizes, limit), "directory")
+def assign(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with h) joined to their entry of the directory."""
     depths = [r["leaf_bits"] for r in found.select("leaf_bits").distinct().orderBy("leaf_bits").collect()]  # one for each round of the loop, at most 10
     left, out = rows, None
     for bits in depths:
@@ -59,6 +58,18 @@ def assign(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
     return out
 
 
+def in_runs(hot: DataFrame, limit: int) -> DataFrame:
+    """hot: rows of the directory's entries marked more, with h, doc_id and n_bytes. The rows of one hash are cut into
+    runs by running totals, each a shard named by a suffix. Written, so that a row has one shard wherever it is read."""
+    most = hot.groupBy("h").agg(F.max("n_bytes").alias("most"))
+    # rows that agree in id and size are told apart by their place, so that ranges can part them
+    tied = hot.withColumn("tie", F.monotonically_increasing_id())
+    runs = running_totals(tied, [F.col("h"), F.col("doc_id"), F.col("n_bytes"), F.col("tie")], {"upto": "n_bytes"}, width(hot.sparkSession)).drop("tie")
+    step = F.greatest(F.lit(1), F.when(2 * F.col("most") <= limit, limit - F.col("most")).otherwise(1))
+    runs = runs.join(F.broadcast(most), "h").withColumn("run", F.floor((F.col("upto") - F.col("n_bytes")) / step))
+    return saved(runs.withColumn("shard_id", F.concat("shard_id", F.lit("-"), F.col("run").cast("string"))), "runs")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return docs.select("doc_id", hash60(F.col("doc_id")).alias("h"), size.alias("n_bytes"))
@@ -75,27 +86,33 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     base = saved(sized(docs), "sized")
     if base.isEmpty():
         return base.select("doc_id", "n_bytes", F.lit("s").alias("shard_id"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(0).cast("bigint").alias("shard_rows"), F.lit(False).alias("oversized"))
-    out = saved(assign(base, base.select("h", "n_bytes"), limit), "assigned")
+    found = saved(directory(base.select("h", "n_bytes"), limit), "directory")
+    out = saved(assign(base, found), "assigned")
     plain = out.filter("not more").select("doc_id", "n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversized"))
     hot = out.filter("more")
     if hot.isEmpty():
         return plain
-    most = hot.groupBy("h").agg(F.max("n_bytes").alias("most"), F.sum("n_bytes").alias("group_bytes"))
-    runs = running_totals(hot, [F.col("h"), F.col("doc_id"), F.col("n_bytes")], {"upto": "n_bytes"}, width(docs.sparkSession))
-    step = F.greatest(F.lit(1), F.when(2 * F.col("most") <= limit, limit - F.col("most")).otherwise(1))
-    runs = runs.join(most, "h").withColumn("run", F.floor((F.col("upto") - F.col("n_bytes")) / step))
-    runs = runs.withColumn("shard_id", F.concat("shard_id", F.lit("-"), F.col("run").cast("string")))
-    runs = saved(runs, "runs")
+    runs = in_runs(hot, limit)
     fill = runs.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
     runs = runs.drop("shard_bytes", "shard_rows").join(fill, "shard_id")
     return plain.unionByName(runs.select("doc_id", "n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversized")))
 
 
 def shard_documents(docs: DataFrame, limit: int) -> DataFrame:
-    """The documents with shard_id. Rows that repeat an id stay together, in the last of its runs."""
-    ids = shard(docs, limit).groupBy("doc_id").agg(F.max("shard_id").alias("shard_id")).withColumnRenamed("doc_id", "of")
-    packed = docs.select(F.col("doc_id").alias("id"), F.struct(*[docs[c] for c in docs.columns if c != "shard_id"]).alias("row"))
-    return packed.join(ids, F.col("id").eqNullSafe(F.col("of"))).select("row.*", "shard_id")
+    """The documents with shard_id, row by row as in shard(): rows that repeat an id stay together where they fit the
+    limit, and are cut into runs where they don't. Only the latter's texts are sorted."""
+    rows = docs.drop("shard_id")
+    base = saved(sized(docs), "sized")
+    if base.isEmpty():
+        return rows.withColumn("shard_id", F.lit("s"))
+    found = saved(directory(base.select("h", "n_bytes"), limit), "directory")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    packed = rows.select("doc_id", hash60(F.col("doc_id")).alias("h"), size.alias("n_bytes"), F.struct(*[rows[c] for c in rows.columns]).alias("row"))
+    out = assign(packed, found)
+    plain = out.filter("not more").select("row.*", "shard_id")
+    if found.filter("more").isEmpty():
+        return plain
+    return plain.unionByName(in_runs(out.filter("more"), limit).select("row.*", "shard_id"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int) -> None:
