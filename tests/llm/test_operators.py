@@ -240,6 +240,33 @@ def test_tokens(spark):
         assert cuts[r.doc_id] == r.text[: max(fits)]
 
 
+def test_tokens_of_long_runs_without_blanks():
+    P = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+    from pathlib import Path
+
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(9)
+    counter = tokens.PrefixCounter(Path(path).read_bytes())
+    runs = ["".join(r.choice(a) for _ in range(400)) for a in ("abcdefghij", "語言日本字。", "aé日😀\n▁ZQ+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef0123456789+/")]
+    runs += [("thequickbrownfox" * 20)[:300], " " * 200 + "x", "x" + "\n" * 150, "x" + " " * 130, *["ab" * n for n in (31, 32, 33)]]
+    for t in runs:
+        for text in (t, "a word " + t + " and " + t[:70]):
+            assert counter.prefix_counts(text) == [len(sp.encode(text[:i])) for i in range(1, len(text) + 1)]
+            assert counter.count(text) == len(sp.encode(text))
+    long = "".join(r.choice("abcdefghij語言日本字😀") for _ in range(200_000))
+    counter.prefix.clear(), counter.word.clear()
+    tracemalloc.start()
+    n = counter.count(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(sp.encode(long)) and peak < 400 << 20
+    assert not any(len(k) > 64 for k in [*counter.prefix, *counter.word])
+
+
 # ---- decontamination
 
 def decontamination_brute(pairs, items, window=10):

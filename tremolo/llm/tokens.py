@@ -9,6 +9,7 @@ shorter prefixes, and its count is theirs plus one; counts of whole texts are su
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,6 +27,9 @@ class PrefixCounter:
 
     #: Prefixes and words that are remembered. They only save work: what was forgotten is computed again.
     REMEMBERED = 600_000
+    #: Characters of the longest segment whose prefixes are remembered; a longer one's are kept by position, not as
+    #: texts, and only while it is counted.
+    LONGEST = 64
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -67,13 +71,39 @@ class PrefixCounter:
             self.follows[key] = ok
         return ok
 
-    def _table(self, segment: str) -> list[tuple[str, int]]:
-        """For each prefix of the segment, from one character on: its last piece ("" where that is bytes) and its count."""
+    def _table(self, segment: str) -> list[int] | array:
+        """For each prefix of the segment, from one character on: its count."""
+        if len(segment) > self.LONGEST:
+            return self._long(segment)
         self._last(segment)
-        return [self.prefix[segment[:j]] for j in range(1, len(segment) + 1)]
+        return [self.prefix[segment[:j]][1] for j in range(1, len(segment) + 1)]
+
+    def _long(self, segment: str) -> array:
+        """_table() for a segment of any length, in memory of a few bytes a character."""
+        pieces, reach, follows = self.pieces, self.reach, self.follows
+        n = len(segment)
+        # by the prefix's length: where its last piece starts (its end where that is bytes), and its count
+        starts, counts = array("q", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))
+        for j in range(1, n + 1):
+            k = j - reach.get(segment[j - 3 : j] if j > 2 else "", 2)
+            for k in range(k if k > 0 else 0, j):
+                piece = segment[k:j]
+                if piece in pieces:
+                    before = segment[starts[k] : k]
+                    ok = follows.get((before, piece))
+                    if ok is None:
+                        ok = self._may_follow(before, piece)
+                    if ok:
+                        starts[j], counts[j] = k, counts[k] + 1
+                        break
+            else:
+                starts[j], counts[j] = j, counts[j - 1] + len(segment[j - 1].encode("utf-8", "surrogatepass"))
+        return counts[1:]
 
     def _last(self, segment: str) -> int:
-        """The segment's count; fills in self.prefix for it and all its prefixes."""
+        """The segment's count; fills in self.prefix for it and all its prefixes, if it is not a long one."""
+        if len(segment) > self.LONGEST:
+            return self._long(segment)[-1]
         seen = self.prefix
         if segment in seen:
             return seen[segment][1]
@@ -135,7 +165,9 @@ class PrefixCounter:
                                 c = 1 + (self._last(w[1:]) if len(w) > 1 else 0)
                             else:
                                 c = self._last(BLANK + w)
-                            counts[i] = known[w] = c
+                            counts[i] = c
+                            if len(w) <= self.LONGEST:
+                                known[w] = c
                 return sum(counts)
         return sum(map(self._last, self.segments(text)))
 
@@ -144,8 +176,8 @@ class PrefixCounter:
         out, base, lead = [], 0, int(self.dummy)
         for s in self.segments(text or ""):
             table = self._table(s)
-            out += [base + c for _, c in table[lead:]]
-            base += table[-1][1]
+            out += [base + c for c in table[lead:]]
+            base += table[-1]
             lead = 0
         return out
 
