@@ -4,7 +4,9 @@ distributed running totals."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor then costs only reading again."""
-    path = f"{shared_dir(df.sparkSession)}/tremolo-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Paths that saved() wrote, by scope; settled() opens and closes one.
+SCOPES: list[list[str]] = []
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: at most so many rows go to a Python worker at once, for what the session runs from here on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: a lost executor then costs only reading again."""
+    path = f"{shared_dir(df.sparkSession)}/tremolo-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    if SCOPES:
+        SCOPES[-1].append(path)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that saved() wrote. Nothing that is not yet written itself may depend on them."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("saved_path")
+        if path:
+            delete(df.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """saved(make()); what make() saved on its way is deleted."""
+    SCOPES.append([])
+    try:
+        out = saved(make(), name)
+    finally:
+        paths = SCOPES.pop()
+    for path in paths:
+        if path != out.saved_path:
+            delete(out.sparkSession, path)
+    if SCOPES:
+        SCOPES[-1].append(out.saved_path)
+    return out
+
+
+def sliced_arrow(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts become Python objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def held_out(modulus: int, remainder: int) -> Column:

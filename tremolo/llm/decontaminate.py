@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import small_batches
-
 #: Letters A-Z become small; ASCII that is neither letter nor digit becomes a space; all bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.BinaryType())])
@@ -239,7 +237,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     in any occurrence of a window of an item; an item of fewer words is one window. Null and empty texts have no
     words, items without words no window; repeated items are one item; a null item_id is left out. Rows stay as they
     are, with all their columns. An empty benchmark hits nothing."""
-    small_batches(docs.sparkSession)
     cut = []
     for block in blocks_of(benchmark, block_bytes):
         cut.append(scanner(docs.sparkSession.sparkContext.broadcast(block), window)(F.col("text")))

@@ -17,8 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import small_batches
-
 BLANK = "▁"
 
 
@@ -201,7 +199,6 @@ def _counter(model) -> PrefixCounter:
 
 def _model(docs: DataFrame, path: str):
     """The vocabulary file is half a MB; it goes to the workers as a broadcast."""
-    small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
