@@ -156,13 +156,31 @@ def substring_brute(pairs, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot, filter_bytes", [(100_000, 64 << 20), (2, 64 << 20), (100_000, 0)])
-def test_substrings(spark, monkeypatch, hot, filter_bytes):
-    monkeypatch.setattr(substrings, "MOST_SPANS", hot)
-    monkeypatch.setattr(substrings, "FILTER_BYTES", filter_bytes)
-    rows = rows_of(spark) + [(2000, "z" * 300), (2001, "y" * 20 + "z" * 120), (2002, "ab" * 200), (2003, "c" + "ab" * 60)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.deduplicate(docs(spark, rows)).collect()}
-    assert got == substring_brute(rows)
+@pytest.mark.parametrize("text_bytes, array_bytes, starts", [(8 << 20, 1 << 20, 20_000), (3000, 500, 20_000), (3000, 300, 40), (100_000, 1 << 20, 0)])
+def test_substrings(spark, monkeypatch, text_bytes, array_bytes, starts):
+    """With small blocks, small arrays and low limits for keys that are dealt string by string, results are the same."""
+    monkeypatch.setattr(substrings, "TEXT_BYTES", text_bytes)
+    monkeypatch.setattr(substrings, "ARRAY_BYTES", array_bytes)
+    monkeypatch.setattr(substrings, "MOST_STARTS", starts)
+    monkeypatch.setattr(substrings, "CHUNK", 70 if starts == 40 else 1 << 16)
+    rows = rows_of(spark) + [(2000, "z" * 300), (2001, "y" * 20 + "z" * 120), (2002, "ab" * 200), (2003, "c" + "ab" * 60), (2004, "\0" * 80), (2005, "\0" * 60 + "z" * 60)]
+    want = substring_brute(rows)
+    out = substrings.deduplicate(docs(spark, rows), with_text=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == want
+    body = {i: (t or "").encode() for i, t in rows}
+    for r in out:
+        left, at = b"", 0
+        for s in r.spans:
+            left, at = left + body[r.doc_id][at : s.start], s.end
+        assert left + body[r.doc_id][at:] == bytes(r.kept) and len(r.spans) == r.n_spans
+
+
+def test_substrings_within_one_long_text_and_null_texts(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, None), (2, long), (3, long[1000:150_000] + "x"), (4, ""), (5, "short")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.deduplicate(docs(spark, rows)).collect()}
+    assert got == {1: (0, 0, 0), 2: (300_000, 0, 0), 3: (149_001, 149_000, 1), 4: (0, 0, 0), 5: (5, 0, 0)}
 
 
 def test_substrings_empty_and_null_ids(spark):
@@ -188,33 +206,24 @@ def test_suffix_array_and_kasai():
             assert common[x] == next((i for i in range(50) if a[i] != b[i]), 50)
 
 
-def test_blocks_of_one_key_are_merged_by_binary_search(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(substrings, "BLOCK_BYTES", 300)
-    r = random.Random(4)
-    core = "x" * 60
-    spans = [("".join(r.choice("ab") for _ in range(r.randint(0, 3))) + core + "".join(r.choice("ab") for _ in range(3))).encode() for _ in range(40)]
-    keys = [1] * 30 + [2] * 10
-    ids = list(range(40, 0, -1))
-    numbers = {s: i for i, s in enumerate(sorted(set(spans)))}
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([numbers[s] for s in spans]), pa.array(spans), pa.array(ids)], names=["key", "span_id", "span", "doc_id"])
+def test_arrays_of_one_key_are_merged_by_binary_search(monkeypatch):
     import numpy as np
 
-    got = {}
-    for b in substrings.shard_minima(iter([batch])):
-        for k, i, v in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            got.setdefault((k, i), []).append(np.frombuffer(v, "<i8"))
-    for key in (1, 2):
-        least = {}
-        mine = [(s, i) for s, i, k in zip(spans, ids, keys, strict=True) if k == key]
-        for s, i in mine:
-            for p in range(len(s) - 49):
-                least[s[p : p + 50]] = min(least.get(s[p : p + 50], i), i)
-        for s, _ in mine:
-            want = [least[s[p : p + 50]] for p in range(len(s) - 49)]
-            found = got[key, numbers[s]]
-            assert any(np.array_equal(np.broadcast_to(v, len(want)), want) for v in found)
+    r = random.Random(4)
+    piece = lambda k: "".join(r.choice("ab") for _ in range(r.randint(0, 3)))
+    pairs = sorted({(k, (piece(k) + "?xyz"[k] * 60 + piece(k)).encode()) for k in (1, 2, 2, 2, 2, 3) for _ in range(12)}, key=lambda x: (x[0], r.random()))
+    keys, spans = [k for k, _ in pairs], [s for _, s in pairs]
+    ids = r.sample(range(1000), len(spans))
+    least = {}
+    for k, s, i in zip(keys, spans, ids, strict=True):
+        for p in range(len(s) - 49):
+            least[k, s[p : p + 50]] = min(least.get((k, s[p : p + 50]), i), i)
+    want = [least[k, s[p : p + 50]] for k, s in zip(keys, spans, strict=True) for p in range(len(s) - 49)]
+    for size in (100, 300, 1000, 1 << 20):
+        monkeypatch.setattr(substrings, "ARRAY_BYTES", size)
+        starts = np.array([len(s) - 49 for s in spans])
+        got = substrings.smallest(np.array(keys, np.uint64), starts, np.array(ids), np.frombuffer(b"".join(spans), np.uint8), 50)
+        assert got.tolist() == want
 
 
 # ---- token counts

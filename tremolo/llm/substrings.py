@@ -1,19 +1,20 @@
 """Deduplication of repeated passages with suffix arrays.
 
 A byte goes if a string of `length` bytes around it also starts in a document with a smaller id. Only strings that come
-in several documents matter, and these are found by content before any suffix is sorted:
+in several documents matter. Texts are packed into blocks of documents once; then three rounds go over the blocks:
 
 1. Every string start is keyed by the smallest hash of the 24-byte grams in the string. Equal strings have equal keys,
-   and neighbouring starts mostly share one, so a text becomes a few runs of starts. Keys are dealt out in sorted,
-   packed blocks; a key that comes in several documents is a candidate.
-2. A candidate run spans the bytes of its strings. Equal spans of a key become one class, with their smallest id; the
-   spans of a key that has several go, with their bytes, to the shard of the key. Since all occurrences of a string have
-   one key, no match crosses shards.
-3. A shard's spans are put into a suffix array by Larsson-Sadakane refinement: ranks by 8 bytes, then by 16, 32 and
-   `length`, each time only within groups that are not told apart yet. Kasai's common prefixes then show which
-   neighbours agree in `length` bytes, and the smallest id of such a run is that of all its strings. A key whose spans
-   exceed a block is sorted block by block, and the blocks' strings are merged by binary search.
-4. Ids go back to the runs, runs to the documents.
+   and neighbouring starts mostly share one, so a text becomes a few runs of starts. A block deals its keys, sorted and
+   packed, to the parts of the key space; a part answers for each of them whether it comes in several documents.
+2. A run of a shared key spans the bytes of its strings. A block deals each different span once, with the smallest id
+   that has it, to the shard of its key. Since all occurrences of a string have one key, no match crosses shards. A key
+   with very many starts is dealt string by string, over all shards, by the string's own hash.
+   A shard puts its spans into suffix arrays by Larsson-Sadakane refinement: ranks by 8 bytes, then by 16, 32 and
+   `length`, each time only within groups that are not told apart yet. Kasai's common prefixes show which neighbours
+   agree in `length` bytes, and the smallest id of such a run is that of all its strings. An array holds about half a MB;
+   where a key goes on in the next one, the strings of both are merged by binary search. The smallest ids are the
+   answer to the block.
+3. A block marks the bytes of the strings whose smallest id is below the document's own, and cuts them out.
 """
 
 from __future__ import annotations
@@ -27,21 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import saved, small_batches, width
-from tremolo.llm.near import mix64
+from tremolo.llm.common import saved, sliced_arrow, width
+from tremolo.llm.near import POWERS, mix64
 
 LENGTH = 50
 GRAM = 24
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 #: A missing id counts as larger than any.
 LAST = (1 << 63) - 1
-#: Bytes of text after which a task hands on its keys; bytes of spans in one suffix array; spans of one key beyond
-#: which its strings are compared by Spark's own grouping.
-FLUSH_BYTES, BLOCK_BYTES, MOST_SPANS = 32 << 20, 1 << 20, 100_000
-#: Bytes up to which the removed spans are broadcast to the documents.
-BROADCAST_BYTES = 32 << 20
-#: Bytes of a filter over candidate keys up to which it is broadcast; beyond, the keys are joined to the documents.
-FILTER_BYTES = 64 << 20
+#: Bytes of text in a block of documents (a larger text has one to itself), bytes of spans in one suffix array, and
+#: starts of a key beyond which it is dealt string by string.
+TEXT_BYTES, ARRAY_BYTES, MOST_STARTS = 8 << 20, 1 << 19, 20_000
+#: Starts that are hashed at once.
+CHUNK = 1 << 16
+#: Leading bytes in which two words agree, by the number of bytes that the rest takes.
+EQUAL = np.array([8, 7, 6, 5, 4, 3, 2, 1, 0, 0], np.int64)
+#: Keys of a part on average.
+PART_KEYS = 2_000_000
+BLOCK = "block long, n_bytes long, docs binary, sizes binary, data binary"
 
 
 def words8(b: np.ndarray) -> np.ndarray:
@@ -52,25 +56,6 @@ def words8(b: np.ndarray) -> np.ndarray:
     return x
 
 
-def runs(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, first and last starts of the runs of strings."""
-    n = len(data)
-    if n < length:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-    w = words8(np.frombuffer(data, np.uint8))
-    grams = n - GRAM + 1
-    m = mix64(w[:grams] * MIXER + mix64(w[8 : 8 + grams]))
-    m = mix64(m * MIXER + w[16 : 16 + grams])
-    window, span = length - GRAM + 1, 1
-    while 2 * span <= window:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    if span < window:
-        m = np.minimum(m[: len(m) - (window - span)], m[window - span :])
-    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-    return mix64(m[first] * MIXER), first, np.append(first[1:], len(m)) - 1  # smallest values are not uniform, keys are
-
-
 def planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, lowest ones first, so that equal upper bytes pack well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -81,164 +66,233 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            yield from zip(part.column("doc_id").to_pylist(), part.column("data").to_pylist(), strict=True)
+def ragged(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted columns change."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def table_of(kinds: list, rows: list[tuple]) -> pa.RecordBatch:
+    names, types = zip(*kinds, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
 
 
-def task_keys(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For the texts of a task: keys (their upper bits, sorted), documents, and whether the row's key comes in several
-    of these documents."""
-    keys, docs, size = [], [], 0
+# ---- blocks of documents
+
+
+def pack_blocks(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows doc_id, data to blocks: ids, sizes and the bytes of their texts, compressed."""
+    from pyspark import TaskContext
+
+    kinds = [("block", pa.int64()), ("n_bytes", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]
+    docs, data, size, n = [], [], 0, 0
+    part = TaskContext.get().partitionId() << 32
 
     def out():
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(k)
-        k, d = k[order], d[order]
-        same = np.concatenate(([False], k[1:] == k[:-1], [False]))
-        return k, d, same[1:] | same[:-1]
-
-    for doc, data in texts_of(batches):
-        k = np.unique(runs(data, length)[0] >> np.uint64(64 - bits))
-        keys.append(k)
-        docs.append(np.full(len(k), doc, np.int64))
-        size += len(data)
-        if size > FLUSH_BYTES:
-            yield out()
-            keys, docs, size = [], [], 0
-    if keys:
+        whole = b"".join(data)
+        row = part + n, size, np.array(docs, np.int64).tobytes(), np.fromiter(map(len, data), np.int64, len(data)).tobytes(), pa.compress(whole, "zstd", asbytes=True)
+        return table_of(kinds, [row])
+
+    for batch in sliced_arrow(batches):
+        for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if docs and size + len(body) > text_bytes:
+                yield out()
+                docs, data, size, n = [], [], 0, n + 1
+            docs.append(doc)
+            data.append(body)
+            size += len(body)
+    if docs:
         yield out()
 
 
+def unpacked(docs: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.frombuffer(sizes, np.int64)
+    return np.frombuffer(docs, np.int64), n, np.frombuffer(pa.decompress(data, int(n.sum()), "zstd"), np.uint8)
+
+
+def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, first starts, numbers of starts and hashes of the spans, for the runs of strings in a block's texts."""
+    n, ends = len(data), np.cumsum(sizes)
+    inside = np.ones(n, bool)  # starts of strings that do not go beyond their text
+    for a, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        inside[max(a, e - length + 1) : e] = False
+    up, down = POWERS.get(min(n, CHUNK + length))
+    window, out = length - GRAM + 1, []
+    for c in range(0, n - length + 1, CHUNK):
+        b = data[c : c + CHUNK + length - 1]
+        t = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(b * up[: len(b)], out=t[1:])
+        m = t[GRAM:] - t[:-GRAM]
+        m *= down[: len(m)]
+        span = 1
+        while 2 * span <= window:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        if span < window:
+            m = np.minimum(m[: len(m) - (window - span)], m[window - span :])
+        ok = inside[c : c + len(m)]
+        edge = ~ok
+        edge[0] = True
+        edge[1:] |= m[1:] != m[:-1]
+        edge[1:] |= ~ok[:-1]
+        at = np.flatnonzero(edge)
+        count = np.diff(np.append(at, len(m)))
+        good = ok[at]
+        at, count = at[good], count[good]
+        h = (t[at + count - 1 + length] - t[at]) * down[at]
+        out.append((m[at], at + c, count, h))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    key, first, count, h = (np.concatenate(x) for x in zip(*out, strict=True))
+    return mix64(key * MIXER), first, count, mix64(h + count.astype(np.uint64) * MIXER)  # smallest values are not uniform, keys are
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the string at each start."""
+    up = POWERS.get(length)[0][:length]
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), CHUNK):
+        some = starts[a : a + CHUNK]
+        out[a : a + CHUNK] = (data[some[:, None] + np.arange(length)] * up).sum(axis=1, dtype=np.uint64)
+    return mix64(out + MIXER)
+
+
+def by_key(key: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """The order by the upper bits of the key, then by some bits of the hash."""
+    return np.argsort((key >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+
+
 def expected(total: int, length: int) -> tuple[int, int]:
     """The number of runs in so many bytes, and the bits of a key that tell them apart."""
     records = int(total / (length - GRAM + 2) * 2) + 1
-    return records, min(60, math.ceil(math.log2(records)) + 8)
-
-
-def candidates(data: DataFrame, total: int, length: int, with_docs: bool) -> DataFrame:
-    """key (its upper bits, the rest 0) for the keys that come in several documents; with_docs: doc_id, key for each of
-    these documents. A task sends its keys once each, sorted and packed, to the part of the key space they are in."""
-    records, bits = expected(total, length)
-    parts = max(width(data.sparkSession), math.ceil(records / 1_000_000))
-    shift = np.uint64(64 - bits)
-
-    def rows_of(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        cols = [pa.array((keys << shift).view(np.int64))]
-        return pa.RecordBatch.from_arrays([pa.array(docs), *cols] if with_docs else cols, names=["doc_id", "key"][1 - with_docs :])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys that come again in the task itself."""
-        for k, d, several in task_keys(batches, bits, length):
-            yield rows_of(d[several], k[several])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each part of the key space, with the task's keys once each."""
-        for k, d, several in task_keys(batches, bits, length):
-            once = np.concatenate(([True], k[1:] != k[:-1]))
-            k, d, several = k[once], d[once], several[once]
-            cut = np.searchsorted(k, (np.arange(parts + 1, dtype=np.float64) * (2.0**bits / parts)).astype(np.uint64))
-            cut[-1] = len(k)
-            rows = [(p, planes(np.diff(k[a:b], prepend=np.uint64(0))), planes(d[a:b]) if with_docs else b"", np.packbits(several[a:b]).tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), *[pa.binary()] * 3])], names=["part", "keys", "docs", "several"])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys of a part that several tasks have, or one task several times."""
-
-        def out(blocks):
-            k = np.concatenate([np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x, _, _ in blocks])
-            d = np.concatenate([unplanes(x, np.int64) for _, x, _ in blocks]) if with_docs else k
-            sizes = [len(x) // 8 for x, _, _ in blocks]
-            s = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for (_, _, x), n in zip(blocks, sizes, strict=True)]).astype(bool)
-            order = np.argsort(k)
-            k, d, s = k[order], d[order], s[order]
-            same = np.concatenate(([False], k[1:] == k[:-1], [False]))
-            if with_docs:
-                keep = (same[1:] | same[:-1]) & ~s  # documents that share the key within their task are told there
-                return rows_of(d[keep], k[keep])
-            return rows_of(d, np.unique(k[same[1:] | s]))
-
-        at, blocks = None, []
-        for batch in batches:
-            for part, *block in zip(*[batch.column(c).to_pylist() for c in ("part", "keys", "docs", "several")], strict=True):
-                if part != at and blocks:
-                    yield out(blocks)
-                    blocks = []
-                at = part
-                blocks.append(block)
-        if blocks:
-            yield out(blocks)
-
-    dealt = data.mapInArrow(packed, "part int, keys binary, docs binary, several binary").repartition(parts, "part").sortWithinPartitions("part")
-    if not with_docs:
-        return dealt.mapInArrow(met, "key long")
-    pairs = "doc_id long, key long"
-    return dealt.mapInArrow(met, pairs).unionByName(data.mapInArrow(shared, pairs))
-
-
-def bitmap(keys: DataFrame, count: int):
-    """A broadcast filter of 32 to 64 bits a key, by the keys' upper bits; None if it would exceed FILTER_BYTES. Each
-    task makes slices of it. About one key in 50 passes by chance, which costs a row and changes no result."""
-    bits = max(9, math.ceil(math.log2(32 * max(1, count))))
-    if 1 << bits > 8 * FILTER_BYTES:
-        return None
-    slices, each = 64, 1 << (bits - 6)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            for i in np.unique(at >> np.uint64(bits - 6)).tolist():
-                own = held.setdefault(i, np.zeros(each, bool))
-                own[(at[(at >> np.uint64(bits - 6)) == i] & np.uint64(each - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["slice", "bits"])
-
-    whole = np.zeros(slices * each // 8, np.uint8)
-    dealt = keys.select(F.shiftrightunsigned("key", 58).alias("slice"), "key").repartition(slices, "slice")
-    for i, part in dealt.mapInArrow(draw, "slice int, bits binary").toLocalIterator():
-        whole[i * each // 8 : (i + 1) * each // 8] |= np.frombuffer(part, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast((bits, whole))
-
-
-def occurrences(data: DataFrame, keys: DataFrame, count: int, length: int, with_span: bool, mask: int, with_docs) -> DataFrame:
-    """key, span_id, doc_id, text_id, start, size of the runs whose key is (all but surely) among the keys; with_span adds
-    their bytes. With a filter that fits, this is a scan; beyond, with_docs() gives doc_id, key and meets the texts."""
-    known = bitmap(keys, count)
-    names = ["key", "span_id", "doc_id", "text_id", "start", "size"] + ["span"] * with_span
-    kinds = [pa.int64()] * 6 + [pa.binary()] * with_span
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for j in range(batch.num_rows):
-                doc, tid, text = (batch.column(c)[j].as_py() for c in ("doc_id", "text_id", "data"))
-                k, a, b = runs(text, length)
-                if known is not None:
-                    bits, whole = known.value
-                    at = (k >> np.uint64(64 - bits)).astype(np.int64)
-                    hit = (whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                else:
-                    wanted = batch.column("keys")[j].values.to_numpy().view(np.uint64)
-                    hit = np.isin(k & np.uint64(mask), wanted)
-                for key, x, y in zip(k[hit].view(np.int64).tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
-                    span = text[x : y + length]
-                    row = (key, int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little", signed=True), doc, tid, x, y + length - x)
-                    rows.append((*row, span) if with_span else row)
-                if len(rows) > 20_000:
-                    yield out(rows)
-                    rows = []
-        yield out(rows)
-
-    schema = ", ".join(f"{n} {'binary' if n == 'span' else 'long'}" for n in names)
-    if known is None:
-        own = with_docs().groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # a document's keys, bounded by its length
-        data = data.join(own, "doc_id")
-    return data.mapInArrow(cut, schema)
+    return records, min(56, max(8, math.ceil(math.log2(records)) + 8))
+
+
+def cuts(upper: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where the parts of the key space begin and end among sorted upper bits of keys."""
+    edges = [-(-(p << bits) // parts) for p in range(parts)]
+    return np.append(np.searchsorted(upper, np.array(edges, np.uint64)), len(upper))
+
+
+# ---- round 1: which keys come in several documents
+
+
+def block_keys(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray, bits: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's different keys (their upper bits, sorted), whether several ids have them, and the starts of their
+    different spans."""
+    key, first, count, h = runs(data, sizes, length)
+    order = by_key(key, h, bits)
+    k, h, n = key[order] >> np.uint64(64 - bits), h[order], count[order]
+    d = docs[np.searchsorted(np.cumsum(sizes), first[order], side="right")]
+    if not len(k):
+        return k, np.zeros(0, bool), np.zeros(0, np.uint32)
+    head = heads(k)
+    new = np.zeros(len(k), bool)
+    new[heads(k, h)] = True
+    starts = np.minimum(np.add.reduceat(np.where(new, n, 0), head), MOST_STARTS + 1)
+    return k[head], np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head), starts.astype(np.uint32)
+
+
+def deal_keys(batches: Iterator[pa.RecordBatch], bits: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
+    kinds = [("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary()), ("starts", pa.binary())]
+    for batch in sliced_arrow(batches, 1):
+        block, *packed = (batch.column(c)[0].as_py() for c in ("block", "docs", "sizes", "data"))
+        k, several, starts = block_keys(*unpacked(*packed), bits, length)
+        at = cuts(k, bits, parts).tolist()
+        yield table_of(kinds, [(p, block, planes(np.diff(k[a:b], prepend=np.uint64(0))), np.packbits(several[a:b]).tobytes(), planes(starts[a:b])) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: str, columns: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each value of a sorted column."""
+    at, held = None, []
+    for batch in sliced_arrow(batches):
+        for value, *row in zip(*[batch.column(c).to_pylist() for c in (by, *columns)], strict=True):
+            if value != at and held:
+                yield at, held
+                held = []
+            at = value
+            held.append(tuple(row))
+    if held:
+        yield at, held
+
+
+def judge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each key of each block: 0, or 1 if it comes in several documents, 2 if it also has very many starts."""
+    kinds = [("block", pa.int64()), ("part", pa.int32()), ("state", pa.binary())]
+    for part, rows in grouped(batches, "part", ("block", "keys", "several", "starts")):
+        keys = [np.cumsum(unplanes(r[1], np.uint64), dtype=np.uint64) for r in rows]
+        sizes = [len(k) for k in keys]
+        k = np.concatenate(keys)
+        several = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8))[:n] for r, n in zip(rows, sizes, strict=True)])
+        starts = np.concatenate([unplanes(r[3], np.uint32) for r in rows]).astype(np.int64)
+        order = np.argsort(k)
+        head = heads(k[order])
+        many = np.diff(np.append(head, len(k)))
+        met = (many > 1) | (np.add.reduceat(several[order], head, dtype=np.int64) > 0)
+        hot = met & (np.add.reduceat(starts[order], head) > MOST_STARTS)
+        state = np.empty(len(k), np.uint8)
+        state[order] = np.repeat(met.astype(np.uint8) + hot, many)
+        for a in range(0, len(rows), 1000):
+            ends = np.cumsum(sizes)
+            yield table_of(kinds, [(r[0], part, state[e - n : e].tobytes()) for r, n, e in zip(rows[a : a + 1000], sizes[a : a + 1000], ends[a : a + 1000].tolist(), strict=True)])
+
+
+# ---- round 2: the smallest id of each string
+
+
+class Spans:
+    """The spans of a block whose keys are shared: for each occurrence its first start, number of starts, document and
+    span; for each different span, sorted by key, its key, hash, first start, number of starts and smallest id."""
+
+    def __init__(self, docs: np.ndarray, sizes: np.ndarray, data: np.ndarray, state: np.ndarray, bits: int, length: int):
+        key, first, count, h = runs(data, sizes, length)
+        upper = key >> np.uint64(64 - bits)
+        known, where = np.unique(upper, return_inverse=True)
+        is_ = state[where]
+        hot, cold = np.flatnonzero(is_ == 2), np.flatnonzero(is_ == 1)
+        if len(hot):  # each string on its own
+            one = np.repeat(first[hot], count[hot]) + ragged(count[hot])
+            own = hashes(data, one, length)
+            key, h = np.concatenate((key[cold], own)), np.concatenate((h[cold], own))
+            first, count = np.concatenate((first[cold], one)), np.concatenate((count[cold], np.ones(len(one), np.int64)))
+        else:
+            key, h, first, count = key[cold], h[cold], first[cold], count[cold]
+        order = by_key(key, h, bits)
+        self.first, self.count, key, h = first[order], count[order], key[order], h[order]
+        self.doc = docs[np.searchsorted(np.cumsum(sizes), self.first, side="right")]
+        head = heads(key, h) if len(key) else np.zeros(0, np.int64)
+        self.span = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+        self.key, self.hash, self.start, self.starts = key[head], h[head], self.first[head], self.count[head]
+        self.least = np.minimum.reduceat(self.doc, head) if len(head) else np.zeros(0, np.int64)
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each block with the answers to it, put together over the parts: block, docs, sizes, data, state, answers."""
+    for block, rows in grouped(batches, "block", ("kind", "docs", "sizes", "data", "state", "n", "lengths", "values")):
+        packed = next(r[1:4] for r in rows if r[0] == 0)
+        state = np.frombuffer(b"".join(r[4] for r in rows if r[0] == 1), np.uint8)
+        yield block, *unpacked(*packed), state, [r[5:8] for r in rows if r[0] == 2]
+
+
+def deal_spans(batches: Iterator[pa.RecordBatch], bits: int, parts: int, length: int) -> Iterator[pa.RecordBatch]:
+    kinds = [("part", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "hashes", "starts", "least", "bytes")]]
+    for block, docs, sizes, data, state, _ in by_block(batches):
+        s = Spans(docs, sizes, data, state, bits, length)
+        at = cuts(s.key >> np.uint64(64 - bits), bits, parts).tolist()
+        rows = []
+        for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            if b > a:
+                size = s.starts[a:b] + length - 1
+                body = data[np.repeat(s.start[a:b], size) + ragged(size)]
+                rows.append((p, block, planes(s.key[a:b]), planes(s.hash[a:b]), planes(s.starts[a:b].astype(np.uint32)), planes(s.least[a:b]), body.tobytes()))
+        yield table_of(kinds, rows)
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -275,8 +329,12 @@ def kasai(text: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndar
 
     Kasai's walk goes from a start to the next one, which keeps all but one byte of the last common prefix. That holds
     if the start before was told apart within `length` bytes and its own next start is in the array; else the count
-    begins anew. The spans (first start, number of starts) walk together, eight bytes at a time."""
-    words = words8(text)
+    begins anew. The spans (first start, number of starts), in pieces of at most 32 starts, walk together, eight bytes
+    at a time."""
+    pieces = -(-count // 32)
+    step = 32 * ragged(pieces)
+    first, count = np.repeat(first, pieces) + step, np.minimum(np.repeat(count, pieces) - step, 32)
+    words = words8(np.concatenate((text, np.zeros(15, np.uint8))))
     is_start = np.zeros(len(text) + 1, bool)
     is_start[order] = True
     before = np.full(len(text), -1, np.int64)
@@ -290,171 +348,162 @@ def kasai(text: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndar
         i = first[lane] + t
         j = before[i]
         now = np.where(j < 0, 0, np.maximum(h[lane] - 1, 0))
-        go = np.flatnonzero((j >= 0) & (now + 8 <= length))
+        go = np.flatnonzero(j >= 0)
         while len(go):
-            go = go[words[i[go] + now[go]] == words[j[go] + now[go]]]
-            now[go] += 8
-            go = go[now[go] + 8 <= length]
-        go = np.flatnonzero((j >= 0) & (now < length))
-        while len(go):
-            go = go[text[i[go] + now[go]] == text[j[go] + now[go]]]
-            now[go] += 1
-            go = go[now[go] < length]
+            differ = words[i[go] + now[go]] ^ words[j[go] + now[go]]
+            now[go] += EQUAL[(np.frexp(differ.astype(np.float64))[1] + 7) >> 3]
+            go = go[(differ == 0) & (now[go] < length)]
+        now = np.minimum(now, length)
         out[i] = now
         h[lane] = np.where((j >= 0) & (now < length) & is_start[j + 1], now, 0)
     return out[order]
 
 
-def block_minima(spans: list[bytes], docs: np.ndarray, length: int):
-    """For one block: the smallest id for each start (in the order of spans and starts), the sorted different strings
-    and their smallest ids, and each start's place among them."""
-    text = np.frombuffer(b"".join(spans), np.uint8)
-    size = np.fromiter(map(len, spans), np.int64, len(spans))
-    first = np.cumsum(size) - size
-    count = size - length + 1
-    owner = np.repeat(np.arange(len(spans)), count)
-    starts = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    order = suffix_array(text, starts, length)
-    common = kasai(text, order, first, count, length)
-    head = np.flatnonzero(np.concatenate(([True], common[1:] < length)))
-    place = np.empty(len(text), np.int64)
-    place[starts] = np.arange(len(starts))
-    at = place[order]
-    least = np.minimum.reduceat(docs[owner[at]], head)
-    cls = np.empty(len(starts), np.int64)
-    cls[at] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-    # bytes of UTF-8 are never 0xFF: one more makes them safe for numpy's strings, which end at a 0
-    strings = (text[order[head][:, None] + np.arange(length)] + np.uint8(1)).view(f"S{length}").ravel()
-    return count, strings, least, cls
-
-
-def shard_minima(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """A shard's spans, sorted by key: key, span_id and the smallest id for each start of the span (one number where
-    they are all the same)."""
-    block, size, last = [], 0, None
-    held: list = []  # blocks of a key that goes on
-
-    def out(done):
-        rows = []
-        for spans, (count, _, least, cls) in done:
-            values = least[cls]
-            ends = np.cumsum(count)
-            for (key, span_id, _, _), a, b in zip(spans, (ends - count).tolist(), ends.tolist(), strict=True):
-                v = values[a:b]
-                rows.append((key, span_id, (v[:1] if (v == v[0]).all() else v).astype("<i8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "span_id", "least"])
-
-    def close():
-        """Put held blocks together: a string's smallest id over all of them, found by binary search."""
-        for x in range(len(held)):
-            for y in range(x):
-                (_, a, least_a, _), (_, b, least_b, _) = held[x][1], held[y][1]
-                where = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                same = b[where] == a
-                low = np.minimum(least_a[same], least_b[where[same]])
-                least_a[same] = low
-                least_b[where[same]] = low
-        return out(held)
-
-    def sort():
-        held.append((block, block_minima([r[2] for r in block], np.array([r[3] for r in block], np.int64), length)))
-
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "span_id", "span", "doc_id")], strict=True):
-            key = row[0]
-            if size > BLOCK_BYTES:
-                sort()
-                block, size = [], 0
-                if key != last:
-                    yield close()
-                    held = []
-            elif held and key != last:  # the key that went over its blocks has ended
-                sort()
-                yield close()
-                block, size, held = [], 0, []
-            block.append(row)
-            size += len(row[2])
-            last = key
-    if block:
-        sort()
-    if held:
-        yield close()
-
-
-def removed_starts(data: DataFrame, total: int, length: int) -> DataFrame:
-    """doc_id, text_id, first, last: runs of starts of strings that also start in a document with a smaller id."""
-    plain = data.select("doc_id", "data")
-    mask = (1 << 64) - (1 << 64 - expected(total, length)[1])  # the upper bits, which a candidate's key keeps
-    found = saved(candidates(plain, total, length, False), "keys")
-
-    def told(keys: DataFrame):
-        """doc_id, key for some keys, where these are too many for a filter."""
-        some = keys.select(F.col("key").bitwiseAND(F.lit(mask - (1 << 64))).alias("key")).distinct()
-        return lambda: candidates(plain, total, length, True).join(some, "key", "left_semi").distinct()
-
-    # spans that are alike are one class of the key, with its smallest and largest id
-    rows = occurrences(data, found, found.count(), length, False, mask, told(found))
-    classes = rows.groupBy("key", "span_id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    classes = saved(classes, "classes")
-    per_key = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("key", "n")
-    per_key = saved(per_key, "met")
-    # a key with one span has nothing to sort: its strings' smallest id is the span's
-    least = classes.join(per_key.filter("n = 1").select("key"), "key", "left_semi").select("key", "span_id", "lo", F.lit(None).cast("binary").alias("least"))
-    several = per_key.filter("n > 1").select("key")
-    n = several.count()
-    bytes_ = occurrences(data, several, n, length, True, mask, told(several))
-    alike = bytes_.groupBy("key", "span_id", "span").agg(F.min("doc_id").alias("doc_id"))
-    cold = per_key.filter((F.col("n") > 1) & (F.col("n") <= MOST_SPANS)).select("key")
-    shards = alike.join(cold, "key", "left_semi").select("key", "span_id", "span", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
-    sorted_ = shards.mapInArrow(lambda b: shard_minima(b, length), "key long, span_id long, least binary")
-    least = saved(least.unionByName(sorted_.select("key", "span_id", F.lit(None).cast("bigint").alias("lo"), "least")), "least")
-    starts = rows.join(least, ["key", "span_id"]).select("doc_id", "text_id", "start", "size", "lo", "least")
-    starts = starts.filter("lo is null or lo < doc_id").mapInArrow(lambda b: _above(b, length), "doc_id long, text_id long, first long, last long")
-    hot = per_key.filter(F.col("n") > MOST_SPANS).select("key")  # at most one key for each MOST_SPANS spans
-    if hot.isEmpty():
-        return starts
-    # a key with very many different spans: its strings are grouped one by one, with partial minima before the shuffle
-    many = bytes_.join(F.broadcast(hot), "key", "left_semi")
-    each = many.select("doc_id", "text_id", "start", "span", F.explode(F.sequence(F.lit(0), F.octet_length("span") - length)).alias("i"))
-    each = each.select("doc_id", "text_id", (F.col("start") + F.col("i")).alias("first"), F.expr(f"substring(span, i + 1, {length})").alias("string"))
-    low = each.groupBy("string").agg(F.min("doc_id").alias("least"))
-    more = each.join(low, "string").filter("least < doc_id")
-    return starts.unionByName(more.select("doc_id", "text_id", "first", F.col("first").alias("last")))
-
-
-def _above(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The runs of starts whose smallest id is below the document's own."""
-    for b in batches:
+class Array:
+    """A suffix array of spans with common prefixes: the sorted different strings, their smallest ids, and each start's
+    place among them."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
+        size = starts + length - 1
+        first = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(starts)), starts)
+        at = first[owner] + ragged(starts)
+        order = suffix_array(text, at, length)
+        common = kasai(text, order, first, starts, length)
+        head = np.flatnonzero(np.concatenate(([True], common[1:] < length)))
+        place = np.empty(len(text), np.int64)
+        place[at] = np.arange(len(at))
+        sorted_ = place[order]
+        self.least = np.minimum.reduceat(docs[owner[sorted_]], head)
+        self.of = np.empty(len(at), np.int64)
+        self.of[sorted_] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        self.text, self.at, self.length = text, order[head], length
+
+    def strings(self, which: np.ndarray) -> np.ndarray:
+        # bytes of UTF-8 are never 0xFF: one more makes them safe for numpy's strings, which end at a 0
+        return (self.text[self.at[which][:, None] + np.arange(self.length)] + np.uint8(1)).view(f"S{self.length}").ravel()
+
+
+def smallest(key: np.ndarray, starts: np.ndarray, docs: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """For each start of spans sorted by key, the smallest id of its string."""
+    ends = np.cumsum(starts + length - 1)
+    number = np.cumsum(starts)
+    arrays: list[tuple[int, int, Array]] = []
+    out = np.empty(number[-1], np.int64)
+
+    def close() -> None:
+        for a, b, array in arrays:
+            out[(number[a - 1] if a else 0) : number[b - 1]] = array.least[array.of]
+        arrays.clear()
+
+    a = 0
+    while a < len(key):
+        base = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, base + ARRAY_BYTES, side="right")))
+        if arrays and key[arrays[-1][1] - 1] != key[a]:
+            close()
+        new = Array(text[base : ends[b - 1]], starts[a:b], docs[a:b], length)
+        # a key that began in an array before: its strings there are sought among those here
+        goes_on = int(np.searchsorted(key[a:b], key[a], side="right"))
+        mine = np.unique(new.of[: starts[a : a + goes_on].sum()])
+        for x, y, old in arrays:
+            there = np.unique(old.of[number[x + np.searchsorted(key[x:y], key[a])] - starts[x + np.searchsorted(key[x:y], key[a])] - (number[x - 1] if x else 0) :])
+            if len(there):
+                known, sought = old.strings(there), new.strings(mine)
+                where = np.minimum(np.searchsorted(known, sought), len(known) - 1)
+                same = known[where] == sought
+                low = np.minimum(new.least[mine[same]], old.least[there[where[same]]])
+                new.least[mine[same]] = low
+                old.least[there[where[same]]] = low
+        arrays.append((a, b, new))
+        a = b
+    close()
+    return out
+
+
+def judge_spans(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> Iterator[pa.RecordBatch]:
+    """For each span of each block: runs of starts (their number, their lengths) and how far the smallest id of their
+    strings is below the block's own."""
+    kinds = [("block", pa.int64()), ("part", pa.int32()), ("n", pa.binary()), ("lengths", pa.binary()), ("values", pa.binary())]
+    for part, rows in grouped(batches, "part", ("block", "keys", "hashes", "starts", "least", "bytes")):
+        key, h = (np.concatenate([unplanes(r[i], np.uint64) for r in rows]) for i in (1, 2))
+        starts = np.concatenate([unplanes(r[3], np.uint32) for r in rows]).astype(np.int64)
+        own = np.concatenate([unplanes(r[4], np.int64) for r in rows])
+        text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        order = np.lexsort((h, key))
+        head = heads(key[order], h[order])
+        many = np.diff(np.append(head, len(key)))
+        size = starts + length - 1
+        begin = np.cumsum(size) - size
+        one = order[head]  # a span of each kind, with the smallest id over all blocks
+        n = starts[one]
+        body = text[np.repeat(begin[one], size[one]) + ragged(size[one])]
+        values = smallest(key[one], n, np.minimum.reduceat(own[order], head), body, length)
+        edge = np.zeros(len(values), bool)
+        edge[np.cumsum(n) - n] = True
+        edge[1:] |= values[1:] != values[:-1]
+        at = np.flatnonzero(edge)
+        lengths, values = np.diff(np.append(at, len(values))), values[at]
+        which = np.searchsorted(np.cumsum(n), at, side="right")
+        pieces = np.bincount(which, minlength=len(one))
+        before = np.cumsum(pieces) - pieces
+        kind = np.empty(len(key), np.int64)
+        kind[order] = np.repeat(np.arange(len(one)), many)
+        stop = np.cumsum([len(r[1]) // 8 for r in rows]).tolist()
+        out = []
+        for r, a, b in zip(rows, [0, *stop[:-1]], stop, strict=True):
+            k = kind[a:b]
+            get = np.repeat(before[k], pieces[k]) + ragged(pieces[k])
+            below = np.repeat(own[a:b], pieces[k]) - values[get]
+            out.append((r[0], part, planes(pieces[k].astype(np.uint32)), planes(lengths[get].astype(np.uint32)), planes(below)))
+            if len(out) == 1000:
+                yield table_of(kinds, out)
+                out = []
+        yield table_of(kinds, out)
+
+
+# ---- round 3: what goes
+
+
+def cut_out(batches: Iterator[pa.RecordBatch], bits: int, length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    if with_text:
+        kinds += [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    for _, docs, sizes, data, state, answers in by_block(batches):
+        gone = np.zeros(len(data) + 1, np.int32)
+        if answers:
+            s = Spans(docs, sizes, data, state, bits, length)
+            pieces, lengths = (np.concatenate([unplanes(r[i], np.uint32) for r in answers]).astype(np.int64) for i in (0, 1))
+            below = np.concatenate([unplanes(r[2], np.int64) for r in answers])
+            offset = np.cumsum(lengths) - lengths
+            offset -= np.repeat(offset[np.cumsum(pieces) - pieces], pieces)
+            n = pieces[s.span]
+            get = np.repeat((np.cumsum(pieces) - pieces)[s.span], n) + ragged(n)
+            least = np.repeat(s.least[s.span], n) - below[get]
+            hit = least < np.repeat(s.doc, n)
+            a = (np.repeat(s.first, n) + offset[get])[hit]
+            np.add.at(gone, a, 1)
+            np.add.at(gone, a + lengths[get][hit] + length - 1, -1)
+        removed = np.cumsum(gone[:-1]) > 0
+        ends = np.cumsum(sizes)
+        firsts = ends - sizes
+        stays = data[~removed].tobytes()
+        total = np.concatenate(([0], np.cumsum(~removed)))
+        edge = removed.copy()
+        edge[1:] &= ~removed[:-1]
+        edge[firsts[sizes > 0]] = removed[firsts[sizes > 0]]
+        starts = np.flatnonzero(edge)
+        close = removed.copy()
+        close[:-1] &= edge[1:] | ~removed[1:]
+        stops = np.flatnonzero(close) + 1
+        spans = np.searchsorted(starts, np.concatenate((firsts, ends)))
         rows = []
-        for doc, tid, start, size, lo, low in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text_id", "start", "size", "lo", "least")], strict=True):
-            n = size - length + 1
-            if low is None:
-                rows.append((doc, tid, start, start + n - 1))
-                continue
-            v = np.frombuffer(low, "<i8")
-            if len(v) == 1:
-                if v[0] < doc:
-                    rows.append((doc, tid, start, start + n - 1))
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], (v < doc).view(np.int8), [0]))))
-            rows += [(doc, tid, start + x, start + y - 1) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "text_id", "first", "last"])
-
-
-def cut_out(data: bytes, firsts: list[int], lasts: list[int], length: int) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed runs of bytes, and what is left."""
-    spans: list[list[int]] = []
-    for a, b in sorted(zip(firsts, (x + length for x in lasts), strict=True)):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-        else:
-            spans.append([a, b])
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(data[at:a])
-        at = b
-    kept.append(data[at:])
-    return [tuple(x) for x in spans], b"".join(kept)
+        for i, (doc, a, e, x, y) in enumerate(zip(docs.tolist(), firsts.tolist(), ends.tolist(), total[firsts].tolist(), total[ends].tolist(), strict=True)):
+            kept = stays[x:y]
+            p, q = spans[i], spans[len(docs) + i]
+            row = (None if doc == LAST else doc, e - a, e - a - len(kept), int(q - p), hashlib.sha256(kept).hexdigest())
+            rows.append((*row, kept, [{"start": u - a, "end": v - a} for u, v in zip(starts[p:q].tolist(), stops[p:q].tolist(), strict=True)]) if with_text else row)
+        yield table_of(kinds, rows)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -463,32 +512,35 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     Texts are their UTF-8 bytes, null is empty. Strings are judged on the input: all their occurrences count, whatever
     else is removed there. A text below `length` bytes keeps everything. A null id counts as larger than any. Rows that
     repeat an id do not remove each other's strings. An empty table gives an empty table."""
-    small_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    data = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("text_id"), text.cast("binary").alias("data"))
-    total = data.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
-    runs_ = removed_starts(data.filter(F.octet_length("data") >= length), total, length)
-    runs_ = saved(runs_.groupBy("doc_id", "text_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "removed")
-    size = runs_.agg(F.coalesce(F.sum(F.size("first") * 16 + 64), F.lit(0)).alias("n")).first()["n"]
-    joined = data.join(F.broadcast(runs_) if size <= BROADCAST_BYTES else runs_, ["doc_id", "text_id"], "left")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for doc, body, firsts, lasts in zip(*[part.column(c).to_pylist() for c in ("doc_id", "data", "first", "last")], strict=True):
-                    spans, kept = cut_out(body, firsts, lasts, length) if firsts else ([], body)
-                    row = (None if doc == LAST else doc, len(body), len(body) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept, [{"start": a, "end": b} for a, b in spans]) if with_text else row)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if with_text:
-                    kinds += [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-                    names += ["kept", "spans"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
+    if length <= GRAM:
+        raise ValueError(f"strings of more than {GRAM} bytes are needed")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), text.alias("data"))
+    blocks = saved(rows.mapInArrow(lambda b: pack_blocks(b, TEXT_BYTES), BLOCK), "blocks", compression="uncompressed")
+    whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    records, bits = expected(whole["bytes"] or 0, length)
+    parts = max(width(docs.sparkSession), math.ceil(records / PART_KEYS))
+    wide = max(width(docs.sparkSession), math.ceil(whole["n"] / 4))
+
+    dealt = blocks.mapInArrow(lambda b: deal_keys(b, bits, parts, length), "part int, block long, keys binary, several binary, starts binary")
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    states = saved(dealt.mapInArrow(judge_keys, "block long, part int, state binary"), "states")
+
+    def met(*answers: DataFrame) -> DataFrame:
+        """The blocks, each together with the answers to it."""
+        out = blocks.drop("n_bytes").withColumns({"kind": F.lit(0), "part": F.lit(-1)})
+        for kind, a in enumerate(answers, 1):
+            out = out.unionByName(a.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+        for c in ("state", "n", "lengths", "values"):
+            if c not in out.columns:
+                out = out.withColumn(c, F.lit(None).cast("binary"))
+        return out.repartition(wide, "block").sortWithinPartitions("block", "kind", "part")
+
+    spans = met(states).mapInArrow(lambda b: deal_spans(b, bits, parts, length), "part int, block long, keys binary, hashes binary, starts binary, least binary, bytes binary")
+    spans = spans.repartition(parts, "part").sortWithinPartitions("part")
+    least = saved(spans.mapInArrow(lambda b: judge_spans(b, bits, length), "block long, part int, n binary, lengths binary, values binary"), "least")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInArrow(close, schema + ", kept binary, spans array<struct<start: long, end: long>>" * with_text)
+    return met(states, least).mapInArrow(lambda b: cut_out(b, bits, length, with_text), schema + ", kept binary, spans array<struct<start: long, end: long>>" * with_text)
 
 
 def deduplicate_sql(table: str = "documents", length: int = LENGTH) -> str:
