@@ -1,14 +1,18 @@
 """Language identification by cross-parsing entropy.
 
 For each language, labelled text is turned into a suffix automaton. A text is parsed against each automaton into the
-longest phrases that occur in the language's text; the language that needs the fewest phrases for each character wins.
+longest phrases that occur in the language's text. Counts are normalised by the phrases that the language's own text
+needs, as measured between pieces of what was learnt, so that a language of which more was learnt has no advantage.
+The language with the fewest normalised phrases wins.
 
-Parsing goes in lockstep over many blocks of text at once: the automaton is a dense table, a phrase ends where the
-table has no transition, and one numpy gather advances all blocks by one character.
+Parsing goes in lockstep over many texts at once: the automaton is a dense table, a phrase ends where the table has no
+transition, and one numpy gather advances all texts by one character. Where few texts are left, each is parsed alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +25,21 @@ from tremolo.llm.common import held_out
 
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-#: Characters of a text that are parsed as one; a phrase does not go beyond a block.
-BLOCK = 512
+#: Characters of a passage that is learnt.
+PASSAGE = 1000
+#: Characters learnt below which a language's own phrases are measured with more than two pieces.
+FOLDED = 32_000
+#: Texts in lockstep at most, and below which each is parsed alone.
+LANES, FEW = 4096, 48
 #: Bytes of tables that a worker holds at once, but for one language's at least.
 TABLE_BYTES = 384 << 20
 #: Characters of text that are parsed together where the tables are built again for them.
 TOGETHER = 16 << 20
 
 
-def sample(docs: DataFrame, rows: int = 96) -> DataFrame:
-    """lang, text: at most `rows` labelled documents for each language, those with the smallest hash of their id.
+def sample(docs: DataFrame, rows: int = 96, passages: int = 48) -> DataFrame:
+    """lang, __h, doc_id, at, text: of each language, at most `passages` passages of 1000 characters, out of at most
+    `rows` labelled documents; those with the smallest hashes of the id, and of the id and the passage's place.
 
     Ranks are first taken within 64 slices of each language, so that no task sorts a whole language."""
     labelled = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("__h"))
@@ -39,7 +48,12 @@ def sample(docs: DataFrame, rows: int = 96) -> DataFrame:
     last = Window.partitionBy("lang").orderBy("__h", "doc_id")
     best = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rows)
     best = best.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= rows).select("lang", "doc_id").distinct()
-    return labelled.join(F.broadcast(best), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "__h", "text")
+    whole = labelled.join(F.broadcast(best), ["lang", "doc_id"], "left_semi")
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / PASSAGE).cast("int")))
+    cut = whole.select("lang", "doc_id", "text", F.explode(at).alias("at"))
+    cut = cut.select("lang", "doc_id", "at", F.expr(f"substring(text, at * {PASSAGE} + 1, {PASSAGE})").alias("text"), F.xxhash64("doc_id", "at").alias("__h"))
+    spread = Window.partitionBy("lang").orderBy("__h", "doc_id", "at", "text")
+    return cut.withColumn("r", F.row_number().over(spread)).filter(F.col("r") <= passages).select("lang", "__h", "doc_id", "at", "text")
 
 
 class Alphabet:
@@ -138,16 +152,69 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(table)
 
 
+def parsed(table: np.ndarray, size: int, codes: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The number of phrases of each text. Texts are in codes, from `first` on, by falling length."""
+    n = len(lengths)
+    count, state, at = np.zeros(n, np.int64), np.zeros(n, np.int32), first.copy()
+    longest = int(lengths[0]) if n else 0
+    alive = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right") if n >= FEW else np.zeros(0, np.int64)
+    t = 0
+    for m in alive.tolist():
+        if m < FEW:
+            break
+        got = table[state[:m] * size + codes[at[:m]]]
+        ended = got < 0
+        count[:m] += ended
+        state[:m] = np.where(ended, -1 - got, got)
+        at[:m] += 1
+        t += 1
+    view = memoryview(table)
+    for k in range(int(np.searchsorted(-lengths, -t, side="left"))):
+        s, ended = int(state[k]), 0
+        for c in codes[at[k] : first[k] + lengths[k]].tolist():
+            s = view[s * size + c]
+            if s < 0:
+                ended += 1
+                s = -1 - s
+        count[k] += ended
+    return count
+
+
+def rate(codes: np.ndarray, size: int) -> float:
+    """Phrases for each character that a language's own text needs: what was learnt is cut into 2 to 10 pieces, the fewer
+    of it the more, and each piece is parsed by the automaton of the others. Phrases grow with the logarithm of what was
+    learnt, which makes up for the piece that is left out."""
+    total = len(codes)
+    if total < 2:
+        return 1.0
+    folds = min(total, 10, max(2, math.ceil(FOLDED / total)))
+    pieces, ended = np.array_split(codes, folds), 0
+    for i, piece in enumerate(pieces):
+        table = suffix_automaton(np.concatenate(pieces[:i] + pieces[i + 1 :]), size).ravel()
+        ended += int(parsed(table, size, piece, np.zeros(1, np.int64), np.array([len(piece)]))[0])
+    return ended / total * math.log(total * (1 - 1 / folds) + 1) / math.log(total + 1)
+
+
+def smoothed(rates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Half way (by logarithm) to what a language of that size has by the law that phrases shorten with the logarithm of
+    what was learnt, as all languages together have it: a single rate is noisy where little was learnt."""
+    if not len(rates):
+        return rates
+    shape = np.log(sizes + 2.0)
+    return np.sqrt(rates / shape * np.exp(np.mean(np.log(rates * shape))))
+
+
 class Model:
-    """Automata for the languages of a sample: language -> text.
+    """Automata for the languages of a sample: language -> passages.
 
     Tables are kept as long as all of them fit in TABLE_BYTES. If they do not, those that fit together are built, used
     and freed, one block of languages after the other."""
 
-    def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(texts)
-        self.alphabet = Alphabet(texts)
-        self.learnt = [self.alphabet.codes(texts[k]) for k in self.langs]
+    def __init__(self, passages: dict[str, list[str]]):
+        self.langs = sorted(passages)
+        self.alphabet = Alphabet({k: "\n".join(v) for k, v in passages.items()})
+        self.learnt = [self.alphabet.codes("\n".join(passages[k])) for k in self.langs]
+        self.rates = smoothed(np.array([rate(c, self.alphabet.size) for c in self.learnt]), np.array([len(c) for c in self.learnt]))
         first, n = next(self._built(0), ([], 0))
         self.kept = first if n == len(self.langs) else None
 
@@ -170,63 +237,48 @@ class Model:
     def blocks(self) -> Iterator[tuple[list[np.ndarray], int]]:
         return self._built(0) if self.kept is None else iter([(self.kept, len(self.langs))])
 
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
-        """blocks: (position, block) codes, blocks sorted by falling length. Phrases by language and block, for the
-        languages of the tables given, else for all."""
-        if tables is None:
-            return np.concatenate([self.phrases(blocks, lengths, some) for some, _ in self.blocks()])
-        size = self.alphabet.size
-        out = np.zeros((len(tables), len(lengths)), np.int64)
-        alive = np.searchsorted(-lengths, -np.arange(1, len(blocks) + 1), side="right")
-        for k, table in enumerate(tables):
-            state = np.zeros(len(lengths), np.int32)
-            count = out[k]
-            for t, n in enumerate(alive.tolist()):
-                got = table[state[:n] * size + blocks[t, :n]]
-                ended = got < 0
-                count[:n] += ended
-                state[:n] = np.where(ended, -1 - got, got)
+    def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Phrases by language and text."""
+        lengths = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        flat = np.concatenate([*[codes[i] for i in order.tolist()], np.zeros(0, np.uint8)])
+        lengths = lengths[order]
+        first = np.cumsum(lengths) - lengths
+        out = np.zeros((len(self.langs), len(codes)), np.int64)
+        for tables, behind in self.blocks():
+            for k, table in enumerate(tables, behind - len(tables)):
+                for a in range(0, len(order), LANES):
+                    some = slice(a, a + LANES)
+                    out[k, order[some]] = parsed(table, self.alphabet.size, flat, first[some], lengths[some])
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        parts, owner, sizes = [], [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            codes = self.alphabet.codes(text) if text else ()
-            if len(codes) and codes.any():
-                sizes[i] = len(codes)
-                for a in range(0, len(codes), BLOCK):
-                    parts.append(codes[a : a + BLOCK])
-                    owner.append(i)
-        total = np.zeros((len(self.langs), len(texts)), np.int64)
-        if parts and self.langs:
-            lengths = np.array([len(p) for p in parts])
-            order = np.argsort(-lengths, kind="stable")
-            owner = np.array(owner)[order]
-            for tables, behind in self.blocks():
-                for a in range(0, len(order), 4096):
-                    some = order[a : a + 4096]
-                    grid = np.zeros((len(some), lengths[some[0]]), np.uint8)
-                    for r, j in enumerate(some.tolist()):
-                        grid[r, : lengths[j]] = parts[j]
-                    counts = self.phrases(np.ascontiguousarray(grid.T).astype(np.int32), lengths[some], tables)
-                    for k, n in enumerate(counts, behind - len(tables)):
-                        total[k] += np.bincount(owner[a : a + 4096], n, len(texts)).astype(np.int64)
-        out = []
-        for i in range(len(texts)):
-            if not sizes[i] or not self.langs:
-                out.append((UNKNOWN, 0.0))
-                continue
-            need = total[:, i]
-            best = int(need.argmin())
-            rest = np.delete(need, best)
-            out.append((self.langs[best], float(1 - need[best] / rest.min()) if len(rest) else 1.0))
+        codes = [self.alphabet.codes(t) if t else np.zeros(0, np.uint8) for t in texts]
+        known = [i for i, c in enumerate(codes) if c.any()]
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if known and self.langs:
+            sizes = np.array([len(codes[i]) for i in known])
+            # a text of one character is one phrase in every language
+            need = self.phrases([codes[i] for i in known]) / (1 + (sizes[None, :] - 1) * self.rates[:, None])
+            best = need.argmin(axis=0)
+            for x, i in enumerate(known):
+                rest = np.delete(need[:, x], best[x])
+                out[i] = self.langs[best[x]], float(1 - need[best[x], x] / rest.min()) if len(rest) else 1.0
         return out
 
 
-#: Models of this worker, by their broadcast's number.
+#: Models of this worker, by what they learnt.
 BUILT: dict[str, Model] = {}
 
 
+def model_of(name: str, passages) -> Model:
+    """The worker's model, built when it is first asked for. (As a function of the module, it is the worker's own.)"""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = Model(passages.value)
+    return BUILT[name]
+
+
 def predicted(model: Model, batches: list[list[str | None]], step: int) -> Iterator[pd.DataFrame]:
     """The predictions of each batch; `step` texts are parsed together."""
     values = [t for batch in batches for t in batch]
@@ -239,48 +291,37 @@ def predicted(model: Model, batches: list[list[str | None]], step: int) -> Itera
         at += len(batch)
 
 
-def predictor(docs: DataFrame, train: DataFrame, rows: int, chars: int):
-    """A column function text -> (lang_pred, score), with automata of at most `chars` characters for each language.
-
-    The sample is at most `rows` documents for each language, cut at `chars` characters together: this bounds what comes
-    to the driver and goes to the workers for each language. All languages are learnt."""
-    texts: dict[str, list[str]] = {}
-    held: dict[str, int] = {}
-    cut = sample(train, rows).withColumn("text", F.substring("text", 1, chars)).orderBy("lang", "__h", "doc_id")
-    for lang, _, _, text in cut.toLocalIterator():
-        have = held.get(lang, 0)
-        if have < chars:
-            texts.setdefault(lang, []).append(text[: chars - have])
-            held[lang] = have + len(text)
-    joined = {k: "\n".join(v) for k, v in texts.items()}
-    model = docs.sparkSession.sparkContext.broadcast(joined)
-    name = str(sorted((k, len(v), v[:64]) for k, v in joined.items()))
+def predictor(docs: DataFrame, train: DataFrame, rows: int, passages: int):
+    """A column function text -> (lang_pred, score), with automata of at most `passages` passages of each language, which
+    bounds what comes to the driver and goes to the workers. All languages are learnt."""
+    learnt: dict[str, list[str]] = {}
+    for lang, _, _, _, text in sample(train, rows, passages).orderBy("lang", "__h", "doc_id", "at", "text").toLocalIterator():
+        learnt.setdefault(lang, []).append(text)
+    shared = docs.sparkSession.sparkContext.broadcast(learnt)
+    name = hashlib.sha256(repr(sorted(learnt.items())).encode("utf-8", "surrogatepass")).hexdigest()
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in BUILT:
-            BUILT.clear()
-            BUILT[name] = Model(model.value)
-        kept = BUILT[name].kept is not None
+        model = model_of(name, shared)
         waiting: list[list[str | None]] = []
         size = 0
         for texts in batches:
             waiting.append(texts.tolist())
             size += sum(len(t or "") + 64 for t in waiting[-1])
-            if kept or size >= TOGETHER:
-                yield from predicted(BUILT[name], waiting, 1000 if kept else 1 << 20)
+            if model.kept is not None or size >= TOGETHER:
+                yield from predicted(model, waiting, LANES if model.kept is not None else 1 << 20)
                 waiting, size = [], 0
-        yield from predicted(BUILT[name], waiting, 1 << 20)
+        yield from predicted(model, waiting, 1 << 20)
 
     return F.pandas_udf(predict, PREDICTION)
 
 
-def identify(docs: DataFrame, train: DataFrame, rows: int = 96, chars: int = 48_000) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, rows: int = 96, passages: int = 48) -> DataFrame:
     """docs with a column lang_id (struct lang_pred, score), learnt from the rows of train.
 
     lang_pred is "und", with score 0, for texts that are null or have no letter, and where nothing was learnt. The
-    score is the share of phrases that the best language saves against the second, 1 if it is the only one. Ties go
-    to the first language by name. Rows stay as they are; whole texts are parsed."""
-    udf = predictor(docs, train, rows, chars)
+    score is the share of normalised phrases that the best language saves against the second, 1 if it is the only one.
+    Ties go to the first language by name. Rows stay as they are; whole texts are parsed."""
+    udf = predictor(docs, train, rows, passages)
     packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return packed.select("row", udf("text").alias("lang_id"))
 
