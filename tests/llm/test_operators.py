@@ -571,7 +571,7 @@ def test_language(spark):
 def test_language_of_a_hundred_labels(spark, monkeypatch):
     r = random.Random(2)
     vocab = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(5)) for _ in range(30)] for k in range(100)}
-    texts = {k: " ".join(r.choice(v) for _ in range(150)) for k, v in vocab.items()}
+    texts = {k: [" ".join(r.choice(v) for _ in range(75)) for _ in range(2)] for k, v in vocab.items()}
     rows = [(100 * i + n, " ".join(r.choice(vocab[k]) for _ in range(40)), k) for i, k in enumerate(vocab) for n in range(4)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     true = {i: k for i, _, k in rows}
@@ -591,7 +591,7 @@ def test_language_letters_of_every_script():
     scripts = {"ar": range(0x627, 0x63B), "el": range(0x3B1, 0x3C2), "ja": range(0x3041, 0x3090), "ko": range(0xAC00, 0xB500), "ru": range(0x430, 0x450), "th": range(0xE01, 0xE2E), "zh": range(0x4E00, 0x5300), "en": range(0x61, 0x7B)}
     words = {k: ["".join(chr(r.choice(v)) for _ in range(4)) for _ in range(60)] for k, v in scripts.items()}
     words["zz"] = [w[::-1] for w in words["zh"]]
-    m = language.Model({k: " ".join(v * 3) for k, v in words.items()})
+    m = language.Model({k: [" ".join(v * 3)] * 2 for k, v in words.items()})
     letters = {c for v in words.values() for w in v for c in w}
     assert len({m.alphabet.codes(c).tobytes() for c in letters}) == len(letters)
     assert m.alphabet.codes("Б" + words["ru"][0].upper()).tolist() == m.alphabet.codes("б" + words["ru"][0]).tolist()
@@ -605,7 +605,7 @@ def test_language_keeps_texts_where_nothing_is_learnt(spark):
 
 
 def test_phrases_by_brute_force():
-    m = language.Model({"a": "abracadabra banana", "b": "zebra quagga zzz"})
+    m = language.Model({"a": ["abracadabra banana"], "b": ["zebra quagga zzz"]})
 
     def parse(codes, body):
         n = at = 0
@@ -618,11 +618,43 @@ def test_phrases_by_brute_force():
 
     import numpy as np
 
-    for text in ("abra banana zebra", "qqq", "zzz zebra abracadabra", "q x w"):
-        codes = m.alphabet.codes(text)
-        got = m.phrases(codes[:, None].astype(np.int32), np.array([len(codes)]))
-        bodies = [m.alphabet.codes(t).tobytes() for t in ("abracadabra banana", "zebra quagga zzz")]
-        assert got[:, 0].tolist() == [parse(codes.tobytes(), b) for b in bodies]
+    r = random.Random(6)
+    texts = ["abra banana zebra", "qqq", "zzz zebra abracadabra", "q x w", *["".join(r.choice("abcdrz ") for _ in range(r.choice([1, 9, 700, 3000]))) for _ in range(120)]]
+    codes = [m.alphabet.codes(x) for x in texts]
+    bodies = [m.alphabet.codes(x).tobytes() for x in ("abracadabra banana", "zebra quagga zzz")]
+    want = np.array([[parse(c.tobytes(), b) for c in codes] for b in bodies])
+    assert (m.phrases(codes) == want).all()  # in lockstep, with the longest alone
+    assert (np.concatenate([m.phrases([c]) for c in codes], axis=1) == want).all()  # each alone
+
+
+def test_language_of_which_little_was_learnt():
+    """60 words learnt of one language, 24,000 of another one: neither is predicted for the other."""
+    r = random.Random(12)
+    vocab = {k: ["".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(800)] for k, letters in (("few", "abcdefghijkl"), ("many", "ghijklmnopqrst"))}
+    say = lambda k, n: " ".join(r.choice(vocab[k]) for _ in range(n))
+    m = language.Model({"few": [say("few", 60)], "many": [say("many", 160) for _ in range(150)]})
+    for k in vocab:
+        got = [x for x, _ in m.predict([say(k, r.choice([5, 20, 200])) for _ in range(100)])]
+        assert got.count(k) >= 97
+
+
+def test_language_model_is_built_once_in_a_worker(spark):
+    d = spark.createDataFrame([(i, "some words of text" if i % 2 else "ein paar worte", "en" if i % 2 else "de") for i in range(400)], "doc_id long, text string, lang string").repartition(16)
+    import os
+    import tempfile
+
+    seen = tempfile.mkdtemp()
+    udf = language.predictor(d, d, 10, 10)
+
+    def count(batches):
+        for b in batches:
+            for name, model in language.BUILT.items():
+                open(f"{seen}/{os.getpid()}-{id(model)}-{name[:8]}", "w").close()
+            yield b
+
+    d.select("doc_id", udf("text").alias("x")).select("doc_id", "x.lang_pred").mapInPandas(count, "doc_id long, lang_pred string").collect()
+    made = os.listdir(seen)
+    assert len(made) == len({m.split("-")[0] for m in made})  # one model in a process, whatever the number of tasks
 
 
 # ---- toxicity
@@ -650,6 +682,47 @@ def test_toxicity_gradients():
         assert abs((values[0] - values[1]) / (2 * eps) - g[k][at]) < 5e-4, k
 
 
+def test_toxicity_scores_by_brute_force(monkeypatch):
+    """Whole texts, window by window and word by word, against the packed scorer."""
+    import numpy as np
+
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(80)] + ["é", "日本"]
+    net = toxicity.train([" ".join(r.choice(vocab[:40]) for _ in range(60)) for _ in range(20)], [0, 1] * 10)
+    texts = [" ".join(r.choice(vocab) for _ in range(n)) for n in (1, 2, 11, 12, 13, 24, 25, 36, 37, 100, 1000)] + ["A-b! C", None, "", "..."]
+    p, half = net.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        marked = b"^" + w + b"$"
+        slots = [((marked[i] << 16 | marked[i + 1] << 8 | marked[i + 2]) * 2654435761 % 2**32) >> 20 for i in range(len(w))]
+        return p["word"][net.vocab.get(w, 0)] + np.mean([p["char"][s] for s in slots], axis=0)
+
+    def read(xs, d):
+        h, out = np.zeros(half), []
+        for x in xs:
+            i, u = x @ p[f"x{d}"] + p[f"xb{d}"], h @ p[f"u{d}"]
+            z, g = sig(i[:half] + u[:half]), sig(i[half : 2 * half] + u[half : 2 * half])
+            h = (1 - z) * np.tanh(i[2 * half :] + g * u[2 * half :]) + z * h
+            out.append(h)
+        return out
+
+    def plain(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+        best = []
+        for a in range(0, max(1, len(words) - 12), 12) if words else ():
+            xs = [vector(w) for w in words[a : a + 24]]
+            hs = np.array([np.concatenate(x) for x in zip(read(xs, "f"), read(xs[::-1], "b")[::-1], strict=True)])
+            e = np.exp(np.tanh(hs @ p["att"] + p["att_b"]) @ p["att_v"])
+            best.append((e / e.sum()) @ hs @ p["out"] + p["out_b"][0])
+        return sig(max(best)) if best else sig(min(np.log(net.prior / (1 - net.prior)), -1.0))
+
+    want = [plain(x) for x in texts]
+    for lanes in (toxicity.LANES, 5):
+        monkeypatch.setattr(toxicity, "LANES", lanes)
+        assert np.allclose(net.scorer().scores(texts), want, atol=1e-4)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
@@ -663,12 +736,13 @@ def test_toxicity(spark):
                 w.insert(r.randrange(len(w)), r.choice(bad))
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
-    rows += [(900, None), (901, ""), (None, "some text"), (902, " ".join(vocab * 60))]
-    labels += [(900, 1, 1), (None, 1, 1), (0, 0, None), (7777, 1, 1)]
+    rows += [(900, None), (901, ""), (None, "some text"), (902, " ".join(vocab * 60)), (6, rows[3][1]), (6, rows[3][1]), (903, " ".join(vocab * 60) + " nasty vile rotten " + " ".join(vocab * 9))]
+    labels += [(900, 1, 1), (None, 1, 1), (0, 0, None), (7777, 1, 1), (6, 0, 0), (6, 0, 1)]
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = toxicity.report(docs(spark, rows), lab).collect()
     assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in got)
     held = [x for x in got if x.doc_id is not None and x.held_out and x.doc_id < 400]
     assert sum(x.predicted == (x.doc_id % 3 == 0) for x in held) >= 0.9 * len(held)
-    assert {x.doc_id: x.predicted for x in got if x.doc_id in (900, 901, 902)} == {900: 0, 901: 0, 902: 0}
+    assert {x.doc_id: x.predicted for x in got if x.doc_id in (900, 901, 902, 903)} == {900: 0, 901: 0, 902: 0, 903: 1}
+    assert len({round(x.score, 4) for x in got if x.doc_id in (3, 6)}) == 2
     assert toxicity.report(empty(spark), lab).count() == 0

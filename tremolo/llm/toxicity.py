@@ -8,8 +8,7 @@ sample of labelled documents on the driver, and its weights (about 1 MB) are bro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -159,29 +158,28 @@ class Network:
         return Scorer(self)
 
 
-def train(texts: list[str], labels: list[int], windows: int = 48, epochs: int = 6, seed: int = 7) -> Network:
-    """Adam on the binary cross-entropy of documents. Of a training text of more windows, `windows` evenly spaced ones
-    are used. Word embeddings start from each word's log-odds between the classes, which the first weights pass on."""
+def coded(texts: Iterable[str | None]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    """The different words of some texts, and each text as their numbers."""
+    number: dict[bytes, int] = {}
+    return number, [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+
+
+def train(texts: Iterable[str | None], labels: list[int], epochs: int = 4, seed: int = 7) -> Network:
+    """Adam on the binary cross-entropy of documents, over all windows of each of them. Words of three documents or more
+    have embeddings of their own."""
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
+    number, docs = coded(texts)
+    names = list(number)
     y = np.array(labels, np.float32)
-    seen: dict[bytes, list[int]] = {}
-    for ws, label in zip(docs, labels, strict=True):
-        for w in set(ws):
-            seen.setdefault(w, [0, 0])[label] += 1
-    kept = sorted((w for w, c in seen.items() if sum(c) >= 3), key=lambda w: (-sum(seen[w]), w))[:20_000]
-    net = Network({w: i for i, w in enumerate(kept, 1)}, seed)
-    n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
-    net.prior = float((y.sum() + 1) / (len(y) + 2))
-    odds = np.array([np.log((seen[w][1] + 0.5) / (n1 + 1)) - np.log((seen[w][0] + 0.5) / (n0 + 1)) for w in kept], np.float32)
-    net.p["word"][1:, 0] = np.clip(odds, -4, 4) / 2
-    grids = []
+    seen = np.zeros(len(names), np.int64)
     for ws in docs:
-        starts = windows_of(len(ws))
-        if len(starts) > windows:
-            starts = starts[np.linspace(0, len(starts) - 1, windows).astype(int)]
-        grids.append([ws[a : a + WINDOW] for a in starts.tolist()])
-    use = np.array([i for i, g in enumerate(grids) if g], np.int64)
+        seen[np.unique(ws)] += 1
+    kept = np.flatnonzero(seen >= 3)
+    net = Network({names[w]: i for i, w in enumerate(kept.tolist(), 1)}, seed)
+    word_id = np.zeros(len(names), np.int64)
+    word_id[kept] = np.arange(1, len(kept) + 1)
+    net.prior = float((y.sum() + 1) / (len(y) + 2))
+    use = np.array([i for i, ws in enumerate(docs) if len(ws)], np.int64)
     if not len(use):
         return net
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -190,25 +188,24 @@ def train(texts: list[str], labels: list[int], windows: int = 48, epochs: int =
         order = rng.permutation(use)
         for a in range(0, len(order), 2 * half):
             some = order[a : a + 2 * half]
-            lanes = [g for i in some for g in grids[i]]
-            owner = np.repeat(np.arange(len(some)), [len(grids[i]) for i in some])
-            flat = list(chain.from_iterable(lanes))
-            distinct = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-            size = np.array([len(g) for g in lanes])
-            mask = np.arange(WINDOW)[:, None] < size[None, :]
-            local = np.zeros((len(lanes), WINDOW), np.int64)
-            local[mask.T] = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
-            names = list(distinct)
-            ids = np.array([net.vocab.get(w, 0) for w in names])
-            chars = trigram_sums(names, net.p["char"])
-            loss, g, d_x = net.gradients(ids[local.T], chars[local.T], mask, owner, y[some], 1.0 + epoch)
+            flat = np.concatenate([docs[i] for i in some])
+            size = np.array([len(docs[i]) for i in some])
+            start = [windows_of(n) for n in size.tolist()]
+            owner = np.repeat(np.arange(len(some)), list(map(len, start)))
+            at = np.concatenate(start)[None, :] + np.arange(WINDOW)[:, None]
+            mask = at < size[owner][None, :]
+            distinct, local = np.unique(flat, return_inverse=True)
+            local = local[np.minimum(at + (np.cumsum(size) - size)[owner][None, :], len(flat) - 1)]
+            words = [names[w] for w in distinct.tolist()]
+            ids = word_id[distinct]
+            chars = trigram_sums(words, net.p["char"])
+            loss, g, d_x = net.gradients(ids[local], chars[local], mask, owner, y[some], 1.0 + epoch)
             d_x[~mask] = 0
-            by_word = np.zeros((len(names), EMBED), np.float32)
-            np.add.at(by_word, local.T[mask], d_x[mask])
+            by_word = np.stack([np.bincount(local.ravel(), d_x[:, :, k].ravel(), len(words)) for k in range(EMBED)], axis=1).astype(np.float32)
             g["word"] = np.zeros_like(net.p["word"])
             np.add.at(g["word"], ids, by_word)
             g["word"][0] = 0
-            g["char"] = trigram_gradient(names, by_word)
+            g["char"] = trigram_gradient(words, by_word)
             step += 1
             for k, v in g.items():
                 m, s = moment[k]
@@ -302,32 +299,43 @@ class Scorer:
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """text, toxic: at most `rows` documents of each label, those with the smallest hash of their id. Ranks are first
-    taken within slices, so that no task sorts all documents of a label."""
-    ids = labelled.select("doc_id", "toxic", F.xxhash64("doc_id").alias("__h"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("__slice"))
+    """doc_id, toxic, __h: at most `rows` documents of each label, those with the smallest hash of their id. Ranks are
+    first taken within slices, so that no task sorts all documents of a label."""
+    ids = labelled.select("doc_id", "toxic", F.xxhash64("doc_id").alias("__h"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("__slice")).distinct()
     best = ids.withColumn("r", F.row_number().over(Window.partitionBy("toxic", "__slice").orderBy("__h", "doc_id"))).filter(F.col("r") <= rows)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("__h", "doc_id"))).filter(F.col("r") <= rows)
-    return best.select("doc_id", "toxic", "__h").distinct()
+    return best.select("doc_id", "toxic", "__h")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 20_000) -> Network:
-    """Train on at most `rows` documents of each label; of a training text, at most `chars` characters are used. Both
-    bound what comes to the driver. Labels that are null are left out; of an id with several labels, the largest holds."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 800, largest: int = 256 << 10) -> Network:
+    """Train on whole texts of at most `rows` documents of each label, out of those of at most `largest` bytes: this
+    bounds what comes to the driver. Labels that are null are left out; of an id with several labels, the largest holds."""
     clean = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    ids = docs.select("doc_id").join(clean, "doc_id")
-    best = sample(ids, rows)
-    got = docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(best), "doc_id").orderBy("__h", "doc_id", "text")
-    texts, marks = [], []
-    for _, text, toxic, _ in got.select("doc_id", "text", "toxic", "__h").toLocalIterator():
-        texts.append(text or "")
-        marks.append(toxic)
-    return train(texts, marks)
+    fits = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= largest)
+    best = sample(fits.select("doc_id").join(clean, "doc_id"), rows)
+    got = fits.select("doc_id", "text").join(F.broadcast(best), "doc_id").orderBy("__h", "doc_id", "text")
+    marks: list[int] = []
+
+    def texts() -> Iterator[str | None]:
+        for text, toxic in got.select("text", "toxic").toLocalIterator():
+            marks.append(toxic)
+            yield text
+
+    return train(texts(), marks)
 
 
 #: The scorer of this worker, by its network's name.
 BUILT: dict[str, Scorer] = {}
 
 
+def scorer_of(name: str, shared) -> Scorer:
+    """The worker's scorer, made when it is first asked for. (As a function of the module, it is the worker's own.)"""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = shared.value.scorer()
+    return BUILT[name]
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs with a column toxicity (0 to 1), row by row. A text without words scores as the sample's share of toxic
     documents or less; whole texts are scored."""
@@ -336,11 +344,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in BUILT:
-            BUILT.clear()
-            BUILT[name] = shared.value.scorer()
+        scorer = scorer_of(name, shared)
         for texts in batches:
-            yield pd.Series(BUILT[name].scores(texts.tolist()))
+            yield pd.Series(scorer.scores(texts.tolist()))
 
     packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return packed.select("row", F.pandas_udf(run, "double")("text").alias("toxicity"))
