@@ -1,12 +1,13 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
 Training texts are streamed through the automaton word by word; the length of the longest match that ends at a word
-tells which windows of an item occur. Benchmark items go through in blocks of bounded size, so that the automaton is
-small whatever the benchmark's size.
+tells which windows of an item occur. Benchmark items go through in blocks of bounded size, one after the other, so that
+the automaton and what is broadcast are small whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremolo.llm.common import saved
+
 #: Letters A-Z become small; ASCII that is neither letter nor digit becomes a space; all bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.BinaryType())])
@@ -30,29 +33,37 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word sequences.
 
-    For a window of `window` words, items(state) are the items that have it; shorter items count as one window."""
+    items_at[state] are the items that have the window of `window` words; shorter items count as one window. The items'
+    names may be missing: their windows count all the same."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
-        self.short: dict[int, list[str]] = {}
+        self.short: dict[int, set[str | None]] = {}
         self.shortest = window
         coded = [(name, [self.vocab.setdefault(w, len(self.vocab)) for w in ws]) for name, ws in items if ws]
         for _, seq in coded:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        of: dict[int, set[str]] = {}
+        # for each state, that of the last `window` words of its longest string (itself if they are no more)
+        self.at_window = list(range(len(self.len)))
+        for s in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+            if self.len[self.link[s]] >= window:
+                self.at_window[s] = self.at_window[self.link[s]]
+        self.items_at: dict[int, set[str | None]] = {}
         for name, seq in coded:
             if len(seq) < window:
                 self.shortest = min(self.shortest, len(seq))
-                self.short.setdefault(self._walk(seq), []).append(name)
+                self.short.setdefault(self._walk(seq), set()).add(name)
             else:
-                for s in {s for s in self._ends(seq)}:
-                    of.setdefault(s, set()).add(name)
-        self.of = of
+                s = n = 0
+                for c in seq:
+                    s, n = self.step(s, n, c)
+                    if n >= window:
+                        self.items_at.setdefault(self.at_window[s], set()).add(name)
         self._chain: dict[int, list[int]] = {}
 
     def _extend(self, last: int, c: int) -> int:
@@ -99,19 +110,6 @@ class Automaton:
         t = self.next[s].get(c)
         return (0, 0) if t is None else (t, n + 1)
 
-    def at_window(self, s: int) -> int:
-        """The state of the last `window` words of a match that ends in s."""
-        while self.len[self.link[s]] >= self.window:
-            s = self.link[s]
-        return s
-
-    def _ends(self, seq: list[int]) -> Iterator[int]:
-        s = n = 0
-        for c in seq:
-            s, n = self.step(s, n, c)
-            if n >= self.window:
-                yield self.at_window(s)
-
     def short_ends(self, s: int) -> list[int]:
         """States of short items that are suffixes of s."""
         if s not in self._chain:
@@ -133,23 +131,29 @@ class Automaton:
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         starts, ends = edge[::2], edge[1::2]
         long = ends - starts >= self.shortest
-        hit, items = None, set()
+        window, step, at_window = self.window, self.step, self.at_window
+        met: set[int] = set()
+        found: list[tuple[int, int]] = []  # first word of an occurrence, and the one behind it
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             s = n = 0
-            for i, c in enumerate(ids[a:b].tolist(), a):
-                s, n = self.step(s, n, c)
-                if n >= self.window:
-                    hit = np.zeros(n_words, bool) if hit is None else hit
-                    hit[i + 1 - n : i + 1] = True
-                    items |= self.of.get(self.at_window(s), set())
+            for i, c in enumerate(ids[a:b].tolist(), a + 1):
+                s, n = step(s, n, c)
+                if n >= window:
+                    found.append((i - window, i))
+                    met.add(at_window[s])
                 if self.short and n:
                     for t in self.short_ends(s):
-                        m = self.len[t]
-                        if m <= n:
-                            hit = np.zeros(n_words, bool) if hit is None else hit
-                            hit[i + 1 - m : i + 1] = True
-                            items.update(self.short[t])
-        return hit, items
+                        if self.len[t] <= n:
+                            found.append((i - self.len[t], i))
+                            met.add(-t)
+        if not found:
+            return None, set()
+        change = np.zeros(n_words + 1, np.int64)
+        spans = np.array(found)
+        np.add.at(change, spans[:, 0], 1)
+        np.add.at(change, spans[:, 1], -1)
+        items = set().union(*[self.short[-t] if t < 0 else self.items_at[t] for t in met])
+        return np.cumsum(change[:-1]) > 0, items - {None}
 
 
 def clean(text: str, hit: np.ndarray) -> str:
@@ -165,19 +169,24 @@ def clean(text: str, hit: np.ndarray) -> str:
     return b" ".join(x.strip() for x in keep if x.strip()).decode("utf-8", "surrogatepass")
 
 
-#: Automata of this worker, by the name of their block.
+#: The automaton of this worker, by its block's content.
 BUILT: dict[tuple, Automaton] = {}
 
 
+def automaton_of(block, window: int) -> Automaton:
+    """The worker's automaton, built when it is first asked for. (As a function of the module, it is the worker's own.)"""
+    name, items = block.value
+    if (name, window) not in BUILT:
+        BUILT.clear()
+        BUILT[name, window] = Automaton(items, window)
+    return BUILT[name, window]
+
+
 def scanner(block, window: int):
     """block: a broadcast of (name, [(item, words)])."""
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        name, items = block.value
-        if (name, window) not in BUILT:
-            BUILT.clear()
-            BUILT[name, window] = Automaton(items, window)
-        auto = BUILT[name, window]
+        auto = automaton_of(block, window)
         for texts in batches:
             rows = []
             for text in texts:
@@ -192,22 +201,13 @@ def scanner(block, window: int):
     return F.pandas_udf(scan, SCAN)
 
 
-def _or(parts: Iterator[bytes | None]) -> np.ndarray | None:
-    out = None
-    for p in parts:
-        if p is not None:
-            bits = np.frombuffer(p, np.uint8)
-            out = bits if out is None else out | bits
-    return out
-
-
 @F.pandas_udf(SCAN)
-def merged(blocks: pd.DataFrame) -> pd.DataFrame:
+def merged(blocks: pd.Series) -> pd.DataFrame:
+    """One result out of those of several blocks."""
     rows = []
-    for parts in zip(*[blocks[c] for c in blocks], strict=True):
-        hits = _or(p["hits"] for p in parts)
-        items = sorted({i for p in parts for i in (p["items"] if p["items"] is not None else [])})
-        rows.append((parts[0]["n_words"], 0 if hits is None else int(np.unpackbits(hits).sum()), items, None if hits is None else hits.tobytes()))
+    for parts in blocks:
+        hits = np.bitwise_or.reduce([np.frombuffer(p["hits"], np.uint8) for p in parts])
+        rows.append((parts[0]["n_words"], int(np.unpackbits(hits).sum()), sorted({i for p in parts for i in p["items"]}), hits.tobytes()))
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hits"])
 
 
@@ -216,18 +216,21 @@ def cleaned(texts: pd.Series, hits: pd.Series, n_words: pd.Series) -> pd.Series:
     return pd.Series([t if h is None or t is None else clean(t, np.unpackbits(np.frombuffer(h, np.uint8))[:n].astype(bool)) for t, h, n in zip(texts, hits, n_words, strict=True)], dtype=object)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[tuple[str, list[tuple[str, list[bytes]]]]]:
-    """The benchmark in blocks, streamed to the driver one block at a time. A benchmark is far smaller than the
-    corpus; block_bytes bounds what is broadcast at once."""
-    out, block, size = [], [], 0
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text")
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[str, list[tuple[str | None, list[bytes]]]]]:
+    """The benchmark in blocks of about block_bytes (a larger item is one by itself), one at a time."""
+    block, size = [], 0
+    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text")
+
+    def named() -> tuple[str, list]:
+        return hashlib.sha256(repr(block).encode("utf-8", "surrogatepass")).hexdigest(), block
+
     for item, text in rows.toLocalIterator():
         if block and size + len(text) > block_bytes:
-            out.append((f"{len(out)}-{hash(str(block))}", block))
+            yield named()
             block, size = [], 0
         block.append((item, words_of(text)))
         size += len(text)
-    return [*out, (f"{len(out)}-{hash(str(block))}", block)]
+    yield named()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
@@ -235,16 +238,31 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
 
     Texts and items are lower-cased A-Z and split into words of letters, digits and non-ASCII. A word is hit if it is
     in any occurrence of a window of an item; an item of fewer words is one window. Null and empty texts have no
-    words, items without words no window; repeated items are one item; a null item_id is left out. Rows stay as they
-    are, with all their columns. An empty benchmark hits nothing."""
-    cut = []
-    for block in blocks_of(benchmark, block_bytes):
-        cut.append(scanner(docs.sparkSession.sparkContext.broadcast(block), window)(F.col("text")))
+    words, items without words no window; repeated items are one item; an item without an id hits, but is not named.
+    Rows stay as they are, with all their columns. An empty benchmark hits nothing.
+
+    One block of items is broadcast at a time. If there are several, rows are numbered and written, each block's hits are
+    written before the next block comes, and are put together by row."""
+    spark = docs.sparkSession
     packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    if len(cut) == 1:
-        return packed.select("row", cut[0].alias("scan"))
-    parts = packed.select("row", *[c.alias(f"b{i}") for i, c in enumerate(cut)])
-    return parts.select("row", merged(F.struct(*[F.col(f"b{i}") for i in range(len(cut))])).alias("scan"))
+    blocks = blocks_of(benchmark, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return packed.select("row", scanner(spark.sparkContext.broadcast(block), window)("text").alias("scan"))
+    rows = saved(packed.withColumn("at", F.monotonically_increasing_id()), "rows")
+    parts = None
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        part = rows.select("at", scanner(shared, window)("text").alias("scan"))
+        kept = part.filter("scan.n_hit > 0") if parts is not None else part  # the first one also has the numbers of words
+        kept = saved(kept, "hits")
+        parts = kept if parts is None else parts.unionByName(kept)
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    hits = parts.filter("scan.n_hit > 0").groupBy("at").agg(F.collect_list("scan").alias("scans")).select("at", merged("scans").alias("all"))
+    none = parts.filter("scan.n_hit = 0").select("at", "scan")
+    whole = none.join(hits, "at", "full").select("at", F.coalesce("all", "scan").alias("scan"))
+    return rows.join(whole, "at").select("row", "scan")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -272,7 +290,7 @@ def report_sql(window: int = 10) -> str:
     return f"""
 WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({az.format("text")}, '{word}') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item, least(len(w), {window}) AS size,
          array_to_string(list_slice(w, CAST(i AS BIGINT), CAST(i + least(len(w), {window}) - 1 AS BIGINT)), ' ') AS win
@@ -287,7 +305,7 @@ hits AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
