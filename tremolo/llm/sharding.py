@@ -14,27 +14,54 @@ from pyspark.sql import functions as F
 from tremolo.llm.common import hash60, running_totals, saved, width
 
 BITS = 60
+#: Bits of the hash over which prefixes are summed at once.
+LEVELS = 8
+
+
+def climb(leaves: DataFrame, limit: int, floor_bits: int, bits: int) -> DataFrame:
+    """leaves: leaf (the first `bits` bits of the hash), b, n. For each leaf the shortest prefix of floor_bits or more
+    whose sum fits, if one does: leaf, depth, prefix, shard_bytes, shard_rows.
+
+    Sums go bottom up, LEVELS bits at a time, so that no prefix is summed from more than 2**LEVELS rows; the next round
+    is only needed where prefixes still fit at the top of this one."""
+    nodes, top, out = leaves.withColumnRenamed("leaf", "node"), bits, None
+    while True:
+        low = max(floor_bits, top - LEVELS)
+        above = nodes.select("node", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("depth"))
+        above = above.withColumn("prefix", F.expr(f"shiftright(node, {top} - depth)"))
+        sums = saved(above.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")), "sums")
+        fit = F.col("shard_bytes") <= limit
+        if top == bits:  # what is not told apart by more bits ends here
+            fit = fit | ((F.col("depth") == bits) & ((F.col("shard_rows") == 1) | F.lit(bits == BITS)))
+        best = above.select("node", "depth", "prefix").join(sums.filter(fit), ["depth", "prefix"])
+        best = best.groupBy("node").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("x"))
+        best = saved(best.select("node", "x.*"), "best")
+        if out is None:
+            out = best.withColumnRenamed("node", "leaf")
+        else:
+            higher = best.select(F.lit(top).alias("depth"), F.col("node").alias("prefix"), F.struct(*[F.col(c).alias(c) for c in best.columns[1:]]).alias("up"))
+            met = out.join(higher, ["depth", "prefix"], "left")
+            out = met.select("leaf", *[F.coalesce(f"up.{c}", c).alias(c) for c in best.columns[1:]])
+        if low == floor_bits or best.filter(F.col("depth") == low).isEmpty():
+            return out
+        nodes, top = sums.filter(F.col("depth") == low).select(F.col("prefix").alias("node"), F.col("shard_bytes").alias("b"), F.col("shard_rows").alias("n")), low
 
 
 def directory(sizes: DataFrame, limit: int) -> DataFrame:
     """sizes: h (60 bits), n_bytes. Returns the directory: leaf_bits, leaf, depth, shard_id, shard_bytes, shard_rows, more.
 
     A row's entry is that with leaf = h >> (60 - leaf_bits). Sums of bytes fall with every bit, so a bucket of
-    extendible hashing is the shortest prefix of the hash whose sum fits. The sums of all prefixes come from one
-    aggregation by leaf; leaves that are themselves too large go on with more bits. more marks what no bit can split:
-    rows that agree in all 60 bits."""
+    extendible hashing is the shortest prefix of the hash whose sum fits. Rows are summed by leaf once, and prefixes from
+    the leaves; leaves that are themselves too large go on with more bits. more marks what no bit can split: rows that
+    agree in all 60 bits."""
     whole = sizes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     bits = min(BITS, max(1, math.ceil(math.log2(max(1, whole["s"]) / limit + 1)) + 4))
     rows, floor_bits, found = sizes, 0, None
     while True:
         leaf = F.shiftright("h", BITS - bits)
         leaves = saved(rows.groupBy(leaf.alias("leaf")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n")), "leaves")
-        above = leaves.select("leaf", "b", "n", F.explode(F.sequence(F.lit(floor_bits), F.lit(bits))).alias("depth"))
-        prefix = F.expr(f"shiftright(leaf, {bits} - depth)")
-        sums = above.groupBy("depth", prefix.alias("prefix")).agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        fits = above.drop("b", "n").withColumn("prefix", prefix).join(sums, ["depth", "prefix"]).filter((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS) | ((F.col("shard_rows") == 1) & (F.col("depth") == bits)))
         name = F.concat(F.lit("s"), F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END"))
-        best = fits.groupBy("leaf").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("x")).select("leaf", "x.*")
+        best = climb(leaves, limit, floor_bits, bits)
         best = best.select(F.lit(bits).alias("leaf_bits"), "leaf", "depth", name.alias("shard_id"), "shard_bytes", "shard_rows", ((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)).alias("more"))
         found = best if found is None else found.unionByName(best)
         over = leaves.filter((F.col("b") > limit) & (F.col("n") > 1)).select("leaf")
@@ -99,7 +126,7 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, limit: int) -> DataFrame:
-    """The documents with shard_id, row by row as in shard(): rows that repeat an id stay together where they fit the
+    """The documents with shard_id, in place of a column of that name, row by row as in shard(): rows that repeat an id stay together where they fit the
     limit, and are cut into runs where they don't. Only the latter's texts are sorted."""
     rows = docs.drop("shard_id")
     base = saved(sized(docs), "sized")
