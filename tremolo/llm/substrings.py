@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes around it also starts in a document with a smaller id. Only strings that come
 in several documents matter. Texts are packed into blocks of documents once; then three rounds go over the blocks:
 
-1. Every string start is keyed by the smallest hash of the 24-byte grams in the string. Equal strings have equal keys,
+1. Every string start is keyed by the smallest hash of the 20-byte grams in the string. Equal strings have equal keys,
    and neighbouring starts mostly share one, so a text becomes a few runs of starts. A block deals its keys, sorted and
    packed, to the parts of the key space; a part answers for each of them whether it comes in several documents.
 2. A run of a shared key spans the bytes of its strings. A block deals each different span once, with the smallest id
@@ -32,7 +32,7 @@ from tremolo.llm.common import saved, sliced_arrow, width
 from tremolo.llm.near import POWERS, mix64
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 #: A missing id counts as larger than any.
 LAST = (1 << 63) - 1
@@ -43,8 +43,8 @@ TEXT_BYTES, ARRAY_BYTES, MOST_STARTS = 8 << 20, 1 << 19, 20_000
 CHUNK = 1 << 16
 #: Leading bytes in which two words agree, by the number of bytes that the rest takes.
 EQUAL = np.array([8, 7, 6, 5, 4, 3, 2, 1, 0, 0], np.int64)
-#: Keys of a part on average.
-PART_KEYS = 2_000_000
+#: Keys of a part on average, and parts that a task gets.
+PART_KEYS, PARTS = 500_000, 4
 BLOCK = "block long, n_bytes long, docs binary, sizes binary, data binary"
 
 
@@ -291,7 +291,7 @@ def deal_spans(batches: Iterator[pa.RecordBatch], bits: int, parts: int, length:
             if b > a:
                 size = s.starts[a:b] + length - 1
                 body = data[np.repeat(s.start[a:b], size) + ragged(size)]
-                rows.append((p, block, planes(s.key[a:b]), planes(s.hash[a:b]), planes(s.starts[a:b].astype(np.uint32)), planes(s.least[a:b]), body.tobytes()))
+                rows.append((p, block, planes(s.key[a:b]), planes(s.hash[a:b]), planes(s.starts[a:b].astype(np.uint32)), planes(s.least[a:b]), pa.compress(body.tobytes(), "zstd", asbytes=True)))
         yield table_of(kinds, rows)
 
 
@@ -429,11 +429,12 @@ def judge_spans(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> It
         key, h = (np.concatenate([unplanes(r[i], np.uint64) for r in rows]) for i in (1, 2))
         starts = np.concatenate([unplanes(r[3], np.uint32) for r in rows]).astype(np.int64)
         own = np.concatenate([unplanes(r[4], np.int64) for r in rows])
-        text = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        size = starts + length - 1
+        ends = np.cumsum([len(r[1]) // 8 for r in rows]).tolist()
+        text = np.frombuffer(b"".join(pa.decompress(r[5], int(size[a:b].sum()), "zstd") for r, a, b in zip(rows, [0, *ends], ends)), np.uint8)
         order = np.lexsort((h, key))
         head = heads(key[order], h[order])
         many = np.diff(np.append(head, len(key)))
-        size = starts + length - 1
         begin = np.cumsum(size) - size
         one = order[head]  # a span of each kind, with the smallest id over all blocks
         n = starts[one]
@@ -449,9 +450,8 @@ def judge_spans(batches: Iterator[pa.RecordBatch], bits: int, length: int) -> It
         before = np.cumsum(pieces) - pieces
         kind = np.empty(len(key), np.int64)
         kind[order] = np.repeat(np.arange(len(one)), many)
-        stop = np.cumsum([len(r[1]) // 8 for r in rows]).tolist()
         out = []
-        for r, a, b in zip(rows, [0, *stop[:-1]], stop, strict=True):
+        for r, a, b in zip(rows, [0, *ends], ends):
             k = kind[a:b]
             get = np.repeat(before[k], pieces[k]) + ragged(pieces[k])
             below = np.repeat(own[a:b], pieces[k]) - values[get]
@@ -519,11 +519,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     blocks = saved(rows.mapInArrow(lambda b: pack_blocks(b, TEXT_BYTES), BLOCK), "blocks", compression="uncompressed")
     whole = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")).first()
     records, bits = expected(whole["bytes"] or 0, length)
-    parts = max(width(docs.sparkSession), math.ceil(records / PART_KEYS))
+    tasks = max(width(docs.sparkSession), math.ceil(records / PART_KEYS / PARTS))
+    parts = PARTS * tasks  # a task gets few of them, more or less
     wide = max(width(docs.sparkSession), math.ceil(whole["n"] / 4))
 
     dealt = blocks.mapInArrow(lambda b: deal_keys(b, bits, parts, length), "part int, block long, keys binary, several binary, starts binary")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part")
     states = saved(dealt.mapInArrow(judge_keys, "block long, part int, state binary"), "states")
 
     def met(*answers: DataFrame) -> DataFrame:
@@ -537,7 +538,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
         return out.repartition(wide, "block").sortWithinPartitions("block", "kind", "part")
 
     spans = met(states).mapInArrow(lambda b: deal_spans(b, bits, parts, length), "part int, block long, keys binary, hashes binary, starts binary, least binary, bytes binary")
-    spans = spans.repartition(parts, "part").sortWithinPartitions("part")
+    spans = spans.repartition(tasks, "part").sortWithinPartitions("part")
     least = saved(spans.mapInArrow(lambda b: judge_spans(b, bits, length), "block long, part int, n binary, lengths binary, values binary"), "least")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return met(states, least).mapInArrow(lambda b: cut_out(b, bits, length, with_text), schema + ", kept binary, spans array<struct<start: long, end: long>>" * with_text)
