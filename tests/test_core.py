@@ -192,6 +192,74 @@ def test_runs_and_coverage(spark):
     assert blur["a", 10] == pytest.approx((0 + 0.7) / 1.7) and blur["d", 0] is None and blur["d", 9] == 0.0
 
 
+def test_one_hot_series_over_many_slices(spark):
+    """Slices and blocks that are far shorter than the series, with gaps, equal times and nulls, against plain loops."""
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for k, n in (("hot", 900), ("b", 40), (None, 25)):
+        at = 0
+        for _ in range(n):
+            at += r.choice([0, 1, 2, 3, 40])
+            rows.append((k, at, r.choice([None, 1.0, 2.0, 2.0, 9.0])))
+    df = spark.createDataFrame(rows, "k string, sec long, value double").withColumn("ts", F.timestamp_seconds("sec")).repartition(5)
+    runs, blur = set(), []
+    for k in ("hot", "b", None):
+        own = sorted(((s, v is not None, v or 0) for x, s, v in rows if x == k))
+        quiet = [known and v < 5 for _, known, v in own]
+        i = 0
+        while i < len(own):
+            j = i
+            while j + 1 < len(own) and quiet[j + 1] == quiet[i]:
+                j += 1
+            if quiet[i]:
+                end = own[min(j + 1, len(own) - 1)][0]
+                if end - own[i][0] >= 2:
+                    runs.add((k, own[i][0], end))
+            i = j + 1
+        for i, (s, _, _) in enumerate(own):
+            pairs = [(own[i - b][2], w) for b, w in enumerate(timeseries.BLUR[1]) if b <= i and own[i - b][1]]
+            blur.append((k or "", s, sum(v * w for v, w in pairs) / sum(w for _, w in pairs) if pairs else -1.0))
+    for slice_us in (7_000_000, 50_000_000, timeseries.SLICE_US):
+        got = [(x.k, x.start_us // 10**6, x.end_us // 10**6) for x in timeseries.silence_runs(df, "k", 5.0, 2_000_000, slice_us).collect()]
+        assert len(got) == len(set(got)) and set(got) == runs
+        for block in (16, 100):
+            out = [(x.k or "", x.us // 10**6, -1.0 if x.blurred is None else x.blurred) for x in timeseries.motion_blur(df, "k", 2, slice_us, block).collect()]
+            for a, b in zip(sorted(out), sorted(blur), strict=True):
+                assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
+def test_a_failing_batch_is_halved(spark):
+    calls = []
+
+    def load():
+        def predictor(batch):
+            calls.append(len(batch))
+            if (batch["x"] == 37).any():
+                raise ValueError("37")
+            return ["ok"] * len(batch)
+
+        return predictor
+
+    out = predict.batch_predict(spark.range(64).coalesce(1).select(F.col("id").alias("x")), load, ["x"], ["x"]).collect()
+    assert [(r.x, r.error) for r in out if r.error] == [(37, "37")] and sum(r.transcript == "ok" for r in out) == 63
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tremolo.sources import shared
+
+    def session(master, path=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: path), sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    assert shared.shared_dir(session("spark://a:1", "s3://x/y/")) == "s3://x/y"
+    with pytest.raises(ValueError):
+        shared.shared_dir(session("spark://a:1"))
+    assert shared.shared_dir(session("local[2]")) == shared.shared_dir(session("local[2]"))
+
+
 # ---- plans, quality, prediction
 
 def test_plan_and_accounting(spark):
@@ -273,7 +341,7 @@ def test_sinks(spark, tmp_path):
     writers.write_errors(spark.createDataFrame([(1, 2, "f", "e")], schemas.OLD_ERRORS), f"{tmp_path}/e")
     assert [r.traceback for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [None]
     texts = N.corrupt_all(spark.createDataFrame([(1, "hello there")], "k long, t string"), "t", F.col("k"))
-    writers.write_corrupted(texts, "k", f"{tmp_path}/c")
+    writers.write_corrupted(texts, f"{tmp_path}/c")
     assert spark.read.parquet(f"{tmp_path}/c").filter("corruption = 'ocr' and severity = 3 and modality = 'T'").count() == 1
     metrics = evaluate.confusion_metrics(p)
     writers.write_metrics(metrics, f"{tmp_path}/m")

@@ -5,11 +5,8 @@ Parameters go from severity 1 to 5. Null and empty arrays stay as they are.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tremolo.functions.textnoise import PRIME, draw, row_hash
 
@@ -72,28 +69,23 @@ def compress_silence(samples: Column, sample_rate: int, severity: int) -> Column
     return F.when(n > 0, out).otherwise(samples)
 
 
-def segments(samples: Column, size: int) -> Column:
-    n = F.size(samples)
-    count = F.ceil(n / F.lit(float(size))).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(samples, i * size + 1, F.lit(size))))
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _swapped(n: pd.Series, h: pd.Series, share: pd.Series, near: pd.Series) -> pd.Series:
-    """Orders of n segments after swaps one by one: a share of n (one at least), adjacent or any."""
-    out = []
-    for size, seed, percent, adjacent in zip(n, h, share, near, strict=True):
-        if size is None or pd.isna(size):
-            out.append(None)
-            continue
-        order, rng = np.arange(int(size), dtype=np.int32), np.random.default_rng(int(seed))
-        if size > 1:
-            for _ in range(max(1, int(size) * int(percent) // 100)):
-                i = int(rng.integers(0, size - 1 if adjacent else size))
-                j = i + 1 if adjacent else int(rng.integers(0, size))
-                order[[i, j]] = order[[j, i]]
-        out.append(order)
-    return pd.Series(out, dtype=object)
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _swapped(n: Column, h: Column, percent: int, adjacent: bool) -> Column:
+    """The order of n segments after swaps one by one: a share of n (one at least) of adjacent segments, or of any."""
+    order = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i)
+    swaps = F.greatest(F.lit(1), F.floor(n * percent / 100).cast("int"))
+
+    def swap(now: Column, t: Column) -> Column:
+        i = (draw(h + 2 * t) % (n - 1 if adjacent else n)).cast("int")
+        j = i + 1 if adjacent else (draw(h + 2 * t + 1) % n).cast("int")
+        both = F.struct(i.alias("i"), j.alias("j"))
+        return let(both, lambda p: F.transform(now, lambda x, k: F.when(k == p["i"], F.get(now, p["j"])).when(k == p["j"], F.get(now, p["i"])).otherwise(x)))
+
+    return F.when(n > 1, F.aggregate(F.sequence(F.lit(0), swaps - 1), order, swap)).otherwise(order)
 
 
 def jitter(samples: Column, key: Column, sample_rate: int, severity: int, seed: int = 123) -> Column:
@@ -101,13 +93,15 @@ def jitter(samples: Column, key: Column, sample_rate: int, severity: int, seed:
     shuffles the first half, 5 all, by the draws. Every sample stays exactly once."""
     s = level(severity)
     size = max(1, int(SEGMENT_SECONDS[s] * sample_rate + 1e-9))
-    parts, h = segments(samples, size), row_hash(key, "jitter", seed)
-    n = F.size(parts)
-    if s < 3:
-        order = _swapped(F.when(n >= 0, n), h, F.lit((1, 5, 20)[s]), F.lit(s < 2))
-    else:
+    count = F.ceil(F.size(samples) / F.lit(float(size))).cast("int")
+
+    def order(h: Column, n: Column) -> Column:
+        if s < 3:
+            return _swapped(n, h, (1, 5, 20)[s], s < 2)
         half = F.floor(n / 2).cast("int") if s == 3 else n
         keyed = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(F.when(i < half, draw(h + i)).otherwise(F.lit(PRIME).cast("bigint") + i).alias("u"), i.alias("i")))
-        order = F.transform(F.array_sort(keyed), lambda k: k["i"])
-    out = F.flatten(F.transform(order, lambda i: F.get(parts, i)))
+        return F.transform(F.array_sort(keyed), lambda k: k["i"])
+
+    known = F.struct(row_hash(key, "jitter", seed).alias("h"), count.alias("n"))
+    out = F.flatten(F.transform(let(known, lambda b: order(b["h"], b["n"])), lambda i: F.slice(samples, i * size + 1, F.lit(size))))
     return F.when(F.size(samples) > 0, out).otherwise(samples)

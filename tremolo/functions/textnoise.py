@@ -63,6 +63,15 @@ class Kernel:
         else:
             able = [c.isspace() and c not in "\x1c\x1d\x1e\x1f" for c in chars]
         self.able = np.array(able) if method != "char_delete" else ~np.array(able)
+        if method in ("keyboard", "char_replace"):
+            self.large = np.array([a and c.lower() != c for a, c in zip(able, chars, strict=True)])
+            options = [NEIGHBORS.get(chr(i), "") for i in range(128)] if method == "keyboard" else [LETTERS]
+        elif method == "ocr":
+            options = [CONFUSIONS.get(chr(i), "") for i in range(128)]
+        else:
+            return
+        self.number = np.array([len(o) for o in options])
+        self.bank = np.array([[ord(c) for c in o.ljust(self.number.max())] for o in options], np.uint32)
 
     @staticmethod
     def draws(start: int, n: int) -> np.ndarray:
@@ -83,24 +92,21 @@ class Kernel:
             keep = np.ones(n, bool)
             keep[chosen] = False
             return points[keep].tobytes().decode("utf-32-le", "surrogatepass")
-        if self.method == "ocr":
-            return self._put(text, chosen, [CONFUSIONS[text[i]] for i in chosen.tolist()])
-        at = self.draws(h + n, n)[chosen].tolist()
-        new = []
-        for i, draw_ in zip(chosen.tolist(), at, strict=True):
-            c = text[i]
-            low = c.lower()
-            options = NEIGHBORS[low] if self.method == "keyboard" else LETTERS
-            r = options[draw_ % len(options)]
-            new.append(r.upper() if c != low else r)
-        return self._put(text, chosen, new)
-
-    @staticmethod
-    def _put(text: str, chosen: np.ndarray, new: list[str]) -> str:
-        out = list(text)
-        for i, r in zip(chosen.tolist(), new, strict=True):
-            out[i] = r
-        return "".join(out)
+        old = points[chosen].astype(np.int64)
+        out = points.copy()
+        if self.method == "ocr":  # a letter becomes one or two
+            width = np.ones(n, np.int64)
+            width[chosen] = self.number[old]
+            out = np.repeat(points, width)
+            at = (np.cumsum(width) - width)[chosen]
+            out[at] = self.bank[old, 0]
+            two = self.number[old] == 2
+            out[at[two] + 1] = self.bank[old[two], 1]
+        else:
+            kind = np.where(old < 128, old | 32, 0) if self.method == "keyboard" else np.zeros(len(old), np.int64)
+            new = self.bank[kind, self.draws(h + n, n)[chosen] % self.number[kind]]
+            out[chosen] = np.where(self.large[old], new - 32, new)
+        return out.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 #: Kernels of this worker.

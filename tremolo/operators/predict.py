@@ -38,26 +38,25 @@ def batch_predict(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], l
     """rows' `carry` columns with transcript, error, traceback.
 
     load() is called once in each task and gives the predictor, which takes a batch (the `inputs`) and returns a
-    transcript for each row. Where a batch fails, its rows go one by one, so that one row's failure is its own error.
+    transcript for each row. A batch that fails is halved until the failure is one row's own error.
     slots: tasks that run the predictor (its accelerators); rows are dealt evenly to them. Write the result before
     using it twice, or the predictor runs twice."""
     schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField(c, T.StringType()) for c in ("transcript", "error", "traceback")])
 
+    def results(predictor: Callable, given: pd.DataFrame) -> list[tuple]:
+        try:
+            return [(t, None, None) for t in predictor(given)]
+        except Exception as e:
+            if len(given) == 1:
+                return [(None, str(e), traceback.format_exc())]
+        half = len(given) // 2
+        return results(predictor, given.iloc[:half]) + results(predictor, given.iloc[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = load()
         for batch in batches:
-            given = batch[inputs]
-            try:
-                results = [(t, None, None) for t in predictor(given)]
-            except Exception:
-                results = []
-                for i in range(len(given)):
-                    try:
-                        results.append((predictor(given.iloc[i : i + 1])[0], None, None))
-                    except Exception as e:
-                        results.append((None, str(e), traceback.format_exc()))
             out = batch[carry].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(results, columns=["transcript", "error", "traceback"], dtype=object)], axis=1)
+            yield pd.concat([out, pd.DataFrame(results(predictor, batch[inputs]) if len(batch) else [], columns=["transcript", "error", "traceback"], dtype=object)], axis=1)
 
     need = list(dict.fromkeys([*carry, *inputs]))
     dealt = rows.select(*need) if slots is None else rows.select(*need).repartition(slots)

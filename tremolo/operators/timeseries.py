@@ -1,6 +1,8 @@
 """Silent runs, thinning and trailing blur of time series (key, ts, value).
 
-Each needs the readings of a series in order, so a series is one task; a series without end should be salted by day."""
+Runs and blur need the readings in order. A series is cut into slices of time, each a task's work, and what goes over an
+edge is put together from the slices' ends; only one or two rows of a slice meet in the order of the whole series. Of
+readings at one time, the smaller value comes first, and null before it."""
 
 from __future__ import annotations
 
@@ -18,21 +20,42 @@ BLUR = [
 ]
 
 
+#: Microseconds of a slice, and readings of a block.
+SLICE_US, BLOCK = 7 * 86_400_000_000, 4096
+
+
 def micros(ts: str = "ts") -> Column:
     """A timestamp (without a zone too) as microseconds; the session's zone should be UTC."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def silence_runs(df: DataFrame, key: str, below: float, least_us: int) -> DataFrame:
+def _sliced(df: DataFrame, key: str, slice_us: int) -> DataFrame:
+    return df.select(key, micros().alias("us"), "value").withColumn("slice", F.floor(F.col("us") / slice_us))
+
+
+def silence_runs(df: DataFrame, key: str, below: float, least_us: int, slice_us: int = SLICE_US) -> DataFrame:
     """key, start_us, end_us, seconds of maximal runs of readings below a value. A run ends at the next loud reading, or
     at the series' last one; runs shorter than least_us are left out."""
-    w = Window.partitionBy(key).orderBy("us")
-    r = df.select(key, micros().alias("us"), F.coalesce(F.col("value") < below, F.lit(False)).alias("quiet"))
-    r = r.withColumns({"turn": (F.col("quiet") != F.lag("quiet").over(w)).cast("int"), "until": F.coalesce(F.lead("us").over(w), F.col("us"))})
-    r = r.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(w)).filter("quiet")
-    runs = r.groupBy(key, "run").agg(F.min("us").alias("start_us"), F.max("until").alias("end_us"))
-    runs = runs.filter(F.col("end_us") - F.col("start_us") >= least_us)
-    return runs.select(key, "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("seconds"))
+    w = Window.partitionBy(key, "slice").orderBy("us", "value")
+    r = _sliced(df, key, slice_us).withColumn("quiet", F.coalesce(F.col("value") < below, F.lit(False)))
+    r = r.withColumns({"turn": (F.col("quiet") != F.lag("quiet").over(w)).cast("int"), "until": F.lead("us").over(w)})
+    r = r.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(w))
+    runs = r.groupBy(key, "slice", "run", "quiet").agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.max("until").alias("until"), F.max(F.col("until").isNull()).alias("at_end"))
+    # one row for each slice tells what goes on before and behind it
+    slices = runs.groupBy(key, "slice").agg(F.min("start_us").alias("first_us"))
+    along = Window.partitionBy(key).orderBy("slice")
+    slices = slices.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.lag("slice").over(along).alias("slice_before"), F.lead("first_us").over(along).alias("next_us"))
+    runs = runs.filter("quiet")
+    runs = runs.join(slices, runs[key].eqNullSafe(slices["_key"]) & runs["slice"].eqNullSafe(slices["_slice"])).drop("_key", "_slice")
+    end = F.when(F.col("at_end"), F.coalesce("next_us", "last_us")).otherwise(F.col("until"))
+    runs = runs.withColumn("end_us", end).withColumn("edge", (F.col("run") == 0) | F.col("at_end"))
+    order = Window.partitionBy(key).orderBy("slice", "run")
+    goes_on = (F.col("run") == 0) & F.lag("at_end").over(order) & F.lag("slice").over(order).eqNullSafe(F.col("slice_before"))
+    edges = runs.filter("edge").withColumn("new", 1 - F.coalesce(goes_on, F.lit(False)).cast("int"))
+    edges = edges.withColumn("chain", F.sum("new").over(order)).groupBy(key, "chain").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    whole = runs.filter("not edge").select(key, "start_us", "end_us").unionByName(edges.select(key, "start_us", "end_us"))
+    whole = whole.filter(F.col("end_us") - F.col("start_us") >= least_us)
+    return whole.select(key, "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("seconds"))
 
 
 def silence_coverage(df: DataFrame, key: str, below: float, least_us: int) -> DataFrame:
@@ -53,12 +76,29 @@ def fps_bucket(severity: int) -> int:
     return 1_000_000 // FPS[max(1, min(5, severity)) - 1]
 
 
-def motion_blur(df: DataFrame, key: str, severity: int) -> DataFrame:
+def numbered(df: DataFrame, key: str, slice_us: int = SLICE_US) -> DataFrame:
+    """key, us, value, place: each reading's place in its series, from 0 on; slices are numbered on their own, behind the
+    number of readings before them."""
+    r = _sliced(df, key, slice_us)
+    counts = r.groupBy(F.col(key).alias("_key"), F.col("slice").alias("_slice")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy(key, "slice").orderBy("us", "value")
+    r = r.withColumn("place", F.row_number().over(within) - 1)
+    r = r.join(counts, r[key].eqNullSafe(counts["_key"]) & r["slice"].eqNullSafe(counts["_slice"]))
+    return r.select(key, "us", "value", (F.col("place") + F.col("before")).alias("place"))
+
+
+def motion_blur(df: DataFrame, key: str, severity: int, slice_us: int = SLICE_US, block: int = BLOCK) -> DataFrame:
     """key, us, value, blurred: the weighted mean of the last readings, the newest first in the weights; where there are
-    fewer readings, or some are null, the weights of the others make up the whole. One sort serves all lags."""
+    fewer readings, or some are null, the weights of the others make up the whole. Readings go in blocks of a number of
+    them, each with the last ones of the block before; one sort serves all lags."""
     weights = BLUR[max(1, min(5, severity)) - 1]
-    w = Window.partitionBy(key).orderBy("us").rowsBetween(1 - len(weights), 0)
-    r = df.select(key, micros().alias("us"), "value").withColumn("back", F.reverse(F.collect_list(F.struct("value")).over(w)))
+    r = numbered(df, key, slice_us).withColumn("own", F.floor(F.col("place") / block))
+    tail = F.col("place") % block > block - len(weights)
+    r = r.withColumn("block", F.explode(F.when(tail, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
+    w = Window.partitionBy(key, "block").orderBy("place").rowsBetween(1 - len(weights), 0)
+    r = r.withColumn("back", F.reverse(F.collect_list(F.struct("value")).over(w))).filter("block = own")
     bank = F.array(*[F.lit(float(x)) for x in weights])
     pairs = F.transform("back", lambda v, i: F.struct((v["value"] * F.get(bank, i)).alias("v"), F.when(v["value"].isNotNull(), F.get(bank, i)).alias("w")))
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(p[f], F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,8 +16,9 @@ from tremolo.functions import textnoise as N
 from tremolo.functions.catalog import catalog_sql, corruption_catalog
 from tremolo.operators import evaluate, merge, metadata, predict, quality, reconcile, timeseries
 from tremolo.plans import corruption as plans
-from tremolo.schemas import CLEAN
-from tremolo.sources import readers
+from tremolo.schemas import CLEAN, ERRORS, METRICS
+from tremolo.sources import readers, writers
+from tremolo.sources.shared import shared_dir
 from tremolo.streaming.confusion import stream_confusion
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,11 +147,6 @@ def p9(spark, d):
     return V.predictions(spark, d).select("dialog_id", P.clamp_severity(s).alias("severity"), P.severity_rate(s).alias("rate"))
 
 
-@register("p12_invalid_labels", V.with_views("SELECT dialog_id, label FROM v3_predictions WHERE label IS NULL OR label NOT IN ('neutral', 'positive', 'negative')"))
-def p12(spark, d):
-    return metadata.invalid_labels(V.predictions(spark, d), LABELS).select("dialog_id", "label")
-
-
 # ---- names and lookups
 
 IDS_SQL = r"""
@@ -261,15 +258,23 @@ def w1(spark, d):
     return metadata.first_metadata(V.utterances(spark, d))
 
 
-@register("j1_attach_metadata", V.with_views(rf"""
+J1_SQL = rf"""
 SELECT m.split, m.name, m.path, m.dialog_id, m.utterance_id, regexp_replace(coalesce(t.utterance, ''), '^\s+|\s+$', '', 'g') AS utterance, coalesce(l.sentiment, 'unknown') AS label
 FROM (SELECT *, {IDS_SQL.format(g=1)} AS dialog_id, {IDS_SQL.format(g=2)} AS utterance_id, {LENIENT_SQL.format(g=1)} AS ld, {LENIENT_SQL.format(g=2)} AS lu FROM v2_media) m
 LEFT JOIN ({FIRST_SQL}) t ON m.split = t.split AND m.dialog_id = t.dialog_id AND m.utterance_id = t.utterance_id
-LEFT JOIN ({FIRST_SQL}) l ON m.split = l.split AND m.ld = l.dialog_id AND m.lu = l.utterance_id"""))
+LEFT JOIN ({FIRST_SQL}) l ON m.split = l.split AND m.ld = l.dialog_id AND m.lu = l.utterance_id"""
+
+
+@register("j1_attach_metadata", V.with_views(J1_SQL))
 def j1(spark, d):
     return metadata.attach_metadata(V.media(spark, d), V.utterances(spark, d))
 
 
+@register("p12_invalid_labels", V.with_views(f"SELECT split, name, dialog_id, utterance_id, label FROM ({J1_SQL}) WHERE label NOT IN ('neutral', 'positive', 'negative')"))
+def p12(spark, d):
+    return metadata.invalid_labels(j1(spark, d), LABELS).select("split", "name", "dialog_id", "utterance_id", "label")
+
+
 def _wavs(spark, d):
     """WAVs of the files of even length of name."""
     return V.media(spark, d).filter(F.length("name") % 2 == 0).select(P.wav_path(F.col("path")).alias("wav_path"))
@@ -551,7 +556,26 @@ SELECT clip_id, count(*) AS n, string_agg(CAST(CAST(round(samples[spot + 1] * 1e
 # 64 samples: a rate of 10 gives segments of 4 and 8 samples at severities 4 and 5, of 1 and 2 below
 register("g5_jitter_half", _jitter_sql(4, "m // 2"))(_signal(lambda s, k: S.jitter(s, k, 10, 4)))
 register("g5_jitter_all", _jitter_sql(8, "m"))(_signal(lambda s, k: S.jitter(s, k, 10, 5)))
-register("g5_jitter_swaps")(_signal(lambda s, k: S.jitter(s, k, 10, 2)))
+
+
+def _swaps_sql(size: int, percent: int, adjacent: bool) -> str:
+    i, j = f"{_draw_sql('h + 2 * t')} % {'(m - 1)' if adjacent else 'm'}", f"{_draw_sql('h + 2 * t + 1')} % m"
+    return V.with_views(f"""
+WITH RECURSIVE clips AS (
+  SELECT clip_id, samples, len(samples) AS n, CAST(ceil(len(samples) / {size}.0::DOUBLE) AS BIGINT) AS m, ('0x' || substr(md5('123|jitter|' || clip_id), 1, 7))::BIGINT AS h FROM v5_signals),
+steps AS (
+  SELECT clip_id, m, h, CAST(0 AS BIGINT) AS t, range(m) AS o FROM clips
+  UNION ALL
+  SELECT clip_id, m, h, t + 1, list_transform(o, lambda x, k: CASE WHEN k = i + 1 THEN o[j + 1] WHEN k = j + 1 THEN o[i + 1] ELSE x END)
+  FROM (SELECT *, {i} AS i, {i + ' + 1' if adjacent else j} AS j FROM steps WHERE m > 1 AND t < greatest(1, m * {percent} // 100))),
+last AS (SELECT clip_id, o FROM steps QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY t DESC) = 1)
+SELECT clip_id, n, array_to_string(list_transform(flatten(list_transform(o, lambda b: samples[b * {size} + 1 : b * {size} + {size}])), lambda v: CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR)), ',') AS samples
+FROM clips JOIN last USING (clip_id)""")
+
+
+register("g5_jitter_few", _swaps_sql(1, 1, True))(_signal(lambda s, k: S.jitter(s, k, 10, 1)))
+register("g5_jitter_swaps", _swaps_sql(1, 5, True))(_signal(lambda s, k: S.jitter(s, k, 10, 2)))
+register("g5_jitter_any", _swaps_sql(2, 20, False))(_signal(lambda s, k: S.jitter(s, k, 10, 3)))
 
 
 # ---- time series
@@ -559,9 +583,9 @@ register("g5_jitter_swaps")(_signal(lambda s, k: S.jitter(s, k, 10, 2)))
 RUNS_SQL = f"""
 SELECT series_id, start_us, end_us, (end_us - start_us) / 1e6::DOUBLE AS seconds FROM (
   SELECT series_id, run, min(us) AS start_us, max(until) AS end_us FROM (
-    SELECT *, sum(turn) OVER (PARTITION BY series_id ORDER BY us) AS run FROM (
-      SELECT series_id, us, quiet, coalesce(CAST(quiet <> lag(quiet) OVER w AS INTEGER), 0) AS turn, coalesce(lead(us) OVER w, us) AS until
-      FROM (SELECT series_id, epoch_us(ts) AS us, coalesce(value < {BELOW}, false) AS quiet FROM v6_series) WINDOW w AS (PARTITION BY series_id ORDER BY us)))
+    SELECT *, sum(turn) OVER (PARTITION BY series_id ORDER BY us, value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT series_id, us, value, quiet, coalesce(CAST(quiet <> lag(quiet) OVER w AS INTEGER), 0) AS turn, coalesce(lead(us) OVER w, us) AS until
+      FROM (SELECT series_id, epoch_us(ts) AS us, value, coalesce(value < {BELOW}, false) AS quiet FROM v6_series) WINDOW w AS (PARTITION BY series_id ORDER BY us, value NULLS FIRST)))
   WHERE quiet GROUP BY ALL) WHERE end_us - start_us >= {HOUR}"""
 
 
@@ -586,7 +610,7 @@ def w4(spark, d):
 def _blur_sql(weights: list[float]) -> str:
     v = " + ".join(f"coalesce(lag(value, {i}) OVER w * {x}::DOUBLE, 0)" for i, x in enumerate(weights))
     t = " + ".join(f"CASE WHEN lag(value, {i}) OVER w IS NULL THEN 0 ELSE {x}::DOUBLE END" for i, x in enumerate(weights))
-    return f"SELECT series_id, us, round(({v}) / nullif({t}, 0), 6) AS blurred FROM (SELECT series_id, epoch_us(ts) AS us, value FROM v6_series) WINDOW w AS (PARTITION BY series_id ORDER BY us)"
+    return f"SELECT series_id, us, round(({v}) / nullif({t}, 0), 6) AS blurred FROM (SELECT series_id, epoch_us(ts) AS us, value FROM v6_series) WINDOW w AS (PARTITION BY series_id ORDER BY us, value NULLS FIRST)"
 
 
 @register("w5_motion_blur", V.with_views(_blur_sql(timeseries.BLUR[1])))
@@ -599,11 +623,7 @@ def w5(spark, d):
 @register("r1_stream_confusion", V.with_views(_a1("v3_predictions")))
 def r1(spark, d):
     """Predictions arrive in two lots, the second with all of the first again; the counts are those of the batch."""
-    import uuid
-
-    from tremolo.sources.shared import shared_dir
-
-    base = f"{shared_dir(spark)}/tremolo-stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     p = V.predictions(spark, d)
     p.filter(F.col("dialog_id") % 2 == 0).write.mode("append").parquet(f"{base}/in")
     stream_confusion(spark, f"{base}/in", f"{base}/out", f"{base}/state")
@@ -612,6 +632,76 @@ def r1(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
+# ---- files: each query writes, reads back and returns what it read
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/tremolo-{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_read_metadata", V.with_views("SELECT split, dialog_id, utterance_id, utterance, sentiment FROM v1_utterances"))
+def s1(spark, d):
+    base, rows = _folder(spark, "metadata"), V.utterances(spark, d)
+    named = rows.select("split", F.col("dialog_id").alias("Dialogue_ID"), F.col("utterance_id").alias("Utterance_ID"), F.col("utterance").alias("Utterance"), F.col("sentiment").alias("Sentiment"))
+    quoted = {"header": True, "escape": '"', "quoteAll": True, "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    named.write.partitionBy("split").options(**quoted).csv(base)
+    return readers.read_metadata(spark, {s: f"{base}/split={s}" for s in ("train", "val", "test")}).drop("_pos")
+
+
+@register("s2_list_media", V.with_views("SELECT split, '.parquet' AS suffix FROM v3_predictions GROUP BY split"))
+def s2_list(spark, d):
+    """The predictions' files, listed: one folder for each condition."""
+    base = _folder(spark, "listed")
+    writers.write_predictions(V.predictions(spark, d), base)
+    files = readers.list_media(spark, base, recursive=True, suffixes=[".parquet"]).filter("length > 0")
+    split = F.expr("url_decode(regexp_extract(path, '/split=([^/]*)/[^/]*$', 1))")
+    return files.select(split.alias("split"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("suffix")).distinct()
+
+
+@register("s4_write_predictions", V.with_views("SELECT dialog_id::BIGINT AS dialog_id, utterance_id::BIGINT AS utterance_id, file, prediction, label, split FROM v3_predictions"))
+def s4(spark, d):
+    base, p = _folder(spark, "predictions"), V.predictions(spark, d)
+    for part in (p.filter(F.col("split") == CLEAN), p.filter(F.col("split") != CLEAN)):  # appended one after the other
+        writers.write_predictions(part, base)
+    return readers.read_predictions(spark, base)
+
+
+@register("s5_write_errors", V.with_views(r"""
+SELECT dialog_id, utterance_id, name AS file, 'Missing audio wav: ' || wav_path AS error, CASE WHEN dialog_id % 2 = 0 THEN 'line one' || chr(10) || '"line" two of ' || name END AS traceback
+FROM (SELECT *, '/data/' || split || '/unmodified/audio_only/' || regexp_replace(name, '\.[^.]*$', '') || '.wav' AS wav_path FROM (""" + J1_SQL + r"""))
+WHERE wav_path NOT IN (SELECT '/data/' || split || '/unmodified/audio_only/' || regexp_replace(name, '\.[^.]*$', '') || '.wav' FROM v2_media WHERE length(name) % 2 = 0)"""))
+def s5(spark, d):
+    """Error rows as Parquet, and from there as CSV files of both layouts, which are read as one table."""
+    base = _folder(spark, "errors")
+    missing = metadata.check_audio(j1(spark, d), _wavs(spark, d))[1]
+    trace = F.when(F.col("dialog_id") % 2 == 0, F.concat(F.lit('line one\n"line" two of '), "name"))
+    writers.write_errors(missing.select("dialog_id", "utterance_id", F.col("name").alias("file"), "error", trace.alias("traceback")), f"{base}/errors")
+    errors = spark.read.schema(ERRORS).parquet(f"{base}/errors")
+    for name, part in (("new", errors.filter("traceback is not null")), ("old", errors.filter("traceback is null").drop("traceback"))):
+        part.write.option("header", True).option("escape", '"').csv(f"{base}/{name}")
+    return readers.read_errors_csv(spark, [f"{base}/new"], [f"{base}/old"])
+
+
+@register("s6_write_corrupted", V.with_views(" UNION ALL ".join(f"SELECT n.doc_id AS _pos, '{m}' AS corruption, CAST(2 AS INTEGER) AS severity, md5(n.text) AS digest FROM ({noise_sql(m, 0.1, UTTERANCES)}) n" for m in N.METHODS)))
+def s6(spark, d):
+    base = _folder(spark, "corrupted")
+    writers.write_corrupted(N.corrupt_all(V.utterances(spark, d), "utterance", F.col("_pos"), severity=2), base)
+    return spark.read.parquet(base).select("_pos", "corruption", "severity", F.md5("utterance").alias("digest"))
+
+
+@register("s7_write_metrics", V.with_views(_a1("v4_predictions_large")))
+def s7(spark, d):
+    base = _folder(spark, "metrics")
+    writers.write_metrics(evaluate.confusion_metrics(V.predictions_large(spark, d)), base)
+    return readers.read_csv(spark, base, METRICS)
+
+
+@register("s7_write_report", SQL["p11_silence_flag"])
+def s7_report(spark, d):
+    base, report = _folder(spark, "report"), p11(spark, d)
+    writers.write_report(report, base)
+    return readers.read_csv(spark, base, report.schema)
+
+
 # ---- the flagship
 
 FLAG_TEXTS = " UNION ALL ".join(f"SELECT doc_id, 'T={m}_S=3' AS split, text FROM ({noise_sql(m, 0.2, 'documents')})" for m in N.METHODS)

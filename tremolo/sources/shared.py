@@ -4,11 +4,19 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: The folder for a local session that names none.
+LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for state shared by its machines; a temporary one only where none is named."""
+    """The folder that the session names for state shared by its machines, in spark.checkpoint.dir. Without one, a
+    temporary folder serves a local master; on a cluster, where machines would not see each other's, it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    name = spark.sparkContext.applicationId
+    if name not in LOCAL:
+        LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return LOCAL[name]

@@ -16,11 +16,11 @@ def write_errors(errors: DataFrame, path: str) -> None:
     errors.select(*have).write.mode("append").parquet(path)
 
 
-def write_corrupted(rows: DataFrame, key: str, path: str, files: int = 8) -> None:
-    """One folder for each modality, corruption and severity; rows are first gathered, so that a condition has `files`
-    files and not one from each task."""
-    part = F.pmod(F.hash(key), F.lit(files))
-    rows.repartition("corruption", "severity", part).write.mode("overwrite").partitionBy("modality", "corruption", "severity").parquet(path)
+def write_corrupted(rows: DataFrame, path: str) -> None:
+    """One folder for each modality, corruption and severity. Rows are gathered by these into tasks of the session's
+    advisory size, so that a condition has as many files as its size asks for, and not one from each task."""
+    parts = ["modality", "corruption", "severity"]
+    rows.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -79,6 +79,8 @@ def with_views(sql: str) -> str:
         names = [n for n in VIEWS if n in (*names, "v3_predictions")]
     text = ", ".join(f"{n} AS ({VIEWS[n].format(ARR='DOUBLE[]', STR='VARCHAR')})" for n in names)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {text}, {sql[15:]}"
     if sql[:5].upper() == "WITH ":
         return f"WITH {text}, {sql[5:]}"
     return f"WITH {text} {sql}"
