@@ -37,7 +37,59 @@ SENTENCES = {
     "ccbync_licensed": "licensed under cc by nc 4 0",
     "ccby_licensed": "licensed under cc by 4 0",
     "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl_copy_http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mit0_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    "isc_as_is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc_no_liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd_advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd_as_is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd_no_liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "apache_see": "see the license for the specific language governing permissions and limitations under the license",
+    "gpl_see": "see the gnu general public license for more details",
+    "lgpl_hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl21_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_see": "see the gnu lesser general public license for more details",
+    "lgpl_received": "you should have received a copy of the gnu lesser general public license along with this library",
+    "agpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl_see": "see the gnu affero general public license for more details",
+    "agpl_received": "you should have received a copy of the gnu affero general public license along with this program",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "unlicense_anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_no_liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib_origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib_altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "zlib_notice": "this notice may not be removed or altered from any source distribution",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost_distributed": "distributed under the boost software license version 1 0",
+    "epl1_terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0",
+    "epl2_terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "cc0_dedicated": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc0_no_warranty": "this software is distributed without any warranty",
+    "wtfpl_terms": "you can redistribute it and or modify it under the terms of the do what the fuck you want to public license version 2 as published by sam hocevar",
+    "perl_terms": "this is free software you can redistribute it and or modify it under the same terms as perl itself",
 }
+# Short names of licences in identifier lines and in one-line statements.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib"]
+CREATIVE = {"CC-BY": "attribution", "CC-BY-SA": "attribution sharealike", "CC-BY-ND": "attribution noderivatives", "CC-BY-NC": "attribution noncommercial", "CC-BY-NC-SA": "attribution noncommercial sharealike", "CC-BY-NC-ND": "attribution noncommercial noderivatives"}
+EDITIONS = {"3.0": "3 0 unported", "4.0": "4 0 international"}
+NAMED = {"mit license": "MIT", "isc license": "ISC", "bsd 2 clause license": "BSD-2-Clause", "bsd 3 clause license": "BSD-3-Clause", "apache 2 0 license": "Apache-2.0", "apache license 2 0": "Apache-2.0", "mozilla public license 2 0": "MPL-2.0", "gnu general public license v3 0": "GPL-3.0-only", "gnu affero general public license v3 0": "AGPL-3.0-only", "boost software license 1 0": "BSL-1.0"}
+
+
+def plain(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+#: Statements in one sentence, by rule: sentence -> licence.
+STATED = {f"spdx license identifier {plain(k)}": k for k in SPDX}
+STATED |= {f"this work is licensed under a creative commons {words} {edition} license": f"{k}-{v}" for k, words in CREATIVE.items() for v, edition in EDITIONS.items()}
+STATED |= {f"licensed under {plain(k)} {plain(v)}": f"{k}-{v}" for k in CREATIVE for v in EDITIONS}
+STATED |= {f"{start} under the {k}": v for start in ("licensed", "released", "distributed", "this project is licensed") for k, v in NAMED.items()}
+STATED = {k: v for k, v in STATED.items() if k not in SENTENCES.values()}
+SENTENCES |= {k.replace(" ", "_"): k for k in STATED}
 RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is", "no_liability"]),
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
@@ -57,6 +109,35 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync_licensed"]),
     ("CC-BY-4.0", ["ccby_licensed"]),
     ("MPL-2.0", ["mpl_notice"]),
+    ("MPL-2.0", ["mpl_notice", "mpl_copy"]),
+    ("MPL-2.0", ["mpl_notice", "mpl_copy_http"]),
+    ("MIT-0", ["mit0_grant", "as_is", "no_liability"]),
+    ("ISC", ["isc_grant", "isc_as_is", "isc_no_liability"]),
+    ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is", "bsd_no_liability"]),
+    ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is", "bsd_no_liability"]),
+    ("BSD-4-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_names"]),
+    ("Apache-2.0", ["apache_notice", "apache_copy", "apache_unless", "apache_see"]),
+    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_see", "gpl_received"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_see", "gpl_received"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free", "lgpl_hope", "lgpl_see", "lgpl_received"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope", "lgpl_see", "lgpl_received"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl_free", "gpl_hope", "agpl_see", "agpl_received"]),
+    ("AGPL-3.0-or-later", ["agpl_free"]),
+    ("Unlicense", ["unlicense_free", "unlicense_anyone"]),
+    ("Unlicense", ["unlicense_free"]),
+    ("Zlib", ["zlib_as_is", "zlib_no_liability", "zlib_grant", "zlib_origin", "zlib_altered", "zlib_notice"]),
+    ("Zlib", ["zlib_grant", "zlib_origin", "zlib_altered", "zlib_notice"]),
+    ("BSL-1.0", ["boost_grant"]),
+    ("BSL-1.0", ["boost_distributed"]),
+    ("EPL-1.0", ["epl1_terms"]),
+    ("EPL-2.0", ["epl2_terms"]),
+    ("CC0-1.0", ["cc0_dedicated", "cc0_no_warranty"]),
+    ("CC0-1.0", ["cc0_dedicated"]),
+    ("WTFPL", ["wtfpl_terms"]),
+    ("Artistic-1.0-Perl", ["perl_terms"]),
+    *[(v, [k.replace(" ", "_")]) for k, v in STATED.items()],
 ]
 #: A sentence ends at a mark before white space or the end of the text, and at a line break.
 ENDS = r"[.!?;:]+([\x20\x09-\x0D]+|$)|[\n\r]+"
@@ -80,7 +161,6 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
 
     Sentences that are not known, such as names or titles between the clauses, do not part a rule's sentences. A null
     or empty text has no sentences. Rows stay as they are, with no shuffle; everything is by Spark's functions."""
-    ordered = sorted(rules, key=lambda r: -len(r[1]))
     code = {k: f"{i:03d}" for i, k in enumerate(sentences)}
     wanted = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
     marked = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), ENDS, "\n")
@@ -92,31 +172,53 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
     base = base.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), known.alias("known"))
     codes = F.create_map(*[F.lit(x) for k, v in code.items() for x in (k, v)])
     line = F.concat_ws("", F.transform("known", lambda k: F.concat(F.lit("<"), codes[k], F.lit(">"))))
-    out = base.select("doc_id", "n_sentences", F.concat_ws(",", "known").alias("sentence_ids"), line.alias("left0"))
-    counts = []
-    for i, (_, seq) in enumerate(ordered):
-        pattern = "".join(f"<{code[k]}>" for k in seq)
+    out = base.select("doc_id", "n_sentences", F.concat_ws(",", "known").alias("sentence_ids"), line.alias("line"))
+    longer, single = split_rules(rules)
+    if longer:
         # a matched run leaves a bar, so that what stood on its two sides does not join
-        out = out.withColumn(f"left{i + 1}", F.replace(F.col(f"left{i}"), F.lit(pattern), F.lit("|")))
-        counts.append((F.length(f"left{i}") - F.length(f"left{i + 1}")) / (len(pattern) - 1))
-        out = out.withColumn(f"n{i}", counts[-1].cast("bigint")).drop(f"left{i}")
-    names = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(name)) for i, (name, _) in enumerate(ordered)]))))
-    rest = F.col(f"left{len(ordered)}")
-    return out.select("doc_id", "n_sentences", "sentence_ids", F.concat_ws(",", names).alias("licenses"), sum((F.col(f"n{i}") for i in range(len(ordered))), F.lit(0).cast("bigint")).alias("n_matches"), F.regexp_count(rest, F.lit("<")).cast("bigint").alias("n_unmatched"))
+        start = F.struct(F.col("line").alias("rest"), F.array().cast("array<string>").alias("names"), F.lit(0).cast("bigint").alias("n"))
+
+        def use(now, rule):
+            rest = F.replace(now["rest"], rule["seq"], F.lit("|"))
+            n = ((F.length(now["rest"]) - F.length(rest)) / (F.length(rule["seq"]) - 1)).cast("bigint")
+            return F.struct(rest.alias("rest"), F.when(n > 0, F.array_append(now["names"], rule["name"])).otherwise(now["names"]).alias("names"), (now["n"] + n).alias("n"))
+
+        steps = F.array(*[F.struct(F.lit("".join(f"<{code[k]}>" for k in seq)).alias("seq"), F.lit(name).alias("name")) for name, seq in longer])
+        used = F.when(F.col("line") == "", start).otherwise(F.aggregate(steps, start, use))
+    else:
+        used = F.struct(F.col("line").alias("rest"), F.array().cast("array<string>").alias("names"), F.lit(0).cast("bigint").alias("n"))
+    out = out.withColumn("used", used)
+    alone = F.regexp_extract_all("used.rest", F.lit("<([0-9]+)>"), F.lit(1))
+    named = F.create_map(*[F.lit(x) for k, v in single.items() for x in (code[k], v)]) if single else F.create_map().cast("map<string,string>")
+    out = out.withColumn("alone", F.transform(alone, lambda c: named[c]))
+    known_alone = F.array_compact("alone")
+    names = F.array_sort(F.array_distinct(F.concat("used.names", known_alone)))
+    n_alone = F.size(known_alone).cast("bigint")
+    return out.select("doc_id", "n_sentences", "sentence_ids", F.concat_ws(",", names).alias("licenses"), (F.col("used.n") + n_alone).alias("n_matches"), (F.size("alone") - n_alone).cast("bigint").alias("n_unmatched"))
+
+
+def split_rules(rules: list[tuple[str, list[str]]]) -> tuple[list[tuple[str, list[str]]], dict[str, str]]:
+    """Rules of several sentences, longest first, and the licence of each sentence that is a rule by itself."""
+    single: dict[str, str] = {}
+    for name, seq in rules:
+        if len(seq) == 1:
+            single.setdefault(seq[0], name)
+    return sorted((r for r in rules if len(r[1]) > 1), key=lambda r: -len(r[1])), single
 
 
 def scan_sql(table: str = "documents") -> str:
     """The same in DuckDB's SQL."""
-    ordered = sorted(RULES, key=lambda r: -len(r[1]))
+    longer, single = split_rules(RULES)
     code = {k: f"{i:03d}" for i, k in enumerate(SENTENCES)}
     known = ", ".join(f"('{v}', '{k}', '{code[k]}')" for k, v in SENTENCES.items())
     steps, names, counts = [], [], []
-    for i, (name, seq) in enumerate(ordered):
+    for i, (name, seq) in enumerate(longer):
         pattern = "".join(f"<{code[k]}>" for k in seq)
         steps.append(f"r{i + 1} AS (SELECT *, replace(left{i}, '{pattern}', '|') AS left{i + 1}, CAST((len(left{i}) - len(replace(left{i}, '{pattern}', '|'))) / {len(pattern) - 1} AS BIGINT) AS n{i} FROM r{i})")
         names.append(f"CASE WHEN n{i} > 0 THEN '{name}' END")
         counts.append(f"n{i}")
-    n = len(ordered)
+    n = len(longer)
+    alone = ", ".join(f"'{code[k]}': '{v}'" for k, v in single.items())
     return rf"""
 WITH known(sentence, id, code) AS (VALUES {known}),
 cut AS (
@@ -130,9 +232,11 @@ seqs AS (
 r0 AS (
   SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(left0, '') AS left0
   FROM {table} d LEFT JOIN seqs USING (doc_id)),
-{", ".join(steps)}
+{", ".join(steps)},
+rest AS (SELECT *, list_transform(regexp_extract_all(left{n}, '<([0-9]+)>', 1), lambda c: MAP {{{alone}}}[c]) AS alone FROM r{n}),
+ends AS (SELECT *, list_filter(alone, lambda x: x IS NOT NULL) AS named FROM rest)
 SELECT doc_id, n_sentences, sentence_ids,
-       array_to_string(list_sort(list_distinct(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL))), ',') AS licenses,
-       {" + ".join(counts)} AS n_matches, CAST(len(left{n}) - len(replace(left{n}, '<', '')) AS BIGINT) AS n_unmatched
-FROM r{n}
+       array_to_string(list_sort(list_distinct(list_concat(list_filter([{", ".join(names)}], lambda x: x IS NOT NULL), named))), ',') AS licenses,
+       {" + ".join(counts)} + len(named) AS n_matches, CAST(len(alone) - len(named) AS BIGINT) AS n_unmatched
+FROM ends
 """
