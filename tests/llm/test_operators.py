@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm import decontaminate, exact, language, licenses, mixing, near, sharding, substrings, tokens, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, row string, key string, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, row string, key string, word string, `a.b` string"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -39,7 +39,7 @@ def docs(spark, rows=None):
         order = random.Random(3).sample(range(1000), len(t))
         rows = [(i, x) for i, x in zip(order, t, strict=True)]
     sources = ["b", None, "a", "é", "b", "b"]
-    full = [(i, x, "en" if k % 2 else None, sources[k % 6], len(x or ""), "9", "h", "r", "k", "w") for k, (i, x) in enumerate(rows)]
+    full = [(i, x, "en" if k % 2 else None, sources[k % 6], len(x or ""), "9", "h", "r", "k", "w", "dotted") for k, (i, x) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA)
 
 
@@ -80,6 +80,10 @@ def test_exact_compares_bytes_of_one_hash():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1, 2]), pa.array(list("abac")), pa.array(["x", "y", "x", "x"]), pa.array([5, 6, 3, 9]), pa.array([1, 1, 1, 1])], names=names)
     out = [r for b in exact.own(iter([batch])) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
     assert out == [(1, 0, "a", 3, 2), (1, 1, "b", 6, 1), (2, 0, "c", 9, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1]), pa.array(list("aa")), pa.array(["x", "y"]), pa.array([5, 6]), pa.array([1, 1])], names=names)
+    for step in (exact.own, exact.combine):
+        with pytest.raises(ValueError, match="SHA-256"):
+            list(step(iter([batch])))
 
 
 # ---- near deduplication
@@ -129,6 +133,16 @@ def test_near_group_without_centre(spark):
     assert alone == got
 
 
+def test_near_of_an_id_with_two_texts(spark):
+    """The id links what any of its texts links."""
+    r = random.Random(21)
+    x, y = ([f"w{r.randrange(900)}" for _ in range(120)] for _ in range(2))
+    edit = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (7, edit(x, 50)), (9, edit(y, 30)), (3, edit(y, 90)), (8, " ".join(r.sample(x, 120)))]
+    got = {i: c for i, c in ((q.doc_id, q.component_id) for q in near.deduplicate(docs(spark, rows)).collect())}
+    assert got == {5: 3, 7: 3, 9: 3, 3: 3, 8: 8}
+
+
 def test_near_keep_one_keeps_columns(spark):
     d = docs(spark, [(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "q"), (3, None)])
     out = near.keep_one(d)
@@ -284,7 +298,7 @@ def decontamination_brute(pairs, items, window=10):
     for i, t in items:
         w = split(t)
         for k in range(max(1, len(w) - window + 1) if w else 0):
-            windows[tuple(w[k : k + window])].add(str(i))
+            windows[tuple(w[k : k + window])] |= {str(i)} - {'None'}
     sizes = {len(w) for w in windows}
     out = {}
     for i, t in pairs:
@@ -300,7 +314,7 @@ def decontamination_brute(pairs, items, window=10):
 
 def bench_items(spark):
     t = [x for x in texts() if x and len(x.split()) > 60]
-    items = [(10, " ".join(t[0].split()[5:25])), (9, " ".join(t[0].split()[15:30]).upper()), (8, "one, two: three!"), (7, "!!!"), (6, None), (5, "word"), (5, "word"), (4, " ".join(t[3].split()[:14]))]
+    items = [(10, " ".join(t[0].split()[5:25])), (9, " ".join(t[0].split()[15:30]).upper()), (8, "one, two: three!"), (7, "!!!"), (6, None), (5, "word"), (5, "word"), (4, " ".join(t[3].split()[:14])), (None, " ".join(t[1].split()[40:55])), (None, None)]
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
@@ -318,6 +332,19 @@ def test_decontamination(spark):
     assert none.filter("contaminated").count() == 0 and none.count() == len(texts())
 
 
+def test_decontamination_of_repeated_words():
+    """Thousands of equal words, in the item and in the text, take a moment."""
+    import time
+
+    a = decontaminate.Automaton([("x", [b"la"] * 6000), ("y", [b"la"] * 4), (None, [b"do"] * 12)], 10)
+    began = time.time()
+    hit, items = a.scan([b"so"] + [b"la"] * 20_000 + [b"so"] * 3 + [b"la"] * 5 + [b"do"] * 11)
+    assert time.time() - began < 2 and items == {"x", "y"}
+    assert hit.tolist() == [False] + [True] * 20_000 + [False] * 3 + [True] * 16
+    hit, items = a.scan([b"do"] * 10)
+    assert hit.all() and items == set()
+
+
 def test_decontaminate_cuts_and_keeps(spark):
     items, frame = bench_items(spark)
     d = docs(spark)
@@ -420,8 +447,9 @@ def sharding_brute(sized, limit):
     return out
 
 
-@pytest.mark.parametrize("limit", [300, 2000, 1 << 20])
-def test_sharding(spark, limit):
+@pytest.mark.parametrize("limit, levels", [(300, 8), (2000, 2), (1 << 20, 1)])
+def test_sharding(spark, monkeypatch, limit, levels):
+    monkeypatch.setattr(sharding, "LEVELS", levels)
     rows = rows_of(spark)
     sized = [(i, len((t or "").encode()), int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)) for i, t in rows]
     want, got = sharding_brute(sized, limit), sharding.shard(docs(spark), limit).collect()
@@ -530,16 +558,69 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/.
 """
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment would be appreciated.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+LGPL = GPL.replace("This program", "This library").replace("this program", "this library").replace("GNU General", "GNU Lesser General").replace("software: you", "software; you").replace("version 3", "version 2.1")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+CC = "Text of the page.\n\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.\n"
+
+
+def licences_plainly(text):
+    """Sentence by sentence and rule by rule: names, matches, known sentences that no rule used."""
+    words = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).split()
+    parts = [w for w in map(words, re.split(r"[.!?;:]+(?=[ \t-\r]|$)|[\n\r]+", text or "")) if w]
+    by_words = {tuple(v.split()): k for k, v in licenses.SENTENCES.items()}
+    ids, i = [], 0
+    while i < len(parts):
+        for j in range(len(parts), i, -1):  # the longest run of whole sentences that gives a known one
+            k = by_words.get(tuple(w for p in parts[i:j] for w in p))
+            if k:
+                ids.append(k)
+                break
+        i = j if k else i + 1
+    names, n, free = set(), 0, [True] * len(ids)
+    for name, seq in sorted(licenses.RULES, key=lambda r: -len(r[1])):
+        for a in range(len(ids) - len(seq) + 1):
+            if all(free[a : a + len(seq)]) and ids[a : a + len(seq)] == seq:
+                free[a : a + len(seq)] = [False] * len(seq)
+                names.add(name)
+                n += 1
+    return len(parts), ",".join(ids), ",".join(sorted(names)), n, sum(free)
+
+
+def test_licenses_by_a_plain_matcher(spark):
+    r = random.Random(11)
+    say = lambda: " ".join(r.choice(["some", "other", "words", "stand", "here"]) for _ in range(r.randint(1, 6)))
+    sentences = list(licenses.SENTENCES.values())
+    rows = [(i, "\n".join(r.choice([r.choice(sentences).capitalize() + r.choice([".", "", "!"]), say(), "", "; ".join([say(), say()]), r.choice([MIT, APACHE, GPL, MPL, ZLIB, LGPL])]) for _ in range(r.randint(0, 9)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, ". . ;"), (7, rows[7][1]), (None, MIT)]
+    got = Counter((x.doc_id, x.n_sentences, x.sentence_ids, x.licenses, x.n_matches, x.n_unmatched) for x in licenses.scan(docs(spark, rows)).collect())
+    assert got == Counter((i, *licences_plainly(t)) for i, t in rows)
+
+
 def test_licenses_of_verbatim_notices(spark):
-    notices = [(MIT, "MIT", 4), (APACHE, "Apache-2.0", 3), (GPL, "GPL-3.0-or-later", 3), (GPL2, "GPL-2.0-or-later", 3), (MPL, "MPL-2.0", 1)]
+    notices = [(MIT, "MIT", 4), (APACHE, "Apache-2.0", 4), (GPL, "GPL-3.0-or-later", 4), (GPL2, "GPL-2.0-or-later", 4), (MPL, "MPL-2.0", 2), (ZLIB, "Zlib", 6), (LGPL, "LGPL-2.1-or-later", 4), (AGPL, "AGPL-3.0-or-later", 4), ("// SPDX-License-Identifier: LGPL-3.0-or-later\n", "LGPL-3.0-or-later", 1), (CC, "CC-BY-SA-4.0", 1)]
     rows, want = [], {}
     for i, (text, name, known) in enumerate(notices):
         commented = "#!/bin/sh\n" + "".join("# " + x + "\n" for x in text.split("\n")) + "echo x; exit\n"
         for k, t in enumerate((text, commented, text.replace("\n", "\r\n"), " ".join(text.split()) if i else text)):
             rows.append((10 * i + k, t))
             want[10 * i + k] = (name, known, 1, 0)
-    rows.append((90, APACHE + "\n" + MPL + "\nReleased under\nthe MIT License\nof old\nReleased under the\nMIT license"))
-    want[90] = ("Apache-2.0,MIT,MPL-2.0", 6, 4, 0)
+    rows.append((900, APACHE + "\n" + MPL + "\nReleased under\nthe MIT License\nof old\nReleased under the\nMIT license"))
+    want[900] = ("Apache-2.0,MIT,MPL-2.0", 8, 4, 0)
     got = licenses.scan(docs(spark, rows)).collect()
     assert {r.doc_id: (r.licenses, len(r.sentence_ids.split(",")), r.n_matches, r.n_unmatched) for r in got} == want
 

@@ -21,15 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that saved() wrote, by scope; settled() opens and closes one.
 SCOPES: list[list[str]] = []
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor then costs only reading again."""
-    path = f"{shared_dir(df.sparkSession)}/tremolo-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: a lost executor then costs only reading again. The write's own
+    shuffle files go when it is done; the session's setting for that is as before then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tremolo-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     if SCOPES:
         SCOPES[-1].append(path)
@@ -71,6 +79,11 @@ def sliced_arrow(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator
             yield batch.slice(a, rows)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """True for documents of the hold-out fold: crc32 of the id as text, taken by the modulus. A null id counts as
     the empty text."""
@@ -84,17 +97,21 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def join_unique(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined to by_key, which has one row for each key and the number of rows that have it. Keys with over
-    1/2000 of the total are at most 2000 rows: these are broadcast, so that no hot key meets in one task. The rest is
-    an ordinary join. rows should be a written table, as it is read twice."""
-    hot = by_key.filter(F.col(count) > total / 2000)
-    cold = by_key.filter(F.col(count) <= total / 2000)
-    marks = hot.select(key).withColumn("__hot", F.lit(True))
-    marked = rows.join(F.broadcast(marks), key, "left")
-    first = marked.filter("__hot").drop("__hot").join(F.broadcast(hot), key)
-    second = marked.filter("__hot is null").drop("__hot").join(cold, key, how)
-    return first.unionByName(second)
+#: A key with over 1/PIECES of the rows is dealt out in pieces of about that size.
+PIECES = 2000
+
+
+def join_unique(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int, spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to by_key, which has one row for each key. counts, or by_key itself, says how many of all rows have a
+    key; it should be a written table, as it is read more than once. No hot key meets in one task: keys with over 1/2000
+    of the total are 2000 at most, and a broadcast of these tells in how many pieces their rows are dealt, by a hash of
+    `spread`; by_key's row is there for each piece."""
+    hot = (by_key if counts is None else counts).filter(F.col(count) * PIECES > total)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col(count) * PIECES / total).cast("int").alias("__pieces")))
+    piece = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("__pieces"))).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("__piece", piece).drop("__pieces")
+    each = by_key.join(hot, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)))
+    return dealt.join(each.drop("__pieces"), [key, "__piece"], how).drop("__piece")
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str], parts: int) -> DataFrame:

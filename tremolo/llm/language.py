@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import held_out
+from tremolo.llm.common import held_out, whole_row
 
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -322,7 +322,7 @@ def identify(docs: DataFrame, train: DataFrame, rows: int = 96, passages: int =
     score is the share of normalised phrases that the best language saves against the second, 1 if it is the only one.
     Ties go to the first language by name. Rows stay as they are; whole texts are parsed."""
     udf = predictor(docs, train, rows, passages)
-    packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = docs.select("text", whole_row(docs))
     return packed.select("row", udf("text").alias("lang_id"))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import WORD, running_totals, saved, width
+from tremolo.llm.common import WORD, running_totals, saved, whole_row, width
 
 
 def targets(totals: DataFrame, weights: Sequence[float], max_epochs: int, parts: int) -> DataFrame:
@@ -62,7 +62,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs
     placed = running_totals(keyed, order, {"upto": "size"}, parts)
     # One row for each source. It is broadcast by Spark where its statistics are below the session's threshold; else
     # the join is on (source, slice) with every source's row in each of the slices, so that a hot source is spread.
-    slices = max(1, min(parts, 64))
+    slices = max(1, parts)
     placed = placed.withColumn("slice", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % slices)
     spread = plan.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumnRenamed("source", "of")
     out = placed.join(spread, F.col("source").eqNullSafe(F.col("of")) & (placed["slice"] == spread["slice"]))
@@ -93,7 +93,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     taken = saved(taken.select("doc_id", "source", "size", times.alias("times")), "taken")
     by_id = saved(taken.groupBy(F.col("doc_id").alias("of")).agg(F.min("times").alias("lo"), F.max("times").alias("hi")), "times")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    row = whole_row(docs)
     even, uneven = by_id.filter("lo = hi and hi > 0"), by_id.filter("lo < hi").select("of")
     out = docs.select(F.col("doc_id").alias("id"), row).join(even, F.col("id").eqNullSafe(F.col("of"))).select("row", F.col("hi").alias("times"))
     if not uneven.isEmpty():

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import join_unique, saved
+from tremolo.llm.common import PIECES, discard, join_unique, saved, whole_row
 
 K = 64
-#: Sketch values that two classes share at the least. The union's k smallest values hold Binomial(64, J) common ones:
-#: for J >= 0.75, fewer than 28 come with probability below 1e-7.
-SHARE = 28
+#: The chance that two classes at the threshold share fewer sketch values than is asked for.
+RISK = 1e-7
 WIDTH = 5
+#: Classes with one shingle in their prefixes, of one band of sizes, that meet in a task (with all others of the bands).
+DEALT = 2000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -85,6 +87,16 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(acc)
 
 
+def share_of(percent: int, k: int = K) -> int:
+    """Sketch values that two classes share at the least. The union's k smallest values hold Binomial(k, J) common ones;
+    fewer than this many (28 for J = 0.75) come with a probability below RISK."""
+    p, below, n = percent / 100, 0.0, 0
+    while n < k and below + math.comb(k, n) * p**n * (1 - p) ** (k - n) < RISK:
+        below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        n += 1
+    return max(1, n)
+
+
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
@@ -102,85 +114,107 @@ def sketches(width: int, k: int):
     return F.pandas_udf(run, SKETCH)
 
 
-def lists(classes: DataFrame, share: int) -> DataFrame:
+def lists(classes: DataFrame, percent: int) -> DataFrame:
     """value, id, n_shingles, weight: the inverted lists, each class in those of its rarest values only. weight is the
     length of a class's lists together: that of a text that many others are copies of is large."""
     values = classes.select("id", "n_shingles", F.size("sketch").alias("m"), F.explode("sketch").alias("value")).select("value", "id", "n_shingles", "m")
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    seen = join_unique(values, saved(often, "often"), "value", "often", values.count())
-    # sketches are bounded, so is what is collected for a class; a small set needs 3/4 of its values in common
-    need = F.when(F.col("m") >= K, F.lit(share)).otherwise(F.least(F.lit(share), F.ceil(F.col("m") * 0.75).cast("int")))
+    often = saved(values.groupBy("value").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0)).alias("n")).first()["n"]
+    seen = join_unique(values, often, "value", "often", total, "id")
+    # sketches are bounded, so is what is collected for a class; a small set needs its share of values in common
+    need = F.when(F.col("m") >= K, F.lit(share_of(percent))).otherwise(F.least(F.lit(share_of(percent)), F.ceil(F.col("m") * percent / 100).cast("int")))
     own = seen.groupBy("id", "n_shingles", "m").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("v"), F.sum("often").alias("weight"))
     first = F.greatest(F.lit(0), F.col("m") - need + 1 - (F.col("m") - F.size("v")))
     own = own.withColumn("v", F.slice("v", F.lit(1), first)).select("id", "n_shingles", "weight", F.explode("v.value").alias("value"))
+    own = saved(own, "lists")
+    discard(often)
     return own
 
 
-def in_several(todo: DataFrame, comp: DataFrame) -> DataFrame:
-    """The lists whose classes lie in several components, with column comp."""
-    named = todo.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    named = saved(named, "named")
-    split = named.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-    return saved(named.join(split, "value", "left_semi"), "todo")
+def in_several(todo: DataFrame, comp: DataFrame, total: int) -> DataFrame:
+    """The lists (a written table of so many rows) whose classes lie in several components, with column comp."""
+    named = todo.drop("comp").join(comp.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = named.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    split = saved(split.select("value", "n"), "split")
+    out = saved(join_unique(named, split, "value", "n", total, "id").drop("n"), "todo")
+    discard(split)
+    return out
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: first by the sketches of their union, then by their full sets."""
-    sk = classes.select("id", "sketch", "n_shingles")
-    both = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a")
-    both = both.join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    estimate = F.pandas_udf(_estimate, T.BooleanType())
-    likely = saved(both.filter(estimate("sa", "sb", "na", "nb")).select("a", "b"), "likely")
-    left = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    left = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    """The pairs (a, b; a written table) that are similar enough: first by the sketches of their union, then by their
+    full sets. One class may be in very many pairs: its sketch and text are there for each piece of them."""
+    total = pairs.count()
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("id")) for e in "ab"])).alias("x")).select("x.*")
+    often = saved(ends.groupBy("end", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * PIECES > total), "often")
+
+    def with_end(rows: DataFrame, end: str, to: DataFrame) -> DataFrame:
+        counts = often.filter(F.col("end") == end).select(F.col("id").alias(end), "n")
+        return join_unique(rows, to.withColumnRenamed("id", end), end, "n", total, "b" if end == "a" else "a", counts=counts)
+
+    both = pairs
+    for end in "ab":
+        both = with_end(both, end, classes.select("id", F.col("sketch").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}")))
+    likely = saved(both.filter(estimate(percent)("sa", "sb", "na", "nb")).select("a", "b"), "likely")
+    left = with_end(with_end(likely, "b", texts.withColumnRenamed("text", "tb")), "a", texts.withColumnRenamed("text", "ta"))
 
     def exact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ta, tb in batches:
             out, last, sx = [], None, None
             for x, y in zip(ta, tb, strict=True):
-                if x is not last:
+                if x != last:
                     last, sx = x, shingles(x, width)
                 sy = shingles(y, width)
                 both = len(np.intersect1d(sx, sy, assume_unique=True))
                 out.append(100 * both >= percent * (len(sx) + len(sy) - both))
             yield pd.Series(out, dtype=bool)
 
-    return left.filter(F.pandas_udf(exact, T.BooleanType())("ta", "tb")).select("a", "b")
+    return left.filter(F.pandas_udf(exact, T.BooleanType())("ta", "tb")).select("a", "b").distinct()
 
 
-def _estimate(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+def estimate(percent: int):
     """Could the pair be similar? Of the k smallest values of the union, as many as chance asks for are in both."""
-    out = []
-    for x, y, m, n in zip(sa, sb, na, nb, strict=True):
-        x, y = np.sort(x.view(np.uint64)), np.sort(y.view(np.uint64))
-        union = np.union1d(x, y)
-        whole = m <= K and n <= K
-        union = union if whole else union[:K]
-        common = np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)
-        out.append(4 * len(common) >= 3 * len(union) if whole else len(common) >= min(SHARE, len(union)))
-    return pd.Series(out, dtype=bool)
+    share = share_of(percent)
 
+    def run(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        out = []
+        for x, y, m, n in zip(sa, sb, na, nb, strict=True):
+            x, y = np.sort(x.view(np.uint64)), np.sort(y.view(np.uint64))
+            union = np.union1d(x, y)
+            whole = m <= K and n <= K
+            union = union if whole else union[:K]
+            common = np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)
+            out.append(100 * len(common) >= percent * len(union) if whole else len(common) >= min(share, len(union)))
+        return pd.Series(out, dtype=bool)
 
-_estimate.__annotations__ = {k: pd.Series for k in ("sa", "sb", "na", "nb", "return")}
+    run.__annotations__ = {k: pd.Series for k in ("sa", "sb", "na", "nb", "return")}
+    return F.pandas_udf(run, T.BooleanType())
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """id, comp: the smallest id that is reachable over links (a, b), by smallest neighbours and pointer jumping.
+    """id, comp, degree: the smallest id that is reachable over links (a, b), by smallest neighbours and pointer jumping.
 
-    known: components found before; links then join these."""
+    known: components found before; links then join these. An id may have very many links, and a component very many
+    ids: both are dealt out."""
     if known is not None:
         k = known.select(F.col("id").alias("x"), F.col("comp").alias("y"))
         links = links.select("a", "b").unionByName(k.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
     edges = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    comp = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "comp")
+    total = edges.count()
+    comp = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("comp"), F.count(F.lit(1)).alias("degree")), "comp")
+    last = comp
     while True:
-        near = edges.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        step = comp.join(near, "id").select("id", "comp", F.least("comp", "c").alias("new"))
-        jump = comp.select(F.col("id").alias("new"), F.col("comp").alias("far"))
-        step = saved(step.join(jump, "new").select("id", "comp", F.least("new", "far").alias("new")), "step")
-        if step.filter("new <> comp").isEmpty():
+        near = join_unique(edges, comp.select(F.col("id").alias("b"), F.col("comp").alias("c"), "degree"), "b", "degree", total, "a").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        step = saved(comp.join(near, "id").select("id", "comp", "degree", F.least("comp", "c").alias("new")), "near")
+        goals = step.groupBy("new").agg(F.count(F.lit(1)).alias("n"))
+        goals = saved(goals.join(comp.select(F.col("id").alias("new"), F.col("comp").alias("far")), "new"), "goals")
+        jump = saved(join_unique(step, goals, "new", "n", total, "id").select("id", "comp", "degree", F.least("new", "far").alias("new")), "step")
+        discard(step, goals)
+        if jump.filter("new <> comp").isEmpty():
+            discard(jump, edges)
             return comp
-        comp = step.select("id", F.col("new").alias("comp"))
+        discard(last)
+        comp, last = jump.select("id", F.col("new").alias("comp"), "degree"), jump
 
 
 def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -191,7 +225,7 @@ def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     and from there on there must be room for all that they need in common. A class whose rare shingles are its own has
     no candidates, whatever it shares with a large group."""
     members = saved(todo.select("id", "comp").distinct(), "members")
-    body = texts.join(members.select(F.col("id").alias("doc_id"), "comp"), "doc_id").select(F.col("doc_id").alias("id"), "comp", "text")
+    body = texts.join(members, "id").select("id", "comp", "text")
 
     def whole(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t, width).view(np.int64))
@@ -199,17 +233,27 @@ def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     each = F.pandas_udf(whole, T.ArrayType(T.LongType()))
     sets = body.select("id", "comp", each("text").alias("s")).select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("token"))
     often = saved(sets.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
-    total = members.count()
-    seen = join_unique(sets, often, "token", "often", total)
+    total = often.agg(F.coalesce(F.sum("often"), F.lit(0)).alias("n")).first()["n"]
+    seen = join_unique(sets, often, "token", "often", total, "id")
     # a set is bounded by its document; shingles that no other member has come before those collected here
     own = seen.groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("v"))
     own = own.select("id", "comp", "n", F.size("v").alias("m"), F.posexplode("v").alias("at", "x")).select("id", "comp", "n", (F.col("n") - F.col("m") + F.col("at") + 1).alias("place"), "x.token")
     own = saved(own.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
-    y = own.select(F.col("token").alias("token2"), F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    # sizes of similar sets are in the same band or in neighbouring ones; what many classes have in their prefixes is
+    # dealt out in rows of at most DEALT classes
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n")
+    own = own.withColumn("band", band)
+    crowds = own.groupBy("token", "band").agg(F.count(F.lit(1)).alias("crowd"))
+    crowds = saved(crowds.filter(F.col("crowd") > DEALT).select("token", "band", F.ceil(F.col("crowd") / DEALT).cast("int").alias("slots")), "crowds")
+    slot = F.when(F.col("slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("slots"))).cast("int")
+    x = own.join(crowds, ["token", "band"], "left").withColumn("slot", slot).drop("slots")
+    y = own.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))).join(crowds, ["token", "band"], "left")
+    y = y.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)))
+    y = y.select("token", "band", "slot", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     common = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
     room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    on = (F.col("token") == F.col("token2")) & (F.col("comp") < F.col("comp2")) & (room >= common) & (F.col("n") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n"))
-    return own.join(y, on).select("id", "id2")
+    on = (F.col("comp") < F.col("comp2")) & (room >= common) & (F.col("n") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n"))
+    return x.join(y, ["token", "band", "slot"]).filter(on).select("id", "id2")
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -220,19 +264,25 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
     """id, comp for the classes that have a link."""
     spark = docs.sparkSession
     comp = empty(spark, "id long, comp long")
-    todo = in_several(lists(classes, SHARE), comp).withColumn("led", F.lit(False))
+    first = lists(classes, percent)
+    todo = in_several(first, comp, first.count()).withColumn("led", F.lit(False))
+    discard(first)
+    total = todo.count()
     # the texts that a candidate can have, written once
     ids = classes.select("set_id", "id").join(todo.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"))
-    texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    several = docs.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])  # an id may repeat, with other texts
+    texts = saved(several.select(F.col("doc_id").alias("id"), "text"), "texts")
     tried = empty(spark, "a long, b long")
     fits = (F.col("n_shingles") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n_shingles"))
     for r in range(rounds + 1):
-        if todo.isEmpty():
+        if not total:
             break
         if r < rounds:
             best = F.max(F.when(~F.col("led"), F.struct("weight", (-F.col("id")).alias("id"), "n_shingles"))).alias("x")
-            lead = todo.groupBy("value").agg(best).filter("x is not null").select("value", (-F.col("x.id")).alias("leader"), F.col("x.n_shingles").alias("n2"))
-            led = saved(todo.join(lead, "value", "left").withColumn("led", F.col("led") | F.coalesce(F.col("id") == F.col("leader"), F.lit(False))), "led")
+            lead = todo.groupBy("value").agg(best, F.count(F.lit(1)).alias("n"))
+            lead = saved(lead.filter("x is not null").select("value", (-F.col("x.id")).alias("leader"), F.col("x.n_shingles").alias("n2"), "n"), "lead")
+            led = join_unique(todo, lead, "value", "n", total, "id", "left").drop("n")
+            led = saved(led.withColumn("led", F.col("led") | F.coalesce(F.col("id") == F.col("leader"), F.lit(False))), "led")
             pairs = led.filter((F.col("id") != F.col("leader")) & fits)
             other, todo = F.col("leader"), led.drop("leader", "n2")
         else:
@@ -241,11 +291,13 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
         pairs = saved(pairs, "pairs")
         links = saved(confirm(pairs, classes, texts, width, percent), "links")
         tried = tried.unionByName(pairs)
-        if not links.isEmpty():
-            comp = components(links, comp)
-        if r == rounds:
-            break
-        todo = in_several(todo, comp)
+        if links.isEmpty():
+            continue
+        comp = components(links, comp)
+        if r < rounds:
+            todo = in_several(todo, comp, total)
+            total = todo.count()
+            discard(led)
     return comp
 
 
@@ -268,14 +320,14 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds:
     slim = rows.select("doc_id", "n_shingles", "set_id")
     alone = slim.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     known = slim.filter("n_shingles > 0 and doc_id is not null")
-    out = join_unique(known, saved(named, "named"), "set_id", "copies", rows.count()).select("doc_id", "n_shingles", "component_id")
+    out = join_unique(known, saved(named, "named"), "set_id", "copies", rows.count(), "doc_id").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(alone).select("*", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest id; one row of each id stays."""
     kept = deduplicate(docs, **how).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    packed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), whole_row(docs))
     named = packed.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select("row.*")
     return named.unionByName(packed.filter("__id is null").select("row.*"))
 

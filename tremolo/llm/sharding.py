@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import hash60, running_totals, saved, width
+from tremolo.llm.common import hash60, running_totals, saved, whole_row, width
 
 BITS = 60
 #: Bits of the hash over which prefixes are summed at once.
@@ -134,7 +134,7 @@ def shard_documents(docs: DataFrame, limit: int) -> DataFrame:
         return rows.withColumn("shard_id", F.lit("s"))
     found = saved(directory(base.select("h", "n_bytes"), limit), "directory")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    packed = rows.select("doc_id", hash60(F.col("doc_id")).alias("h"), size.alias("n_bytes"), F.struct(*[rows[c] for c in rows.columns]).alias("row"))
+    packed = rows.select("doc_id", hash60(F.col("doc_id")).alias("h"), size.alias("n_bytes"), whole_row(rows))
     out = assign(packed, found)
     plain = out.filter("not more").select("row.*", "shard_id")
     if found.filter("more").isEmpty():

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import held_out
+from tremolo.llm.common import held_out, whole_row
 
 #: A-Z become small; ASCII that is neither letter nor digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -348,7 +348,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for texts in batches:
             yield pd.Series(scorer.scores(texts.tolist()))
 
-    packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = docs.select("text", whole_row(docs))
     return packed.select("row", F.pandas_udf(run, "double")("text").alias("toxicity"))
 
 
