@@ -3,24 +3,29 @@
 Every row has an entry (hash, id) in the index. The directory over the entries doubles where a bucket is overfull
 (sharding.directory). Each bucket, a range of hashes, belongs to one owner task: it gets the bucket's texts sorted by
 hash, chains those whose hashes collide, and compares their bytes. Texts that a task has several times leave it once,
-with the smallest id and their number, so that a large group of copies is never together.
+with the smallest id and their number, so that a large group of copies is never together. A row finds its group by the
+SHA-256 of its text; an owner that meets two texts with one SHA-256 raises an error, so that what comes out rests on
+the comparison of bytes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import SPACE, join_unique, saved
+from tremolo.llm.common import SPACE, join_unique, saved, width
 from tremolo.llm.sharding import BITS, directory
 
 #: Bytes of text that an owner's bucket holds at most (a single larger text apart), and that a task holds before it
 #: hands on what it has combined.
 BUCKET_BYTES = 8 << 20
 HELD_BYTES = 8 << 20
+#: Buckets that an owner task gets, more or less.
+BUCKETS = 6
 #: Rows of a batch that become Python objects at once.
 ROWS = 256
 
@@ -40,6 +45,18 @@ def _smaller(a, b):
     return b if a is None else a if b is None else min(a, b)
 
 
+def _chained(chain: list[list], sha: str, body: str, doc, n: int) -> bool:
+    """Count a text in the chain of its hash; True if it is a new one there."""
+    for entry in chain:
+        if entry[1] == body:
+            entry[2], entry[3] = _smaller(entry[2], doc), entry[3] + n
+            return False
+        if entry[0] == sha:
+            raise ValueError(f"two texts have the SHA-256 {sha}")
+    chain.append([sha, body, doc, n])
+    return True
+
+
 def sliced(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
@@ -62,12 +79,7 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in sliced(batches, "h", "sha", "body", "doc_id", "n"):
         for h, sha, body, doc, n in rows:
             chain = held.setdefault(h, [])
-            for entry in chain:
-                if entry[1] == body:
-                    entry[2], entry[3] = _smaller(entry[2], doc), entry[3] + n
-                    break
-            else:
-                chain.append([sha, body, doc, n])
+            if _chained(chain, sha, body, doc, n):
                 size += len(body)
         if size > HELD_BYTES:
             gone, stay, size = [], {}, 0
@@ -102,12 +114,7 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h != at:
                 close()
                 at, chain = h, []
-            for entry in chain:
-                if entry[1] == body:
-                    entry[2], entry[3] = _smaller(entry[2], doc), entry[3] + n
-                    break
-            else:
-                chain.append([sha, body, doc, n])
+            _chained(chain, sha, body, doc, n)
         if len(done) > 10_000:
             yield out()
             done.clear()
@@ -118,8 +125,9 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame, entries: DataFrame, bucket_bytes: int) -> DataFrame:
     """One row for each different text: h, link (its place in the hash's chain), sha, keep_id, group_size."""
     # a hash counts once in the directory: an owner gets its text at most once from each task
-    sizes = entries.groupBy("h").agg(F.max("n_bytes").alias("n_bytes"))
-    index = saved(directory(saved(sizes, "keys"), bucket_bytes).select("leaf_bits", "leaf", "shard_id"), "directory")
+    sizes = saved(entries.groupBy("h").agg(F.max("n_bytes").alias("n_bytes")), "keys")
+    index = saved(directory(sizes, bucket_bytes).select("leaf_bits", "leaf", "shard_id"), "directory")
+    owners = max(width(docs.sparkSession), math.ceil(index.select("shard_id").distinct().count() / BUCKETS))
     rows = keyed(docs).select("h", "sha", "body", F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("n"))
     packed = rows.mapInArrow(combine, rows.schema)
     bits = [r["leaf_bits"] for r in index.select("leaf_bits").distinct().orderBy("leaf_bits").collect()]  # one for each round of doubling
@@ -134,7 +142,7 @@ def groups(docs: DataFrame, entries: DataFrame, bucket_bytes: int) -> DataFrame:
             part = index.filter(F.col("leaf_bits") == b).select(F.col("leaf").alias(f"leaf{b}"), F.col("shard_id").alias(f"s{b}"))
             owned = owned.withColumn(f"leaf{b}", F.shiftright("h", BITS - b)).join(part, f"leaf{b}", "left")
         owned = owned.withColumn("shard_id", F.coalesce(*[F.col(f"s{b}") for b in bits]))
-    owned = owned.select("shard_id", "h", "sha", "body", "doc_id", "n").repartition("shard_id").sortWithinPartitions("shard_id", "h")
+    owned = owned.select("shard_id", "h", "sha", "body", "doc_id", "n").repartition(owners, "shard_id").sortWithinPartitions("shard_id", "h")
     return owned.mapInArrow(own, "h long, link int, sha string, keep_id long, group_size long")
 
 
@@ -146,7 +154,7 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     (kept is true for all of them). An empty table gives an empty table."""
     entries = saved(keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "sha", "h", F.octet_length("body").cast("bigint").alias("n_bytes")), "entries")
     found = saved(groups(docs, entries, bucket_bytes).select("sha", "keep_id", "group_size"), "groups")
-    out = join_unique(entries, found, "sha", "group_size", entries.count())
+    out = join_unique(entries, found, "sha", "group_size", entries.count(), "doc_id")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
