@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tremolo.llm import decontaminate, language, mixing, near, sharding
-from tremolo.llm.common import saved, table
+from tremolo.llm.common import discard, settled, table
 from tremolo.llm.queries import SHARD_BYTES
 
 
@@ -53,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
