@@ -79,6 +79,15 @@ def sliced_arrow(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator
             yield batch.slice(a, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows go to a Python worker at once, for what the session runs from here on; a smaller setting of
+    its own stands. Texts can be long, results are lazy, and Spark has no setting for a single query: with its 10,000
+    rows, executors that ran several operators after each other came to exceed their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import saved, whole_row
+from tremolo.llm.common import saved, small_batches, whole_row
 
 #: Letters A-Z become small; ASCII that is neither letter nor digit becomes a space; all bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -244,6 +244,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     One block of items is broadcast at a time. If there are several, rows are numbered and written, each block's hits are
     written before the next block comes, and are put together by row."""
     spark = docs.sparkSession
+    small_batches(spark)
     packed = docs.select("text", whole_row(docs))
     blocks = blocks_of(benchmark, block_bytes)
     block, after = next(blocks), next(blocks, None)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import SPACE, join_unique, saved, width
+from tremolo.llm.common import SPACE, join_unique, saved, small_batches, width
 from tremolo.llm.sharding import BITS, directory
 
 #: Bytes of text that an owner's bucket holds at most (a single larger text apart), and that a task holds before it
@@ -152,6 +152,7 @@ def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     Texts are equal if identical after each run of white space became one space; a null text counts as empty. The
     row with the smallest id stays; a null id counts as larger than any, and rows that repeat an id stay together
     (kept is true for all of them). An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     entries = saved(keyed(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "sha", "h", F.octet_length("body").cast("bigint").alias("n_bytes")), "entries")
     found = saved(groups(docs, entries, bucket_bytes).select("sha", "keep_id", "group_size"), "groups")
     out = join_unique(entries, found, "sha", "group_size", entries.count(), "doc_id")

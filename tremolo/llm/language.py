@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import held_out, whole_row
+from tremolo.llm.common import held_out, small_batches, whole_row
 
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -297,6 +297,7 @@ def predictor(docs: DataFrame, train: DataFrame, rows: int, passages: int):
     learnt: dict[str, list[str]] = {}
     for lang, _, _, _, text in sample(train, rows, passages).orderBy("lang", "__h", "doc_id", "at", "text").toLocalIterator():
         learnt.setdefault(lang, []).append(text)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learnt)
     name = hashlib.sha256(repr(sorted(learnt.items())).encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -308,7 +309,7 @@ def predictor(docs: DataFrame, train: DataFrame, rows: int, passages: int):
             waiting.append(texts.tolist())
             size += sum(len(t or "") + 64 for t in waiting[-1])
             if model.kept is not None or size >= TOGETHER:
-                yield from predicted(model, waiting, LANES if model.kept is not None else 1 << 20)
+                yield from predicted(model, waiting, 1000 if model.kept is not None else 1 << 20)
                 waiting, size = [], 0
         yield from predicted(model, waiting, 1 << 20)
 

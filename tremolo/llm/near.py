@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import PIECES, discard, join_unique, saved, whole_row
+from tremolo.llm.common import PIECES, discard, join_unique, saved, small_batches, whole_row
 
 K = 64
 #: The chance that two classes at the threshold share fewer sketch values than is asked for.
@@ -308,6 +308,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds:
     with nothing; so does a row without an id, which is kept. Rows that repeat an id with one text are alike; if their
     texts differ, the id links what any of them links. Equality at the threshold links (in whole numbers). An empty
     table gives an empty table."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     udf = sketches(width, K)
     rows = saved(docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*"), "sketches")

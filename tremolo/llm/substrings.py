@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import saved, sliced_arrow, width
+from tremolo.llm.common import saved, sliced_arrow, small_batches, width
 from tremolo.llm.near import POWERS, mix64
 
 LENGTH = 50
@@ -514,6 +514,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False)
     repeat an id do not remove each other's strings. An empty table gives an empty table."""
     if length <= GRAM:
         raise ValueError(f"strings of more than {GRAM} bytes are needed")
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), text.alias("data"))
     blocks = saved(rows.mapInArrow(lambda b: pack_blocks(b, TEXT_BYTES), BLOCK), "blocks", compression="uncompressed")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import held_out, whole_row
+from tremolo.llm.common import held_out, small_batches, whole_row
 
 #: A-Z become small; ASCII that is neither letter nor digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -341,6 +341,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     documents or less; whole texts are scored."""
     import uuid
 
+    small_batches(docs.sparkSession)
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
