@@ -88,6 +88,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What a worker process keeps from task to task (models, counters), for one operator at a time.
+BUILT: dict = {}
+
+
+def release() -> None:
+    """Free what this worker keeps for an earlier operator. (As a function of the module, it is the worker's own.)"""
+    BUILT.clear()
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import saved, small_batches, whole_row
+from tremolo.llm.common import BUILT, saved, small_batches, whole_row
 
 #: Letters A-Z become small; ASCII that is neither letter nor digit becomes a space; all bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -169,10 +169,6 @@ def clean(text: str, hit: np.ndarray) -> str:
     return b" ".join(x.strip() for x in keep if x.strip()).decode("utf-8", "surrogatepass")
 
 
-#: The automaton of this worker, by its block's content.
-BUILT: dict[tuple, Automaton] = {}
-
-
 def automaton_of(block, window: int) -> Automaton:
     """The worker's automaton, built when it is first asked for. (As a function of the module, it is the worker's own.)"""
     name, items = block.value

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import held_out, small_batches, whole_row
+from tremolo.llm.common import BUILT, held_out, small_batches, whole_row
 
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -267,10 +267,6 @@ class Model:
         return out
 
 
-#: Models of this worker, by what they learnt.
-BUILT: dict[str, Model] = {}
-
-
 def model_of(name: str, passages) -> Model:
     """The worker's model, built when it is first asked for. (As a function of the module, it is the worker's own.)"""
     if name not in BUILT:

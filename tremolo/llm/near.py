@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import PIECES, discard, join_unique, saved, small_batches, whole_row
+from tremolo.llm.common import PIECES, discard, join_unique, release, saved, small_batches, whole_row
 
 K = 64
 #: The chance that two classes at the threshold share fewer sketch values than is asked for.
@@ -104,6 +104,7 @@ def sketches(width: int, k: int):
     import hashlib
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         for texts in batches:
             rows = []
             for text in texts:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import small_batches
+from tremolo.llm.common import BUILT, small_batches
 
 BLANK = "▁"
 
@@ -187,10 +187,6 @@ class PrefixCounter:
         return max((i for i, c in enumerate(counts, 1) if c <= budget), default=0)
 
 
-#: Counters of this worker, by the model's content.
-BUILT: dict[bytes, PrefixCounter] = {}
-
-
 def _counter(model) -> PrefixCounter:
     data = model.value
     if data not in BUILT:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import held_out, small_batches, whole_row
+from tremolo.llm.common import BUILT, held_out, small_batches, whole_row
 
 #: A-Z become small; ASCII that is neither letter nor digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -324,10 +324,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 800, largest: int = 256
     return train(texts(), marks)
 
 
-#: The scorer of this worker, by its network's name.
-BUILT: dict[str, Scorer] = {}
-
-
 def scorer_of(name: str, shared) -> Scorer:
     """The worker's scorer, made when it is first asked for. (As a function of the module, it is the worker's own.)"""
     if name not in BUILT:
