@@ -26,15 +26,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCOPES: list[list[str]] = []
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor then costs only reading again. The write's own
-    shuffle files go when it is done; the session's setting for that is as before then."""
+    shuffle files go when it is done; the session's setting for that is as before then.
+    by: a column whose values are folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremolo-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

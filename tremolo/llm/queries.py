@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tremolo.llm import decontaminate, exact, language, licenses, mixing, near, sharding, substrings, tokens, toxicity
+from tremolo.llm import decontaminate, exact, language, licenses, lines, mixing, near, ranked, sharding, substrings, tokens, toxicity, trie
 from tremolo.llm.common import table
 
 #: Bytes of text that a shard holds at most.
@@ -56,6 +56,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"), least=10, min_chars=1)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -69,4 +81,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": exact.deduplicate_sql(),
         "op9_decontamination": decontaminate.report_sql(),
         "op10_license_scan": licenses.scan_sql(),
+        "op11_prefix_trie": trie.prefix_trie_sql(),
+        "op12_line_dedup": lines.report_sql(10, 1),
+        "op13_ranked_search": ranked.search_sql(10),
     }
