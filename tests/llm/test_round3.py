@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tremolo.llm import lines, ranked, trie
+from tremolo.llm import licenses, lines, ranked, toxicity, trie
 
 # ---- the prefix trie
 
@@ -254,3 +254,63 @@ def test_terms_are_found_between_separators():
     assert ranked.frequencies(b"b b b", built) == (3, {1: 3})
     assert ranked.frequencies(None, built) == (0, {}) and ranked.frequencies(b" . ", built) == (0, {})
     assert ranked.frequencies(b"a b", ranked.automaton([])) == (2, {})
+
+
+# ---- licences in long texts
+
+
+def known_by_search(text, sentences):
+    """Every way to cut a line's rest into known sentences, by recursion over words; the longest first."""
+    lines_ = text.split("\n")
+    words = [w for line in lines_ for w in line.split(" ")]
+    first = {sum(len(x.split(" ")) for x in lines_[:k]) for k in range(len(lines_))} | {len(words)}
+
+    def ways(i):
+        for k, v in sorted(sentences.items(), key=lambda kv: -len(kv[1].split(" "))):
+            j = i + len(v.split(" "))
+            if words[i:j] == v.split(" ") and (j in first or ways(j)):
+                return j, k
+        return None
+
+    out, i = [], 0
+    while i < len(words):
+        got = ways(i) if i in first else None
+        while got:
+            i = got[0]
+            out.append(got[1])
+            got = ways(i) if i not in first else None
+            if not got:
+                break
+        else:
+            i += 1
+    return out
+
+
+def test_known_sentences_by_search():
+    r = random.Random(12)
+    sentences = {"A": "x y", "B": "x", "C": "y z", "D": "x y z x", "E": "z z"}
+    tree = licenses.known_tree(sentences)
+    for _ in range(3000):
+        text = "\n".join(" ".join(r.choice("xyzw") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 4)))
+        assert licenses.known_in(text, tree) == known_by_search(text, sentences), text
+    assert licenses.known_in("", tree) == []
+
+
+def test_licenses_in_long_texts(spark):
+    """A megabyte without a mark, of one known sentence or of many: no recursion, and time in proportion."""
+    one, half = "licensed under the mit license ", " ".join(list(licenses.SENTENCES.values())[:40]) + " "
+    rows = [(1, one * 35_000), (2, half * 150), (3, "licensed under the mit " * 45_000), (4, (one * 20 + "agreement\n") * 1500), (5, one * 20_000 + "agreement"), (6, one[:-1] + ".")]
+    got = {r.doc_id: (r.licenses, r.n_sentences, r.n_matches + r.n_unmatched) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("MIT", 1, 35_000) and got[3] == ("", 1, 0) and got[4] == ("", 1500, 0) and got[5] == ("", 1, 0) and got[6] == ("MIT", 1, 1)
+    assert got[2][1] == 1 and got[2][2] > 0
+
+
+# ---- toxicity without labels
+
+
+def test_toxicity_needs_both_labels(spark):
+    d = spark.createDataFrame([(i, f"some words {i}") for i in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    for rows, share in (([], 0.5), ([(i, 0) for i in range(40)], None), ([(i, None) for i in range(40)], 0.5)):
+        got = toxicity.report(d, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()
+        assert len(got) == 42 and len({x.score for x in got}) == 1
+        assert got[0].score == share if share else got[0].score < 0.05 and not any(x.predicted for x in got)
