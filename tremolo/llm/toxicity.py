@@ -68,7 +68,7 @@ class Network:
         self.p["word"][0] = 0
         for d in "fb":
             self.p |= {f"x{d}": w(EMBED, 3 * HIDDEN), f"xb{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": w(HIDDEN, 3 * HIDDEN)}
-        self.prior = 0.5
+        self.prior, self.trained = 0.5, True
 
     # -- forward over projected inputs: xs (direction) -> (step, lane, 3H), mask (step, lane)
 
@@ -166,7 +166,7 @@ def coded(texts: Iterable[str | None]) -> tuple[dict[bytes, int], list[np.ndarra
 
 def train(texts: Iterable[str | None], labels: list[int], epochs: int = 4, seed: int = 7) -> Network:
     """Adam on the binary cross-entropy of documents, over all windows of each of them. Words of three documents or more
-    have embeddings of their own."""
+    have embeddings of their own. Without texts of both labels nothing is learnt: every text scores as their share."""
     rng = np.random.default_rng(seed)
     number, docs = coded(texts)
     names = list(number)
@@ -180,7 +180,8 @@ def train(texts: Iterable[str | None], labels: list[int], epochs: int = 4, seed:
     word_id[kept] = np.arange(1, len(kept) + 1)
     net.prior = float((y.sum() + 1) / (len(y) + 2))
     use = np.array([i for i, ws in enumerate(docs) if len(ws)], np.int64)
-    if not len(use):
+    net.trained = len(set(y[use].tolist())) == 2
+    if not net.trained:
         return net
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, half = 0, max(1, min(16, len(use) // 4))
@@ -258,6 +259,8 @@ class Scorer:
         return np.array(got, np.int32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        if not self.net.trained:
+            return np.full(len(texts), self.net.prior)
         best = np.full(len(texts), -np.inf, np.float32)
         queue: list[tuple[int, np.ndarray]] = []
         held = 0
@@ -334,7 +337,8 @@ def scorer_of(name: str, shared) -> Scorer:
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs with a column toxicity (0 to 1), row by row. A text without words scores as the sample's share of toxic
-    documents or less; whole texts are scored."""
+    documents or less; whole texts are scored. If the sample lacks one of the labels, or both, all score as its share of
+    toxic documents, (toxic + 1) / (all + 2)."""
     import uuid
 
     small_batches(docs.sparkSession)
@@ -345,8 +349,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for texts in batches:
             yield pd.Series(scorer.scores(texts.tolist()))
 
-    packed = docs.select("text", whole_row(docs))
-    return packed.select("row", F.pandas_udf(run, "double")("text").alias("toxicity"))
+    packed = docs.select(whole_row(docs))
+    return packed.select("row", F.pandas_udf(run, "double")("row.text").alias("toxicity"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
