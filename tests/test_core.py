@@ -12,7 +12,7 @@ from tremolo.functions import textnoise as N
 from tremolo.functions.catalog import corruption_catalog
 from tremolo.operators import evaluate, merge, metadata, predict, quality, reconcile, timeseries
 from tremolo.plans import corruption as plans
-from tremolo.sources import readers, writers
+from tremolo.sources import readers, records, shared, writers
 from tremolo.streaming.confusion import stream_confusion
 
 
@@ -192,7 +192,7 @@ def test_runs_and_coverage(spark):
     assert blur["a", 10] == pytest.approx((0 + 0.7) / 1.7) and blur["d", 0] is None and blur["d", 9] == 0.0
 
 
-def test_one_hot_series_over_many_slices(spark):
+def test_one_hot_series_over_many_ranges(spark):
     """Slices and blocks that are far shorter than the series, with gaps, equal times and nulls, against plain loops."""
     import random
 
@@ -221,15 +221,36 @@ def test_one_hot_series_over_many_slices(spark):
         for i, (s, _, _) in enumerate(own):
             pairs = [(own[i - b][2], w) for b, w in enumerate(timeseries.BLUR[1]) if b <= i and own[i - b][1]]
             blur.append((k or "", s, sum(v * w for v, w in pairs) / sum(w for _, w in pairs) if pairs else -1.0))
-    for slice_us in (7_000_000, 50_000_000, timeseries.SLICE_US):
-        got = [(x.k, x.start_us // 10**6, x.end_us // 10**6) for x in timeseries.silence_runs(df, "k", 5.0, 2_000_000, slice_us).collect()]
+    for readings in (10, 100, timeseries.READINGS):
+        got = [(x.k, x.start_us // 10**6, x.end_us // 10**6) for x in timeseries.silence_runs(df, "k", 5.0, 2_000_000, readings).collect()]
         assert len(got) == len(set(got)) and set(got) == runs
         for block in (16, 100):
-            out = [(x.k or "", x.us // 10**6, -1.0 if x.blurred is None else x.blurred) for x in timeseries.motion_blur(df, "k", 2, slice_us, block).collect()]
+            out = [(x.k or "", x.us // 10**6, -1.0 if x.blurred is None else x.blurred) for x in timeseries.motion_blur(df, "k", 2, readings, block).collect()]
             for a, b in zip(sorted(out), sorted(blur), strict=True):
                 assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
 
 
+def test_a_dense_series_is_cut_by_readings(spark):
+    """A million readings of one series within a quarter of an hour, between two others: no range has over the stated number."""
+    hot = spark.range(1_000_000).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 900).alias("ts"), (F.col("id") % 1000 * 1.0).alias("value"))
+    few = spark.range(100).select(F.when(F.col("id") % 2 == 0, "a").alias("k"), F.timestamp_micros(F.col("id")).alias("ts"), F.lit(1.0).alias("value"))
+    ranges = timeseries.in_ranges(hot.unionByName(few), "k", 50_000)
+    sizes = ranges.groupBy("slice").agg(F.count("*").alias("n"), F.min(F.struct("k", "us")).alias("lo"), F.max(F.struct("k", "us")).alias("hi")).orderBy("slice").collect()
+    assert len(sizes) > 20 and max(x.n for x in sizes) <= 50_000 and sum(x.n for x in sizes) == 1_000_100
+    order = lambda x: (x.k is not None, x.k or "", x.us)
+    assert all(order(a.hi) < order(b.lo) for a, b in zip(sizes, sizes[1:], strict=False))
+    runs = timeseries.silence_runs(hot, "k", 500.0, 0, 50_000).agg(F.count("*"), F.sum("seconds")).first()
+    assert runs[0] == 1000 and runs[1] == pytest.approx((999 * 500 + 500 - 0) * 900 / 1e6, rel=1e-3)
+
+
+def test_what_is_written_is_swept(spark):
+    shared.sweep(spark)
+    df = shared.written(spark.range(5), "five")
+    path = df.inputFiles()[0].rpartition("/")[0]
+    assert df.count() == 5 and shared.sweep(spark) == 1 and shared.sweep(spark) == 0
+    assert not shared.remove(spark, path)
+
+
 def test_a_failing_batch_is_halved(spark):
     calls = []
 
@@ -249,8 +270,6 @@ def test_a_failing_batch_is_halved(spark):
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
-    from tremolo.sources import shared
-
     def session(master, path=None):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: path), sparkContext=SimpleNamespace(master=master, applicationId=master))
 
@@ -315,6 +334,43 @@ def test_csv_sources(spark, tmp_path):
     assert [(r.dialog_id, r.error, r.traceback) for r in got] == [(1, "a\nb", "x\n\ny"), (3, "c", None)]
 
 
+def test_quoted_csv_is_read_by_many_tasks(spark, tmp_path):
+    """Random quoting, stray quotes, both kinds of line ends, empty lines, short records, no last line end: as Spark's own
+    one-task reader has it, with places in order."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    schema = schemas.T.StructType([schemas.T.StructField(c, schemas.T.StringType()) for c in "abc"])
+    try:
+        for k in before:
+            spark.conf.set(k, "400")
+        for seed in range(4):
+            r = random.Random(seed)
+            quoted = lambda r=r: '"' + "".join(r.choice(["x", '""', "\n", ",", "\r\n", " ", "é"]) for _ in range(r.randint(0, 30))) + '"'
+            field = lambda r=r, quoted=quoted: r.choice(["", '""', "plain text", 'st"ray', quoted(), quoted()])
+            end = ["\n", "\r\n"][seed % 2]
+            text = end.join(["a,b,c", *[",".join(field() for _ in range(r.choice([3, 3, 2]))) + r.choice(["", "", end]) for _ in range(120)]]) + ("" if seed < 2 else end)
+            path = tmp_path / f"{seed}.csv"
+            path.write_bytes(text.encode())
+            want = [tuple(x) for x in spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(str(path)).collect()]
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+            got = [tuple(x) for x in records.read_records(spark, str(path), schema).orderBy("pos").collect()]
+            assert got == [(i, *x) for i, x in enumerate(want)]
+        some = records.csv_records(spark, str(tmp_path)).orderBy("pos").collect()
+        assert [x.pos for x in some] == list(range(len(some))) and [x.file[-5:] for x in some] == sorted(x.file[-5:] for x in some)
+        (tmp_path / "none.csv").write_text("a,b,c\n")
+        (tmp_path / "empty.csv").write_text("")
+        assert records.read_records(spark, f"{tmp_path}/none.csv", schema).count() == records.read_records(spark, f"{tmp_path}/empty.csv", schema).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_long_line_of_fields(spark):
+    """A megabyte of fields or of quotes on one line: no recursion."""
+    lines = ["a," * 500_000, '"a""b",' * 150_000, '"' + '""' * 500_000, '"' + "x" * 1_000_000]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r[0] for r in rows.select(F.col("x").rlike(records.OPEN)).collect()] == [False, False, True, True]
+
+
 def test_media_listing(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for n in ("a.mp4", "B.MP4", "c.wav", "sub/d.mkv"):

@@ -1,14 +1,17 @@
 """Silent runs, thinning and trailing blur of time series (key, ts, value).
 
-Runs and blur need the readings in order. A series is cut into slices of time, each a task's work, and what goes over an
-edge is put together from the slices' ends; only one or two rows of a slice meet in the order of the whole series. Of
-readings at one time, the smaller value comes first, and null before it."""
+Runs and blur need the readings in order. All series are cut into ranges of (key, time, value) of a bounded number of
+readings, however dense or long a series is: a range is a task's work. What goes over an edge is put together from the
+ranges' ends; only one or two rows of a range meet in the order of the whole series. Of readings at one time, the smaller
+value comes first, and null before it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolo.sources.shared import written
+
 # Fixed values by severity.
 FPS = [24, 15, 8, 4, 2]
 BLUR = [
@@ -20,8 +23,8 @@ BLUR = [
 ]
 
 
-#: Microseconds of a slice, and readings of a block.
-SLICE_US, BLOCK = 7 * 86_400_000_000, 4096
+#: Readings of a range, and of a block.
+READINGS, BLOCK = 1_000_000, 4096
 
 
 def micros(ts: str = "ts") -> Column:
@@ -29,19 +32,25 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _sliced(df: DataFrame, key: str, slice_us: int) -> DataFrame:
-    return df.select(key, micros().alias("us"), "value").withColumn("slice", F.floor(F.col("us") / slice_us))
+def in_ranges(df: DataFrame, key: str, readings: int = READINGS) -> DataFrame:
+    """key, us, value, slice: the range that a reading is in; ranges follow each other in the order of (key, us, value).
+
+    Ranges are cut by Spark's sample of the rows, for half the stated number on average, and written, which fixes them.
+    Only readings that are equal in all three can make a range larger. The table stays until shared.sweep()."""
+    rows = df.select(key, micros().alias("us"), "value")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * rows.count() // readings))
+    return written(rows.repartitionByRange(parts, key, "us", "value").withColumn("slice", F.spark_partition_id()), "series")
 
 
-def silence_runs(df: DataFrame, key: str, below: float, least_us: int, slice_us: int = SLICE_US) -> DataFrame:
+def silence_runs(df: DataFrame, key: str, below: float, least_us: int, readings: int = READINGS) -> DataFrame:
     """key, start_us, end_us, seconds of maximal runs of readings below a value. A run ends at the next loud reading, or
     at the series' last one; runs shorter than least_us are left out."""
     w = Window.partitionBy(key, "slice").orderBy("us", "value")
-    r = _sliced(df, key, slice_us).withColumn("quiet", F.coalesce(F.col("value") < below, F.lit(False)))
+    r = in_ranges(df, key, readings).withColumn("quiet", F.coalesce(F.col("value") < below, F.lit(False)))
     r = r.withColumns({"turn": (F.col("quiet") != F.lag("quiet").over(w)).cast("int"), "until": F.lead("us").over(w)})
     r = r.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(w))
     runs = r.groupBy(key, "slice", "run", "quiet").agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.max("until").alias("until"), F.max(F.col("until").isNull()).alias("at_end"))
-    # one row for each slice tells what goes on before and behind it
+    # one row for each range tells what goes on before and behind it
     slices = runs.groupBy(key, "slice").agg(F.min("start_us").alias("first_us"))
     along = Window.partitionBy(key).orderBy("slice")
     slices = slices.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.lag("slice").over(along).alias("slice_before"), F.lead("first_us").over(along).alias("next_us"))
@@ -76,10 +85,10 @@ def fps_bucket(severity: int) -> int:
     return 1_000_000 // FPS[max(1, min(5, severity)) - 1]
 
 
-def numbered(df: DataFrame, key: str, slice_us: int = SLICE_US) -> DataFrame:
-    """key, us, value, place: each reading's place in its series, from 0 on; slices are numbered on their own, behind the
+def numbered(df: DataFrame, key: str, readings: int = READINGS) -> DataFrame:
+    """key, us, value, place: each reading's place in its series, from 0 on; ranges are numbered on their own, behind the
     number of readings before them."""
-    r = _sliced(df, key, slice_us)
+    r = in_ranges(df, key, readings)
     counts = r.groupBy(F.col(key).alias("_key"), F.col("slice").alias("_slice")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -89,12 +98,12 @@ def numbered(df: DataFrame, key: str, slice_us: int = SLICE_US) -> DataFrame:
     return r.select(key, "us", "value", (F.col("place") + F.col("before")).alias("place"))
 
 
-def motion_blur(df: DataFrame, key: str, severity: int, slice_us: int = SLICE_US, block: int = BLOCK) -> DataFrame:
+def motion_blur(df: DataFrame, key: str, severity: int, readings: int = READINGS, block: int = BLOCK) -> DataFrame:
     """key, us, value, blurred: the weighted mean of the last readings, the newest first in the weights; where there are
     fewer readings, or some are null, the weights of the others make up the whole. Readings go in blocks of a number of
     them, each with the last ones of the block before; one sort serves all lags."""
     weights = BLUR[max(1, min(5, severity)) - 1]
-    r = numbered(df, key, slice_us).withColumn("own", F.floor(F.col("place") / block))
+    r = numbered(df, key, readings).withColumn("own", F.floor(F.col("place") / block))
     tail = F.col("place") % block > block - len(weights)
     r = r.withColumn("block", F.explode(F.when(tail, F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
     w = Window.partitionBy(key, "block").orderBy("place").rowsBetween(1 - len(weights), 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tremolo.functions.parsing import basename
 from tremolo.operators.metadata import metadata_from_csv
 from tremolo.schemas import CLEAN, ERRORS, METADATA, OLD_ERRORS, PREDICTIONS
+from tremolo.sources.records import read_records
 
 VIDEO = [".mp4", ".mkv", ".avi", ".mov", ".webm"]
 ROOTS = {"train": "train_splits", "val": "dev_splits_complete", "test": "output_repeated_splits_test"}
@@ -17,25 +18,25 @@ META_CSV = {"train": "train_sent_emo.csv", "val": "dev_sent_emo.csv", "test": "t
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A CSV with a header and quoted, multi-line fields. Such a file is read by one task: convert it to Parquet once."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """A CSV with a header and quoted fields, which may go over lines; a large file is read by many tasks."""
+    return read_records(spark, path, schema).drop("pos")
 
 
 def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, ...] = ("Dialogue_ID", "Utterance_ID", "Utterance", "Sentiment")) -> DataFrame:
     """Metadata of several splits. A file that can't be read warns, and its split has no metadata; a file without a
-    needed column is an error. Columns are found by the header; _pos is the row's place in its file."""
+    needed column is an error. Columns are found by the header; _pos is the row's place in its file (or its files, in the
+    order of their names)."""
     parts = []
     for split, path in paths.items():
         try:
-            raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+            header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path).schema
         except AnalysisException as e:
             warnings.warn(f"no metadata for {split}: {str(e).splitlines()[0]}", stacklevel=2)
             continue
-        missing = [c for c in need if c not in raw.columns]
+        missing = [c for c in need if c not in header.names]
         if missing:
             raise ValueError(f"{path} lacks the columns {missing}")
-        # a multi-line file is one task, so the number follows the file's order
-        rows = raw.select(F.lit(split).alias("split"), *need, F.monotonically_increasing_id().alias("_pos"))
+        rows = read_records(spark, path, header).select(F.lit(split).alias("split"), *need, F.col("pos").alias("_pos"))
         parts.append(metadata_from_csv(rows))
     if not parts:
         return spark.createDataFrame([], METADATA)
