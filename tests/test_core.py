@@ -12,7 +12,7 @@ from tremolo.functions import textnoise as N
 from tremolo.functions.catalog import corruption_catalog
 from tremolo.operators import evaluate, merge, metadata, predict, quality, reconcile, timeseries
 from tremolo.plans import corruption as plans
-from tremolo.sources import readers, records, shared, writers
+from tremolo.sources import media, readers, records, shared, writers
 from tremolo.streaming.confusion import stream_confusion
 
 
@@ -378,6 +378,39 @@ def test_media_listing(spark, tmp_path):
     assert {r.name for r in readers.list_media(spark, str(tmp_path)).collect()} == {"a.mp4", "B.MP4"}
     assert {r.name for r in readers.list_media(spark, str(tmp_path), recursive=True).collect()} == {"a.mp4", "B.MP4", "d.mkv"}
     assert {r.name for r in readers.list_media(spark, f"{tmp_path}/a.mp4").collect()} == {"a.mp4"}
+    with pytest.raises(Exception, match="FileNotFound"):
+        readers.list_media(spark, f"{tmp_path}/none").collect()
+
+
+def test_media_are_listed_by_many_tasks(spark, tmp_path):
+    """As Spark's own listing has it: path, length, time, names that are passed over; each folder once, deep ones too."""
+    for k in range(12):
+        folder = tmp_path / f"a{k % 4}" / f"split=b {k}" / ("_hidden" if k == 5 else "c")
+        folder.mkdir(parents=True)
+        for n in range(k):
+            (folder / f"{n}.mp4").write_bytes(b"x" * (n + 1))
+    (tmp_path / "top.MP4").write_bytes(b"xyz")
+    (tmp_path / ".dot.mp4").write_bytes(b"")
+    whole = lambda df: sorted(map(tuple, df.select("path", "length", "modificationTime").collect()))
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length", F.date_trunc("second", "modificationTime").alias("modificationTime"))
+    second = lambda df: df.withColumn("modificationTime", F.date_trunc("second", "modificationTime"))
+    got = readers.list_media(spark, f"file://{tmp_path}", recursive=True)
+    assert whole(second(got)) == whole(want) and len(whole(want)) == sum(range(12)) - 5 + 1
+    assert got.rdd.getNumPartitions() > 12
+    for folders in (1, 3, 10):
+        reader = media.MediaReader(str(tmp_path), True, [".mp4"], folders)
+        parts = reader.partitions()
+        assert sorted(x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()) == [x[0] for x in whole(want)]
+    assert media.reaches(str(tmp_path)) and not media.reaches("viewfs://store/x")
+
+
+def test_a_large_folder_is_streamed(tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "ROWS", 100)
+    for n in range(1050):
+        (tmp_path / f"{n}.wav").touch()
+    reader = media.MediaReader(str(tmp_path), True, [], 10)
+    (part,) = reader.partitions()
+    assert [b.num_rows for b in reader.read(part)] == [100] * 10 + [50]
 
 
 def test_split_configs(spark):

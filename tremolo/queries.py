@@ -647,14 +647,15 @@ def s1(spark, d):
     return readers.read_metadata(spark, {s: f"{base}/split={s}" for s in ("train", "val", "test")}).drop("_pos")
 
 
-@register("s2_list_media", V.with_views("SELECT split, '.parquet' AS suffix FROM v3_predictions GROUP BY split"))
+@register("s2_list_media", V.with_views("SELECT split, '.txt' AS suffix, true AS named, CAST(sum(strlen(name) + 1) AS BIGINT) AS bytes FROM v2_media GROUP BY split"))
 def s2_list(spark, d):
-    """The predictions' files, listed: one folder for each condition."""
+    """The names of the media, written as text in a folder for each split, whose files are listed."""
     base = _folder(spark, "listed")
-    writers.write_predictions(V.predictions(spark, d), base)
-    files = readers.list_media(spark, base, recursive=True, suffixes=[".parquet"]).filter("length > 0")
-    split = F.expr("url_decode(regexp_extract(path, '/split=([^/]*)/[^/]*$', 1))")
-    return files.select(split.alias("split"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("suffix")).distinct()
+    V.media(spark, d).select("split", "name").write.partitionBy("split").text(base)
+    files = readers.list_media(spark, base, recursive=True, suffixes=[".TXT"])
+    at = F.regexp_extract("path", r"/split=([^/]*)/([^/]*)$", 1), F.regexp_extract("path", r"/split=([^/]*)/([^/]*)$", 2)
+    rows = files.select(at[0].alias("split"), F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("suffix"), (at[1] == F.col("name")).alias("same"), "length")
+    return rows.groupBy("split", "suffix").agg(F.bool_and("same").alias("named"), F.sum("length").alias("bytes"))
 
 
 @register("s4_write_predictions", V.with_views("SELECT dialog_id::BIGINT AS dialog_id, utterance_id::BIGINT AS utterance_id, file, prediction, label, split FROM v3_predictions"))

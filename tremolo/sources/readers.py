@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import warnings
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tremolo.functions.parsing import basename
 from tremolo.operators.metadata import metadata_from_csv
 from tremolo.schemas import CLEAN, ERRORS, METADATA, OLD_ERRORS, PREDICTIONS
+from tremolo.sources.media import MediaSource, reaches
 from tremolo.sources.records import read_records
 
 VIDEO = [".mp4", ".mkv", ".avi", ".mov", ".webm"]
@@ -46,12 +48,20 @@ def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, .
 def with_suffix(files: DataFrame, suffixes: list[str] = VIDEO) -> DataFrame:
     """Files (path) whose suffix, in any case, is allowed, with their name."""
     name = basename(F.col("path"))
-    return files.withColumn("name", name).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+    return files.withColumn("name", name).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*[x.lower() for x in suffixes]))
 
 
 def list_media(spark: SparkSession, folder: str, recursive: bool = False, suffixes: list[str] = VIDEO) -> DataFrame:
-    """name, path, length, modificationTime of a folder's files (or a single file), without reading their content."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    """name, path, length, modificationTime of a folder's files (or a single file), without reading their content.
+
+    Tasks list the folders, so that neither the driver nor a task holds all files; empty ones count. A store that Python
+    can't open is listed by Spark's own reader, whose driver holds them, without empty files. Names that start with "."
+    or "_" are passed over."""
+    if reaches(folder):
+        spark.dataSource.register(MediaSource)
+        listed = spark.read.format("media_files").option("recursive", str(recursive).lower()).option("suffixes", json.dumps(suffixes)).load(folder)
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     return with_suffix(listed.select("path", "length", "modificationTime"), suffixes).select("name", "path", "length", "modificationTime")
 
 
