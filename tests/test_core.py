@@ -13,7 +13,7 @@ from tremolo.functions.catalog import corruption_catalog
 from tremolo.operators import evaluate, merge, metadata, predict, quality, reconcile, timeseries
 from tremolo.plans import corruption as plans
 from tremolo.sources import media, readers, records, shared, writers
-from tremolo.streaming.confusion import stream_confusion
+from tremolo.streaming import confusion
 
 
 def one(spark, values, f, kind="string"):
@@ -267,6 +267,67 @@ def test_a_failing_batch_is_halved(spark):
     assert [(r.x, r.error) for r in out if r.error] == [(37, "37")] and sum(r.transcript == "ok" for r in out) == 63
 
 
+def test_answers_that_do_not_fit_are_errors(spark):
+    """Too few answers, too many, none at all, no list, no text: each row comes out once, as an error where it has no answer."""
+    rows = spark.range(7).coalesce(1).select(F.col("id").alias("x"))
+
+    def run(answer):
+        out = predict.batch_predict(rows, lambda: answer, ["x"], ["x"]).collect()
+        assert sorted(r.x for r in out) == list(range(7)) and all((r.transcript is None) == (r.error is not None) for r in out)
+        return {r.x: r.error or r.transcript for r in out}
+
+    assert run(lambda b: ["a"] * (len(b) - (5 in set(b["x"])))) == {i: "0 answers to 1 rows" if i == 5 else "a" for i in range(7)}
+    assert run(lambda b: ["a"] * (len(b) + (5 in set(b["x"])))) == {i: "2 answers to 1 rows" if i == 5 else "a" for i in range(7)}
+    assert run(lambda b: [None if v == 2 else 3 if v == 4 else "a" for v in b["x"]]) == {i: {2: "no answer", 4: "the answer is no text but int"}.get(i, "a") for i in range(7)}
+    assert set(run(lambda b: None).values()) == {"'NoneType' object is not iterable"}
+    assert run(lambda b: iter(["a"] * len(b))) == dict.fromkeys(range(7), "a")
+
+
+def test_a_worker_loads_its_model_once_and_gets_bounded_batches(spark, tmp_path):
+    def load():
+        import os
+
+        (tmp_path / f"{os.getpid()}-{len(os.listdir(tmp_path))}").touch()
+        return lambda batch: [f"{sum(map(len, batch['t']))} {len(batch)}"] * len(batch)
+
+    texts = spark.range(400).repartition(20).select(F.col("id").alias("x"), F.when(F.col("id") == 7, F.lit("y" * 500)).otherwise("éé").alias("t"))
+    out = predict.batch_predict(texts, load, ["x"], ["t"], batch_bytes=40).collect()
+    loads = [p.name.partition("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) <= 4
+    sizes = {r.x: tuple(map(int, r.transcript.split())) for r in out}
+    assert len(sizes) == 400 and sizes.pop(7) == (500, 1) and all(n <= 10 and 2 * n == size for size, n in sizes.values()) and max(n for _, n in sizes.values()) == 10
+
+
+def test_outcomes_are_written_in_one_pass(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def load():
+        def predictor(batch):
+            if (batch["x"] == 3).any() and len(batch) > 1:
+                raise ValueError("a batch with three")
+            import uuid
+
+            (calls / f"{len(batch)}-{uuid.uuid4().hex}").touch()
+            if (batch["x"] == 3).any():
+                raise ValueError("three")
+            return [f"assistant: {v}" for v in batch["x"]]
+
+        return predictor
+
+    rows = spark.range(40).select(F.col("id").alias("x"), F.lit("f").alias("file"))
+    results = predict.batch_predict(rows, load, ["x", "file"], ["x"])
+    assert writers.write_outcomes(results, f"{tmp_path}/out", "b 1/2") == {"ok": 39, "failed": 1, "total": 40}
+    assert sum(int(p.name.partition("-")[0]) for p in calls.iterdir()) == 40
+    for batch in ("b 1/2", "other"):
+        writers.write_outcomes(results, f"{tmp_path}/out", batch)
+    good, bad = readers.read_outcomes(spark, f"{tmp_path}/out", rows.schema)
+    assert good.columns == ["x", "file", "prediction"] and bad.columns == ["x", "file", "error", "traceback"]
+    assert sorted((r.x, r.prediction) for r in good.collect()) == sorted((i, str(i)) for i in range(40) if i != 3 for _ in range(2))
+    assert [(r.x, r.error, "ValueError" in r.traceback) for r in bad.collect()] == [(3, "three", True)] * 2
+    assert writers.write_outcomes(results.filter("x < 0"), f"{tmp_path}/none", "b") == {"ok": 0, "failed": 0, "total": 0}
+
+
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
 
@@ -423,10 +484,10 @@ def test_split_configs(spark):
 
 def test_sinks(spark, tmp_path):
     p = spark.createDataFrame([(1, 2, "f", "positive", None, "A=mp3_S=5"), (3, 4, "g", None, "neutral", "unmodified")], schemas.PREDICTIONS)
-    for _ in range(2):
-        writers.write_predictions(p, f"{tmp_path}/p")
+    for batch in (None, None, "a/b=1", "a/b=1"):
+        writers.write_predictions(p, f"{tmp_path}/p", batch)
     back = readers.read_predictions(spark, f"{tmp_path}/p")
-    assert sorted(map(str, back.collect())) == sorted(map(str, p.union(p).collect()))
+    assert sorted(map(str, back.collect())) == sorted(map(str, p.union(p).union(p).collect()))
     writers.write_errors(spark.createDataFrame([(1, 2, "f", "e")], schemas.OLD_ERRORS), f"{tmp_path}/e")
     assert [r.traceback for r in spark.read.parquet(f"{tmp_path}/e").collect()] == [None]
     texts = N.corrupt_all(spark.createDataFrame([(1, "hello there")], "k long, t string"), "t", F.col("k"))
@@ -437,10 +498,58 @@ def test_sinks(spark, tmp_path):
     assert readers.read_csv(spark, f"{tmp_path}/m", schemas.METRICS).count() == 6
 
 
+def arriving(spark):
+    return spark.createDataFrame([(i, 0, f"f{i}", ["positive", "negative", None][i % 3], "positive", f"s{i % 2}") for i in range(40)], schemas.PREDICTIONS)
+
+
 def test_stream_equals_batch_after_restarts(spark, tmp_path):
-    p = spark.createDataFrame([(i, 0, f"f{i}", ["positive", "negative", None][i % 3], "positive", f"s{i % 2}") for i in range(40)], schemas.PREDICTIONS)
+    p, provider = arriving(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert confusion.read_running(spark, f"{tmp_path}/out").count() == 0
     for part in (p.filter("dialog_id < 10"), p, p.filter("dialog_id > 30")):
         part.write.mode("append").parquet(f"{tmp_path}/in")
-        stream_confusion(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", files_per_trigger=3)
-    got = spark.read.parquet(f"{tmp_path}/out")
+        confusion.stream_confusion(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", files_per_trigger=3)
+    got = confusion.read_running(spark, f"{tmp_path}/out")
     assert sorted(map(str, got.collect())) == sorted(map(str, evaluate.confusion_metrics(p).collect()))
+    assert len(confusion.batches_in(spark, f"{tmp_path}/out")) == 1 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+
+
+@pytest.mark.parametrize("at", ["before the write", "while it is written", "after the write"])
+def test_a_crash_leaves_metrics(spark, tmp_path, monkeypatch, at):
+    """The second run dies in its first batch: the last metrics are still there, and a third run comes out right."""
+    p = arriving(spark)
+    first, publish = p.filter("dialog_id < 10"), confusion.publish
+    run = lambda: confusion.stream_confusion(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state")
+    running = lambda: sorted(map(str, confusion.read_running(spark, f"{tmp_path}/out").collect()))
+    rows = lambda df: sorted(map(str, evaluate.confusion_metrics(df).collect()))
+    first.write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    p.write.mode("append").parquet(f"{tmp_path}/in")
+
+    def dies(metrics, target, batch):
+        if at == "after the write":
+            publish(metrics, target, batch)
+        elif at == "while it is written":
+            (tmp_path / "out" / f"batch={batch}").mkdir()
+            (tmp_path / "out" / f"batch={batch}" / "part-0.parquet").write_bytes(b"half")
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(confusion, "publish", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert running() == (rows(p) if at == "after the write" else rows(first))
+    monkeypatch.setattr(confusion, "publish", publish)
+    run()
+    assert running() == rows(p)
+
+
+def test_stream_state_is_bounded(spark, tmp_path):
+    """What arrived longer ago than `within` leaves the state, and counts again."""
+    import time
+
+    kept = []
+    for k in range(4):
+        spark.createDataFrame([(i, 0, f"f{k}-{i}", "positive", "positive", "s") for i in range(50)], schemas.PREDICTIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        progress = confusion.stream_confusion(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", within="1 second")
+        kept.append(max(op["numRowsTotal"] for x in progress[-1:] for op in x["stateOperators"]))
+        time.sleep(1.5)
+    assert kept[-1] <= 150 and sum(r.TP for r in confusion.read_running(spark, f"{tmp_path}/out").collect()) == 200

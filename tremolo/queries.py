@@ -19,7 +19,7 @@ from tremolo.plans import corruption as plans
 from tremolo.schemas import CLEAN, ERRORS, METRICS
 from tremolo.sources import readers, writers
 from tremolo.sources.shared import shared_dir
-from tremolo.streaming.confusion import stream_confusion
+from tremolo.streaming.confusion import read_running, stream_confusion
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -446,14 +446,29 @@ def b1(spark, d):
     return _results(spark, d).select("doc_id", "transcript", "error")
 
 
+def _routed(spark, d):
+    """Predictions and errors, written in one pass; a second run of the batch replaces the first."""
+    base, results = _folder(spark, "outcomes"), _results(spark, d)
+    for _ in range(2):
+        writers.write_outcomes(results, base, "first")
+    return readers.read_outcomes(spark, base, results.select("doc_id").schema)
+
+
 @register("b2_route_predictions", f"SELECT doc_id, {TOY.format(t='text')} AS prediction FROM documents WHERE length(text) % 41 <> 0")
 def b2(spark, d):
-    return predict.route_results(_results(spark, d))[0]
+    return _routed(spark, d)[0]
 
 
 @register("b2_route_errors", "SELECT doc_id, 'text length is a multiple of 41' AS error FROM documents WHERE length(text) % 41 = 0")
 def b2_errors(spark, d):
-    return predict.route_results(_results(spark, d))[1].select("doc_id", "error")
+    return _routed(spark, d)[1].select("doc_id", "error")
+
+
+@register("b2_outcome_counts", "SELECT count(*) FILTER (WHERE length(text) % 41 <> 0) AS ok, count(*) FILTER (WHERE length(text) % 41 = 0) AS failed, count(*) AS total FROM documents")
+def b2_counts(spark, d):
+    """What the write itself counts."""
+    n = writers.write_outcomes(_results(spark, d), _folder(spark, "outcomes"), "first")
+    return spark.createDataFrame([(n["ok"], n["failed"], n["total"])], "ok long, failed long, total long")
 
 
 # ---- text noise
@@ -629,7 +644,7 @@ def r1(spark, d):
     stream_confusion(spark, f"{base}/in", f"{base}/out", f"{base}/state")
     p.write.mode("append").parquet(f"{base}/in")
     stream_confusion(spark, f"{base}/in", f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    return read_running(spark, f"{base}/out")
 
 
 # ---- files: each query writes, reads back and returns what it read
@@ -661,8 +676,8 @@ def s2_list(spark, d):
 @register("s4_write_predictions", V.with_views("SELECT dialog_id::BIGINT AS dialog_id, utterance_id::BIGINT AS utterance_id, file, prediction, label, split FROM v3_predictions"))
 def s4(spark, d):
     base, p = _folder(spark, "predictions"), V.predictions(spark, d)
-    for part in (p.filter(F.col("split") == CLEAN), p.filter(F.col("split") != CLEAN)):  # appended one after the other
-        writers.write_predictions(part, base)
+    for batch, part in (("clean", p.filter(F.col("split") == CLEAN)), ("noisy", p.filter(F.col("split") != CLEAN)), ("clean", p.filter(F.col("split") == CLEAN))):  # one batch twice
+        writers.write_predictions(part, base, batch)
     return readers.read_predictions(spark, base)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tremolo.functions.parsing import basename
 from tremolo.operators.metadata import metadata_from_csv
@@ -80,7 +81,16 @@ def split_configs(paths: DataFrame, root: str, split: str, noisy: list[str] | No
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTIONS).parquet(path)
+    """The predictions of all batches."""
+    return spark.read.schema(PREDICTIONS).parquet(path).select(*PREDICTIONS.names)
+
+
+def read_outcomes(spark: SparkSession, path: str, carry: StructType) -> tuple[DataFrame, DataFrame]:
+    """(predictions, errors) that write_outcomes wrote; either reads its own folders only. carry: the columns beside."""
+    schema = StructType(carry.fields + [StructField(c, StringType()) for c in ("error", "traceback", "prediction", "outcome")])
+    rows = spark.read.schema(schema).parquet(path)
+    names = carry.names
+    return rows.filter("outcome = 'predicted'").select(*names, "prediction"), rows.filter("outcome = 'failed'").select(*names, "error", "traceback")
 
 
 def read_errors_csv(spark: SparkSession, new: list[str], old: list[str] = ()) -> DataFrame:

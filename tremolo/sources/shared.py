@@ -35,10 +35,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _at(spark, path)
+    return fs.exists(target)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    fs, target = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a file or folder by Spark's own file systems; False if it was not there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _at(spark, path)
+    return fs.delete(target, True)
 
 
 def sweep(spark: SparkSession) -> int:

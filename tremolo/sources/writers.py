@@ -1,14 +1,30 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tremolo.operators.predict import with_outcome
 from tremolo.schemas import ERRORS, METRICS, PREDICTIONS
 
 
-def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Append, in fixed columns, partitioned by condition (a "=" in it is escaped in the folder's name, and restored)."""
-    predictions.select(*PREDICTIONS.names).write.mode("append").partitionBy("split").parquet(path)
+def write_predictions(predictions: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add predictions to a table, in fixed columns, partitioned by condition (a "=" in it is escaped in the folder's name, and
+    restored). A batch is a folder of the table: written again under its name, it replaces what it wrote before, so that
+    a job that is run twice adds its rows once. Without a name each call adds a batch."""
+    predictions.select(*PREDICTIONS.names).write.mode("overwrite").partitionBy("split").parquet(f"{path}/batch={quote(batch or uuid.uuid4().hex, safe='')}")
+
+
+def write_outcomes(results: DataFrame, path: str, batch: str) -> dict[str, int]:
+    """Predictions and errors of a batch_predict in one write, a folder for either, so that the predictor runs once; and how
+    many rows were ok, failed, and all, counted on the way. A batch that is written again replaces what it wrote before."""
+    seen = Observation()
+    rows = with_outcome(results).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+    rows.write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/batch={quote(batch, safe='')}")
+    n = seen.get
+    return {"ok": n["total"] - n["failed"], "failed": n["failed"], "total": n["total"]}
 
 
 def write_errors(errors: DataFrame, path: str) -> None:
