@@ -177,6 +177,20 @@ def test_signals(spark):
     assert moved >= 3  # a swap may hit one place twice, and a short shuffle may be the identity
 
 
+def test_signals_with_null_samples_and_long_clips(spark):
+    df = spark.createDataFrame([(1, [0.5, None, 0.25, 0.125]), (2, None), (3, []), (4, [None])], "k long, s array<double>").coalesce(1)
+    got = {r.k: r for r in df.select("k", S.snr_white(F.col("s"), F.col("k"), 1).alias("w"), S.bitcrush(F.col("s"), 4).alias("b"), S.echo(F.col("s"), 10, 1).alias("e"), S.compress_silence(F.col("s"), 1, 3).alias("c"), S.jitter(F.col("s"), F.col("k"), 10, 5).alias("j")).collect()}
+    assert [v is None for v in got[1].w] == [False, True, False, False] and len(got[1].b) == 4 and len(set(got[1].b)) == 1
+    assert [v is None for v in got[1].e] == [False, True, True, False]  # 100 ms later
+    assert got[1].c == [0.0, 0.0, 0.5, 0.25] and sorted(got[1].j, key=str) == sorted([0.5, None, 0.25, 0.125], key=str)
+    assert list(got[2])[1:] == [None] * 5 and list(got[3])[1:] == [[]] * 5 and got[4].w == got[4].b == got[4].e == got[4].j == [None] and got[4].c == [0.0]
+    # 20,000 swaps of 100,000 segments: one by one they took the square of that
+    long = spark.range(2).select(F.col("id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda x: x.cast("double")).alias("s"))
+    moved = long.select(F.size("s").alias("n"), F.size(F.array_distinct(S.jitter(F.col("s"), F.col("k"), 10, 3))).alias("m"), (S.jitter(F.col("s"), F.col("k"), 10, 3) == F.col("s")).alias("same")).collect()
+    assert [(r.n, r.m, r.same) for r in moved] == [(200_000, 200_000, False)] * 2
+    assert S.swapped(5, 3, 20, False).tolist() != [0, 1, 2, 3, 4] or S.swapped(5, 4, 20, False).tolist() != [0, 1, 2, 3, 4]
+
+
 # ---- time series
 
 def test_runs_and_coverage(spark):

@@ -40,6 +40,13 @@ def draw(x: Column) -> Column:
     return square * square % PRIME * x % PRIME
 
 
+def draws_of(x: np.ndarray) -> np.ndarray:
+    """draw() of whole numbers."""
+    x = x % PRIME
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
 def row_hash(key: Column, method: str, seed: int) -> Column:
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(method), key.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
@@ -75,9 +82,7 @@ class Kernel:
 
     @staticmethod
     def draws(start: int, n: int) -> np.ndarray:
-        x = (np.arange(start, start + n, dtype=np.int64)) % PRIME
-        square = x * x % PRIME
-        return square * square % PRIME * x % PRIME
+        return draws_of(np.arange(start, start + n, dtype=np.int64))
 
     def __call__(self, text: str, h: int, rate: float) -> str:
         n = len(text)
