@@ -44,7 +44,8 @@ def test_paths_lists_conditions(spark):
     assert one(spark, ["/d/train/unmodified/dia1_utt2.mp4", "/a/b.c.mp4"], P.wav_path) == ["/d/train/unmodified/audio_only/dia1_utt2.wav", "/a/audio_only/b.c.wav"]
     assert one(spark, [" Text,video, text", None, " , ", "text,smell"], lambda c: P.normalize_modalities(c)[0]) == [["text", "video"], None, None, None]
     assert one(spark, [" Text,video", None, " , ", "text,smell"], lambda c: P.normalize_modalities(c)[1]) == [None, None, "nothing selected", "unknown: smell"]
-    assert one(spark, ["Train,VAL"], lambda c: P.normalize_splits(c)[0]) == [["train", "val"]]
+    assert one(spark, ["Train,VAL", "dev", "", None], lambda c: P.normalize_splits(c)[0]) == [["train", "val"], None, None, None]
+    assert one(spark, ["Train,VAL", "dev,x", "", None], lambda c: P.normalize_splits(c)[1]) == [None, "unknown: dev,x", "nothing selected", None]
     parts = P.parse_condition(F.lit("A=mp3_S=5/x"))
     assert tuple(spark.range(1).select(*parts.values()).first()) == ("A=mp3_S=5", "A", "mp3", 5)
     assert tuple(spark.range(1).select(*P.parse_condition(F.lit("unmodified")).values()).first()) == ("unmodified", None, None, None)
@@ -393,6 +394,17 @@ def test_merge(spark):
     assert [r.split for r in merge.merge_splits(spark, a, a, a).collect()] == list(merge.SPLIT_NAMES.values())
 
 
+def test_merge_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('dialog_id,prediction,extra\n1,"positive\nor so",5\n2,,x\n')
+    (tmp_path / "b.csv").write_text("label,dialog_id\nneutral,7\n")
+    got = readers.merge_csv(spark, [(f"{tmp_path}/a.csv", "A"), (f"{tmp_path}/b.csv", "B")], "run")
+    assert got.columns == ["dialog_id", "prediction", "extra", "run", "label"]
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "positive\nor so", "5", "A", None), (2, None, "x", "A", None), (7, None, None, "B", "neutral")]
+    assert readers.merge_csv(spark, []).count() == 0
+    with pytest.raises(FileNotFoundError, match="none.csv"):
+        readers.merge_csv(spark, [(f"{tmp_path}/a.csv", "A"), (f"{tmp_path}/none.csv", "B")])
+
+
 # ---- sources and sinks
 
 def test_csv_sources(spark, tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of ids in file names and of a reply in a transcript.
 STRICT = r"(?iU)\bdia(\d+)_utt(\d+)\b"
 LENIENT = r"(?iU)dia(\d+)_utt(\d+)"
 REPLY = r"(?iU)\bassistant\b\s*[:\-]?\s*([\s\S]+)$"

@@ -119,6 +119,15 @@ def m1(spark, d):
     return merge.merge_labeled(spark, [(large, "large"), (small, "small")])
 
 
+@register("m1_merge_files", V.with_views("SELECT dialog_id::BIGINT AS dialog_id, prediction, label, split, NULL AS file, 'large' AS source FROM v4_predictions_large UNION ALL SELECT dialog_id::BIGINT, prediction, label, split, file, 'small' FROM v3_predictions"))
+def m1_files(spark, d):
+    """The same from labelled CSV files."""
+    base = _folder(spark, "labelled")
+    V.predictions_large(spark, d).select("dialog_id", "prediction", "label", "split").write.option("header", True).csv(f"{base}/large")
+    V.predictions(spark, d).select("dialog_id", "prediction", "label", "split", "file").write.option("header", True).csv(f"{base}/small")
+    return readers.merge_csv(spark, [(f"{base}/large", "large"), (f"{base}/small", "small")])
+
+
 @register("m2_merge_splits", V.with_views("SELECT dialog_id, file, prediction, label, CASE dialog_id % 3 WHEN 0 THEN 'train_split' WHEN 1 THEN 'dev_splits_complete' ELSE 'output_repeated_splits_test' END AS split FROM v3_predictions"))
 def m2(spark, d):
     p = V.predictions(spark, d).select("dialog_id", "file", "prediction", "label", "split")
@@ -203,6 +212,18 @@ def p6(spark, d):
     return V.predictions(spark, d).select("dialog_id", F.array_join(chosen, ",").alias("modalities"), error.alias("error"))
 
 
+@register("p6_normalize_splits", V.with_views("""
+SELECT dialog_id, CASE WHEN bad = '' AND n > 0 THEN array_to_string(o, ',') END AS splits, CASE WHEN bad <> '' THEN 'unknown: ' || bad WHEN n = 0 THEN 'nothing selected' END AS error
+FROM (SELECT *, array_to_string(list_filter(o, lambda x: x NOT IN ('test', 'train', 'val')), ',') AS bad, len(o) AS n
+      FROM (SELECT dialog_id, list_sort(list_distinct(list_filter(list_transform(string_split(s, ','), lambda x: lower(trim(x))), lambda x: x <> ''))) AS o
+            FROM (SELECT dialog_id, CASE dialog_id % 4 WHEN 0 THEN ' Val,train ,VAL' WHEN 1 THEN ',' WHEN 2 THEN 'test, ' || split END AS s FROM v3_predictions)))"""))
+def p6_splits(spark, d):
+    k = F.col("dialog_id") % 4
+    options = F.when(k == 0, " Val,train ,VAL").when(k == 1, ",").when(k == 2, F.concat(F.lit("test, "), "split"))
+    chosen, error = P.normalize_splits(options)
+    return V.predictions(spark, d).select("dialog_id", F.array_join(chosen, ",").alias("splits"), error.alias("error"))
+
+
 @register("p7_build_request", V.with_views("""
 SELECT dialog_id, utterance_id, pos, role, type, text, video, audio FROM (
   SELECT dialog_id, utterance_id, _pos, 0 AS pos, 'system' AS role, 'text' AS type, NULL AS text, NULL AS video, NULL AS audio FROM v1_utterances

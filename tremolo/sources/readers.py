@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tremolo.functions.parsing import basename
+from tremolo.operators.merge import merge_labeled
 from tremolo.operators.metadata import metadata_from_csv
-from tremolo.schemas import CLEAN, ERRORS, METADATA, OLD_ERRORS, PREDICTIONS
+from tremolo.schemas import CLEAN, ERRORS, METADATA, METRICS, OLD_ERRORS, PREDICTIONS
 from tremolo.sources.media import MediaSource, reaches
 from tremolo.sources.records import read_records
+from tremolo.sources.shared import exists
 
 VIDEO = [".mp4", ".mkv", ".avi", ".mov", ".webm"]
 ROOTS = {"train": "train_splits", "val": "dev_splits_complete", "test": "output_repeated_splits_test"}
@@ -25,6 +27,26 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return read_records(spark, path, schema).drop("pos")
 
 
+def merge_csv(spark: SparkSession, files: list[tuple[str, str]], label: str = "source") -> DataFrame:
+    """CSV files (path, label) one after the other, by column names, each with its label as a constant column; columns that
+    a file lacks are null. The library's own columns have its types, others are text. No files give an empty table; a
+    file that is not there is an error that names it, before anything is read."""
+    for path, _ in files:
+        if not exists(spark, path):
+            raise FileNotFoundError(f"no such file: {path}")
+    kinds = {f.name: f.dataType for s in (METRICS, ERRORS, PREDICTIONS) for f in s.fields}
+    tables = []
+    for path, name in files:
+        header = header_of(spark, path)
+        tables.append((read_csv(spark, path, StructType([StructField(c, kinds.get(c, StringType())) for c in header.names])), name))
+    return merge_labeled(spark, tables, label)
+
+
+def header_of(spark: SparkSession, path: str) -> StructType:
+    """The columns that a CSV's header names, as text."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path).schema
+
+
 def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, ...] = ("Dialogue_ID", "Utterance_ID", "Utterance", "Sentiment")) -> DataFrame:
     """Metadata of several splits. A file that can't be read warns, and its split has no metadata; a file without a
     needed column is an error. Columns are found by the header; _pos is the row's place in its file (or its files, in the
@@ -32,7 +54,7 @@ def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, .
     parts = []
     for split, path in paths.items():
         try:
-            header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path).schema
+            header = header_of(spark, path)
         except AnalysisException as e:
             warnings.warn(f"no metadata for {split}: {str(e).splitlines()[0]}", stacklevel=2)
             continue
