@@ -179,7 +179,8 @@ def scan(docs: DataFrame, least: int = 10, min_chars: int = 1, batches: int = 4)
     found = join_unique(held, frequent, "h", "n", total, "th").groupBy("doc_id", "th").agg(F.collect_set("h").alias("found"))
     found = saved(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "found"), "found")
     packed = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__t"), whole_row(docs))
-    named = packed.join(found, packed["__doc"].eqNullSafe(found["__id"]) & (packed["__t"] == found["__th"]), "left")
+    # both sides are shuffled and sorted whatever their sizes: the plan is the same for few documents and for many
+    named = packed.join(found.hint("merge"), packed["__doc"].eqNullSafe(found["__id"]) & (packed["__t"] == found["__th"]), "left")
     return named.select("row", drop_found("row.text", "found").alias("lines"))
 
 
