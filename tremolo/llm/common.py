@@ -3,6 +3,7 @@ distributed running totals."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths that saved() wrote, by scope; settled() opens and closes one.
-SCOPES: list[list[str]] = []
+
+
+class Scopes(threading.local):
+    """Paths that saved() wrote in this thread, by scope; settled() opens and closes one."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+class Cleanup:
+    """The session's setting that a query's shuffle files go when it is done, while saved() writes; as before when the last
+    of several threads has written."""
+
+    def __init__(self):
+        self.lock, self.users, self.before = threading.Lock(), {}, {}
+
+    def begin(self, spark: SparkSession) -> None:
+        key = str(spark._jsparkSession.hashCode())
+        with self.lock:
+            if not self.users.get(key):
+                self.before[key] = spark.conf.get(CLEANUP, "false")
+                spark.conf.set(CLEANUP, "true")
+            self.users[key] = self.users.get(key, 0) + 1
+
+    def end(self, spark: SparkSession) -> None:
+        key = str(spark._jsparkSession.hashCode())
+        with self.lock:
+            self.users[key] -= 1
+            if not self.users[key]:
+                spark.conf.set(CLEANUP, self.before.pop(key))
+
+
+SCOPES, WRITES = Scopes(), Cleanup()
 
 
 def saved(df: DataFrame, name: str, compression: str = "zstd", by: str | None = None) -> DataFrame:
@@ -32,16 +64,15 @@ def saved(df: DataFrame, name: str, compression: str = "zstd", by: str | None =
     by: a column whose values are folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tremolo-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    WRITES.begin(spark)
     try:
         df.write.option("compression", compression).parquet(path, partitionBy=by)
     finally:
-        spark.conf.set(CLEANUP, before)
+        WRITES.end(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
-    if SCOPES:
-        SCOPES[-1].append(path)
+    if SCOPES.open:
+        SCOPES.open[-1].append(path)
     return out
 
 
@@ -60,16 +91,16 @@ def discard(*tables: DataFrame | None) -> None:
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """saved(make()); what make() saved on its way is deleted."""
-    SCOPES.append([])
+    SCOPES.open.append([])
     try:
         out = saved(make(), name)
     finally:
-        paths = SCOPES.pop()
+        paths = SCOPES.open.pop()
     for path in paths:
         if path != out.saved_path:
             delete(out.sparkSession, path)
-    if SCOPES:
-        SCOPES[-1].append(out.saved_path)
+    if SCOPES.open:
+        SCOPES.open[-1].append(out.saved_path)
     return out
 
 
