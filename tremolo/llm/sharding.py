@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import hash60, running_totals, saved, whole_row, width
+from tremolo.llm.common import hash60, join_unique, running_totals, saved, whole_row, width
 
 BITS = 60
 #: Bits of the hash over which prefixes are summed at once.
@@ -88,12 +88,13 @@ def assign(rows: DataFrame, found: DataFrame) -> DataFrame:
 def in_runs(hot: DataFrame, limit: int) -> DataFrame:
     """hot: rows of the directory's entries marked more, with h, doc_id and n_bytes. The rows of one hash are cut into
     runs by running totals, each a shard named by a suffix. Written, so that a row has one shard wherever it is read."""
-    most = hot.groupBy("h").agg(F.max("n_bytes").alias("most"))
+    most = saved(hot.groupBy("h").agg(F.max("n_bytes").alias("most"), F.count(F.lit(1)).alias("n")), "most")
+    total = most.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # rows that agree in id and size are told apart by their place, so that ranges can part them
     tied = hot.withColumn("tie", F.monotonically_increasing_id())
-    runs = running_totals(tied, [F.col("h"), F.col("doc_id"), F.col("n_bytes"), F.col("tie")], {"upto": "n_bytes"}, width(hot.sparkSession)).drop("tie")
+    runs = running_totals(tied, [F.col("h"), F.col("doc_id"), F.col("n_bytes"), F.col("tie")], {"upto": "n_bytes"}, width(hot.sparkSession))
     step = F.greatest(F.lit(1), F.when(2 * F.col("most") <= limit, limit - F.col("most")).otherwise(1))
-    runs = runs.join(F.broadcast(most), "h").withColumn("run", F.floor((F.col("upto") - F.col("n_bytes")) / step))
+    runs = join_unique(runs, most, "h", "n", total, "tie").drop("tie").withColumn("run", F.floor((F.col("upto") - F.col("n_bytes")) / step))
     return saved(runs.withColumn("shard_id", F.concat("shard_id", F.lit("-"), F.col("run").cast("string"))), "runs")
 
 
