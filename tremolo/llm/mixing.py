@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import WORD, running_totals, saved, whole_row, width
+from tremolo.llm.common import WORD, join_unique, running_totals, saved, whole_row, width
 
 
 def targets(totals: DataFrame, weights: Sequence[float], max_epochs: int, parts: int) -> DataFrame:
@@ -43,6 +43,10 @@ def targets(totals: DataFrame, weights: Sequence[float], max_epochs: int, parts:
     return filled.select("source", "n", "weight", "source_size", "source_start", "target", "epochs", (F.col("budget") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
+def rows_of(counted: DataFrame) -> int:
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 def mix(sized: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
     """sized: doc_id, source, size. Returns doc_id, source, size, source_size, target, epochs, taken.
 
@@ -60,12 +64,7 @@ def mix(sized: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), max_epochs
     keyed = sized.withColumn("key", F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
     placed = running_totals(keyed, order, {"upto": "size"}, parts)
-    # One row for each source. It is broadcast by Spark where its statistics are below the session's threshold; else
-    # the join is on (source, slice) with every source's row in each of the slices, so that a hot source is spread.
-    slices = max(1, parts)
-    placed = placed.withColumn("slice", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % slices)
-    spread = plan.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumnRenamed("source", "of")
-    out = placed.join(spread, F.col("source").eqNullSafe(F.col("of")) & (placed["slice"] == spread["slice"]))
+    out = join_unique(placed.withColumn("of", F.struct("source")), plan.withColumn("of", F.struct("source")).drop("source"), "of", "n", rows_of(plan), "key")
     room = F.col("rest") - (F.col("upto") - F.col("size") - F.col("source_start"))
     if whole:
         last = F.when((F.col("size") > 0) & (2 * room >= F.col("size")), F.col("size")).otherwise(0)
@@ -120,8 +119,8 @@ def _uneven(rows: DataFrame, taken: DataFrame, uneven: DataFrame) -> DataFrame:
         return out
     cut = kept.filter("lo < hi").select("src", "lo", "hi", "more", "row", F.lit(1).alias("one"), F.monotonically_increasing_id().alias("tie"))
     cut = saved(running_totals(cut, [F.col("src").asc_nulls_last(), F.col("tie")], {"place": "one"}, width(rows.sparkSession)), "placed")
-    start = cut.groupBy(F.col("src").alias("of")).agg(F.min("place").alias("start"))
-    cut = cut.join(F.broadcast(start), F.col("src").eqNullSafe(F.col("of")))
+    start = saved(cut.groupBy(F.struct("src").alias("of")).agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n")), "starts")
+    cut = join_unique(cut.withColumn("of", F.struct("src")), start, "of", "n", rows_of(start), "tie")
     return out.unionByName(cut.select("row", F.when(F.col("place") - F.col("start") < F.col("more"), F.col("hi")).otherwise(F.col("lo")).alias("times")))
 
 
