@@ -319,8 +319,7 @@ def identify(docs: DataFrame, train: DataFrame, rows: int = 96, passages: int =
     score is the share of normalised phrases that the best language saves against the second, 1 if it is the only one.
     Ties go to the first language by name. Rows stay as they are; whole texts are parsed."""
     udf = predictor(docs, train, rows, passages)
-    packed = docs.select("text", whole_row(docs))
-    return packed.select("row", udf("text").alias("lang_id"))
+    return docs.select(whole_row(docs)).select("row", udf("row.text").alias("lang_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
