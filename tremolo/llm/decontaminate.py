@@ -241,16 +241,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     written before the next block comes, and are put together by row."""
     spark = docs.sparkSession
     small_batches(spark)
-    packed = docs.select("text", whole_row(docs))
+    packed = docs.select(whole_row(docs))
     blocks = blocks_of(benchmark, block_bytes)
     block, after = next(blocks), next(blocks, None)
     if after is None:
-        return packed.select("row", scanner(spark.sparkContext.broadcast(block), window)("text").alias("scan"))
+        return packed.select("row", scanner(spark.sparkContext.broadcast(block), window)("row.text").alias("scan"))
     rows = saved(packed.withColumn("at", F.monotonically_increasing_id()), "rows")
     parts = None
     while block is not None:
         shared = spark.sparkContext.broadcast(block)
-        part = rows.select("at", scanner(shared, window)("text").alias("scan"))
+        part = rows.select("at", scanner(shared, window)("row.text").alias("scan"))
         kept = part.filter("scan.n_hit > 0") if parts is not None else part  # the first one also has the numbers of words
         kept = saved(kept, "hits")
         parts = kept if parts is None else parts.unionByName(kept)
