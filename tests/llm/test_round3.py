@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tremolo.llm import licenses, lines, ranked, toxicity, trie
+from tremolo.llm import licenses, lines, mixing, near, ranked, toxicity, trie
 
 # ---- the prefix trie
 
@@ -314,3 +314,62 @@ def test_toxicity_needs_both_labels(spark):
         got = toxicity.report(d, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()
         assert len(got) == 42 and len({x.score for x in got}) == 1
         assert got[0].score == share if share else got[0].score < 0.05 and not any(x.predicted for x in got)
+
+
+# ---- near-dedup without a risk
+
+
+def test_near_without_a_risk(spark):
+    """No sketch chooses candidates: all classes are searched, with the same result as by sketches."""
+    from test_operators import docs, near_brute, rows_of
+
+    d = docs(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.deduplicate(d, risk=0).collect()}
+    assert got == near_brute(rows_of(spark))
+
+
+# ---- mixing very many sources
+
+
+def test_mixing_of_very_many_sources(spark):
+    """100,000 sources beside a hot one and rows without a source: each row once, each source's words near its target."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 60_000, "hot").when(F.col("id") >= 100, F.concat(F.lit("s"), (F.col("id") % 100_000).cast("string"))).alias("source"), (F.col("id") % 7).alias("size"))
+    rows = rows.withColumn("source", F.when(F.col("doc_id") % 50_000 != 1, F.col("source")))
+    out = mixing.mix(rows).cache()
+    assert out.count() == out.select("doc_id").distinct().count() == 200_000
+    per = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size"), F.max("source_size").alias("source_size"))
+    bad = per.filter((F.abs(F.col("taken") - F.col("target")) > 1) | (F.col("size") != F.col("source_size")))
+    assert bad.count() == 0 and per.filter("source is null").count() == 1 and per.count() == 100_000
+    assert out.filter("taken > 3 * size").count() == 0
+    out.unpersist()
+
+
+# ---- two runs in one driver
+
+
+def test_two_threads_keep_their_own_tables(spark):
+    """Each thread's settled() deletes what it wrote itself, and the session's setting is as before."""
+    import threading
+
+    from tremolo.llm import common
+
+    before, both, results = spark.conf.get(common.CLEANUP, "false"), threading.Barrier(2), {}
+
+    def work(k):
+        def make():
+            first = common.saved(spark.range(k), "first")
+            both.wait(60)
+            second = common.saved(first.filter("id >= 0"), "second")
+            both.wait(60)
+            return second
+
+        results[k] = common.settled(make, "out").count()
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in (5, 9)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert results == {5: 5, 9: 9} and spark.conf.get(common.CLEANUP, "false") == before and not common.SCOPES.open

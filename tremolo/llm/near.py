@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tremolo.llm.common import PIECES, discard, join_unique, release, saved, small_batches, whole_row
 
 K = 64
-#: The chance that two classes at the threshold share fewer sketch values than is asked for.
+#: The chance, unless it is stated, that two classes at the threshold share fewer sketch values than is asked for.
 RISK = 1e-7
 WIDTH = 5
 #: Classes with one shingle in their prefixes, of one band of sizes, that meet in a task (with all others of the bands).
@@ -87,11 +87,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(acc)
 
 
-def share_of(percent: int, k: int = K) -> int:
+def share_of(percent: int, risk: float = RISK, k: int = K) -> int:
     """Sketch values that two classes share at the least. The union's k smallest values hold Binomial(k, J) common ones;
-    fewer than this many (28 for J = 0.75) come with a probability below RISK."""
+    fewer than this many (28 for J = 0.75 and a risk of 1e-7) come with a probability below the risk."""
     p, below, n = percent / 100, 0.0, 0
-    while n < k and below + math.comb(k, n) * p**n * (1 - p) ** (k - n) < RISK:
+    while n < k and below + math.comb(k, n) * p**n * (1 - p) ** (k - n) < risk:
         below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
         n += 1
     return max(1, n)
@@ -115,7 +115,7 @@ def sketches(width: int, k: int):
     return F.pandas_udf(run, SKETCH)
 
 
-def lists(classes: DataFrame, percent: int) -> DataFrame:
+def lists(classes: DataFrame, percent: int, risk: float) -> DataFrame:
     """value, id, n_shingles, weight: the inverted lists, each class in those of its rarest values only. weight is the
     length of a class's lists together: that of a text that many others are copies of is large."""
     values = classes.select("id", "n_shingles", F.size("sketch").alias("m"), F.explode("sketch").alias("value")).select("value", "id", "n_shingles", "m")
@@ -123,7 +123,8 @@ def lists(classes: DataFrame, percent: int) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0)).alias("n")).first()["n"]
     seen = join_unique(values, often, "value", "often", total, "id")
     # sketches are bounded, so is what is collected for a class; a small set needs its share of values in common
-    need = F.when(F.col("m") >= K, F.lit(share_of(percent))).otherwise(F.least(F.lit(share_of(percent)), F.ceil(F.col("m") * percent / 100).cast("int")))
+    share = share_of(percent, risk)
+    need = F.when(F.col("m") >= K, F.lit(share)).otherwise(F.least(F.lit(share), F.ceil(F.col("m") * percent / 100).cast("int")))
     own = seen.groupBy("id", "n_shingles", "m").agg(F.sort_array(F.collect_list(F.struct("often", "value"))).alias("v"), F.sum("often").alias("weight"))
     first = F.greatest(F.lit(0), F.col("m") - need + 1 - (F.col("m") - F.size("v")))
     own = own.withColumn("v", F.slice("v", F.lit(1), first)).select("id", "n_shingles", "weight", F.explode("v.value").alias("value"))
@@ -142,9 +143,10 @@ def in_several(todo: DataFrame, comp: DataFrame, total: int) -> DataFrame:
     return out
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b; a written table) that are similar enough: first by the sketches of their union, then by their
-    full sets. One class may be in very many pairs: its sketch and text are there for each piece of them."""
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, risk: float) -> DataFrame:
+    """The pairs (a, b; a written table) that are similar enough: first by the sketches of their union (unless there is to be
+    no risk), then by their full sets. One class may be in very many pairs: its sketch and text are there for each piece
+    of them."""
     total = pairs.count()
     ends = pairs.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("id")) for e in "ab"])).alias("x")).select("x.*")
     often = saved(ends.groupBy("end", "id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * PIECES > total), "often")
@@ -153,10 +155,12 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
         counts = often.filter(F.col("end") == end).select(F.col("id").alias(end), "n")
         return join_unique(rows, to.withColumnRenamed("id", end), end, "n", total, "b" if end == "a" else "a", counts=counts)
 
-    both = pairs
-    for end in "ab":
-        both = with_end(both, end, classes.select("id", F.col("sketch").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}")))
-    likely = saved(both.filter(estimate(percent)("sa", "sb", "na", "nb")).select("a", "b"), "likely")
+    likely = pairs
+    if risk:
+        both = pairs
+        for end in "ab":
+            both = with_end(both, end, classes.select("id", F.col("sketch").alias(f"s{end}"), F.col("n_shingles").alias(f"n{end}")))
+        likely = saved(both.filter(estimate(percent, risk)("sa", "sb", "na", "nb")).select("a", "b"), "likely")
     left = with_end(with_end(likely, "b", texts.withColumnRenamed("text", "tb")), "a", texts.withColumnRenamed("text", "ta"))
 
     def exact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -173,9 +177,9 @@ def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     return left.filter(F.pandas_udf(exact, T.BooleanType())("ta", "tb")).select("a", "b").distinct()
 
 
-def estimate(percent: int):
+def estimate(percent: int, risk: float):
     """Could the pair be similar? Of the k smallest values of the union, as many as chance asks for are in both."""
-    share = share_of(percent)
+    share = share_of(percent, risk)
 
     def run(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         out = []
@@ -261,13 +265,16 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
-    """id, comp for the classes that have a link."""
+def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds: int, risk: float) -> DataFrame:
+    """id, comp for the classes that have a link. Without a risk, all classes go to the exact search at once."""
     spark = docs.sparkSession
     comp = empty(spark, "id long, comp long")
-    first = lists(classes, percent)
-    todo = in_several(first, comp, first.count()).withColumn("led", F.lit(False))
-    discard(first)
+    if risk:
+        first = lists(classes, percent, risk)
+        todo = in_several(first, comp, first.count()).withColumn("led", F.lit(False))
+        discard(first)
+    else:
+        todo, rounds = classes.select("id", F.col("id").alias("comp")), 0
     total = todo.count()
     # the texts that a candidate can have, written once
     ids = classes.select("set_id", "id").join(todo.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"))
@@ -290,7 +297,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
             pairs, other = residual(todo, texts, width, percent), F.col("id2")
         pairs = pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
-        links = saved(confirm(pairs, classes, texts, width, percent), "links")
+        links = saved(confirm(pairs, classes, texts, width, percent, risk), "links")
         tried = tried.unionByName(pairs)
         if links.isEmpty():
             continue
@@ -302,9 +309,12 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
     return comp
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds: int = 2, risk: float = RISK) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
+    risk: the chance that the sketches miss a pair at the threshold; 0 means that they choose no candidates, and all classes
+    are searched exactly, which takes longer.
+
     Words are runs of non-space characters, A-Z lower-cased. A text without words (or null) has no shingles and links
     with nothing; so does a row without an id, which is kept. Rows that repeat an id with one text are alike; if their
     texts differ, the id links what any of them links. Equality at the threshold links (in whole numbers). An empty
@@ -317,7 +327,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, percent: int = 75, rounds:
     sets = saved(real.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "sets")
     classes = real.join(sets.select("set_id", F.col("id").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
     classes = saved(classes.dropDuplicates(["set_id"]).select("set_id", F.col("doc_id").alias("id"), "n_shingles", "sketch"), "classes")
-    comp = link(docs, classes, width, percent, rounds)
+    comp = link(docs, classes, width, percent, rounds, risk)
     named = sets.join(comp, "id", "left").select("set_id", "copies", F.coalesce("comp", "id").alias("component_id"))
     slim = rows.select("doc_id", "n_shingles", "set_id")
     alone = slim.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
