@@ -24,7 +24,7 @@ META_CSV = {"train": "train_sent_emo.csv", "val": "dev_sent_emo.csv", "test": "t
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """A CSV with a header and quoted fields, which may go over lines; a large file is read by many tasks."""
-    return read_records(spark, path, schema).drop("pos")
+    return read_records(spark, {"": path}, schema).drop("_tag", "_pos")
 
 
 def merge_csv(spark: SparkSession, files: list[tuple[str, str]], label: str = "source") -> DataFrame:
@@ -51,7 +51,7 @@ def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, .
     """Metadata of several splits. A file that can't be read warns, and its split has no metadata; a file without a
     needed column is an error. Columns are found by the header; _pos is the row's place in its file (or its files, in the
     order of their names)."""
-    parts = []
+    alike: dict[tuple[str, ...], dict[str, str]] = {}
     for split, path in paths.items():
         try:
             header = header_of(spark, path)
@@ -61,11 +61,13 @@ def read_metadata(spark: SparkSession, paths: dict[str, str], need: tuple[str, .
         missing = [c for c in need if c not in header.names]
         if missing:
             raise ValueError(f"{path} lacks the columns {missing}")
-        rows = read_records(spark, path, header).select(F.lit(split).alias("split"), *need, F.col("pos").alias("_pos"))
-        parts.append(metadata_from_csv(rows))
-    if not parts:
+        alike.setdefault(tuple(header.names), {})[split] = path
+    if not alike:
         return spark.createDataFrame([], METADATA)
-    return reduce(DataFrame.unionByName, parts)
+    # files of one header are read together
+    schemas = {names: StructType([StructField(c, StringType()) for c in names]) for names in alike}
+    parts = [read_records(spark, files, schemas[names]).select(F.col("_tag").alias("split"), *need, "_pos") for names, files in alike.items()]
+    return metadata_from_csv(reduce(DataFrame.unionByName, parts))
 
 
 def with_suffix(files: DataFrame, suffixes: list[str] = VIDEO) -> DataFrame:
@@ -117,7 +119,8 @@ def read_outcomes(spark: SparkSession, path: str, carry: StructType) -> tuple[Da
 
 def read_errors_csv(spark: SparkSession, new: list[str], old: list[str] = ()) -> DataFrame:
     """Error files of both layouts; the older one has no traceback."""
-    parts = [read_csv(spark, p, ERRORS) for p in new] + [read_csv(spark, p, OLD_ERRORS) for p in old]
+    layouts = [({str(i): p for i, p in enumerate(files)}, schema) for files, schema in ((new, ERRORS), (old, OLD_ERRORS)) if files]
+    parts = [read_records(spark, files, schema).drop("_tag", "_pos") for files, schema in layouts]
     if not parts:
         return spark.createDataFrame([], ERRORS)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
