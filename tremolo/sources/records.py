@@ -127,8 +127,8 @@ def csv_records(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     text = [spark.read.option("lineSep", "\n").text(path).select(F.lit(tag).alias("tag"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value") for tag, path in paths.items()]
     lines = reduce(DataFrame.unionByName, text)
     splits = lines.mapInArrow(summed, "tag string, file string, block long, out boolean, in boolean, n_out long, n_in long, crlf boolean")
-    # one row for each split, in order
-    splits = bit_before(splits, ["tag", "file"], ["block"]).withColumn("n", F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out")))
+    # one row for each split; those of a tag are put in order in one task, with no further shuffle
+    splits = bit_before(splits.repartition("tag"), ["tag", "file"], ["block"]).withColumn("n", F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out")))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     file, tag = Window.partitionBy("tag", "file").orderBy("block"), Window.partitionBy("tag").orderBy("file", "block")
     place = earlier(tag) - F.dense_rank().over(Window.partitionBy("tag").orderBy("file"))
