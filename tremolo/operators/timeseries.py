@@ -46,15 +46,16 @@ def silence_runs(df: DataFrame, key: str, below: float, least_us: int, readings:
     """key, start_us, end_us, seconds of maximal runs of readings below a value. A run ends at the next loud reading, or
     at the series' last one; runs shorter than least_us are left out."""
     w = Window.partitionBy(key, "slice").orderBy("us", "value")
-    r = in_ranges(df, key, readings).withColumn("quiet", F.coalesce(F.col("value") < below, F.lit(False)))
+    cut = in_ranges(df, key, readings)
+    r = cut.withColumn("quiet", F.coalesce(F.col("value") < below, F.lit(False)))
     r = r.withColumns({"turn": (F.col("quiet") != F.lag("quiet").over(w)).cast("int"), "until": F.lead("us").over(w)})
     r = r.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(w))
     runs = r.groupBy(key, "slice", "run", "quiet").agg(F.min("us").alias("start_us"), F.max("us").alias("last_us"), F.max("until").alias("until"), F.max(F.col("until").isNull()).alias("at_end"))
+    runs = written(runs.filter("quiet"), "runs")  # once: both those at edges and the others are taken from it
     # one row for each range tells what goes on before and behind it
-    slices = runs.groupBy(key, "slice").agg(F.min("start_us").alias("first_us"))
+    slices = cut.groupBy(key, "slice").agg(F.min("us").alias("first_us"))
     along = Window.partitionBy(key).orderBy("slice")
     slices = slices.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.lag("slice").over(along).alias("slice_before"), F.lead("first_us").over(along).alias("next_us"))
-    runs = runs.filter("quiet")
     runs = runs.join(slices, runs[key].eqNullSafe(slices["_key"]) & runs["slice"].eqNullSafe(slices["_slice"])).drop("_key", "_slice")
     end = F.when(F.col("at_end"), F.coalesce("next_us", "last_us")).otherwise(F.col("until"))
     runs = runs.withColumn("end_us", end).withColumn("edge", (F.col("run") == 0) | F.col("at_end"))
