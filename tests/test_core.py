@@ -538,7 +538,7 @@ def test_stream_equals_batch_after_restarts(spark, tmp_path):
         confusion.stream_confusion(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", files_per_trigger=3)
     got = confusion.read_running(spark, f"{tmp_path}/out")
     assert sorted(map(str, got.collect())) == sorted(map(str, evaluate.confusion_metrics(p).collect()))
-    assert len(confusion.batches_in(spark, f"{tmp_path}/out")) == 1 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    assert len(confusion.batches_in(spark, f"{tmp_path}/out")) == 2 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
 
 
 @pytest.mark.parametrize("at", ["before the write", "while it is written", "after the write"])

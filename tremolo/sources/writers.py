@@ -13,7 +13,8 @@ from tremolo.schemas import ERRORS, METRICS, PREDICTIONS
 def write_predictions(predictions: DataFrame, path: str, batch: str | None = None) -> None:
     """Add predictions to a table, in fixed columns, partitioned by condition (a "=" in it is escaped in the folder's name, and
     restored). A batch is a folder of the table: written again under its name, it replaces what it wrote before, so that
-    a job that is run twice adds its rows once. Without a name each call adds a batch."""
+    a job that is run twice adds its rows once. Without a name each call adds a batch. (A table of folders for conditions
+    alone, without batches, must be read and written anew.)"""
     predictions.select(*PREDICTIONS.names).write.mode("overwrite").partitionBy("split").parquet(f"{path}/batch={quote(batch or uuid.uuid4().hex, safe='')}")
 
 

@@ -38,17 +38,16 @@ def stream_confusion(spark: SparkSession, source: str, target: str, checkpoint:
 
 
 def publish(metrics: DataFrame, target: str, batch: int) -> None:
-    """Write a batch's metrics to a folder of its own, and then delete those of earlier batches: a crash at any point leaves
-    one complete folder at least. A batch that comes again after it was completed is run for its state, but not written
-    again."""
+    """Write a batch's metrics to a folder of its own, and then delete those of earlier batches but the last before, which a
+    reader may just be reading: a crash at any point leaves one complete folder at least. A batch that comes again after
+    it was completed is run for its state, but not written again."""
     spark, path = metrics.sparkSession, f"{target}/batch={batch}"
     if exists(spark, f"{path}/_SUCCESS"):
         metrics.write.format("noop").mode("overwrite").save()
     else:
         metrics.write.mode("overwrite").parquet(path)
-    for old in batches_in(spark, target):
-        if old < batch:
-            remove(spark, f"{target}/batch={old}")
+    for old in [b for b in batches_in(spark, target) if b < batch][:-1]:
+        remove(spark, f"{target}/batch={old}")
 
 
 def batches_in(spark: SparkSession, target: str) -> list[int]:
