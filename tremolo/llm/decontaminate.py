@@ -23,6 +23,7 @@ from tremolo.llm.common import BUILT, saved, small_batches, whole_row
 #: Letters A-Z become small; ASCII that is neither letter nor digit becomes a space; all bytes from 0x80 belong to words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SCAN = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.BinaryType())])
+CUT = T.StructType([*SCAN.fields, T.StructField("clean", T.StringType())])
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -178,8 +179,10 @@ def automaton_of(block, window: int) -> Automaton:
     return BUILT[name, window]
 
 
-def scanner(block, window: int):
-    """block: a broadcast of (name, [(item, words)])."""
+def scanner(block, window: int, cut: bool = False):
+    """block: a broadcast of (name, [(item, words)]). cut: the text without its hit words comes too, if it has any.
+    Then it is not deterministic for the optimizer, or a filter on what it finds goes below what else is made of it, and
+    each text is scanned twice, by two workers for a task."""
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = automaton_of(block, window)
@@ -189,12 +192,14 @@ def scanner(block, window: int):
                 words = words_of(text)
                 hit, found = auto.scan(words)
                 if hit is None:
-                    rows.append((len(words), 0, [], None))
+                    rows.append((len(words), 0, [], None, None))
                 else:
-                    rows.append((len(words), int(hit.sum()), sorted(found), np.packbits(hit).tobytes()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hits"])
+                    rows.append((len(words), int(hit.sum()), sorted(found), np.packbits(hit).tobytes(), clean(text, hit) if cut else None))
+            yield pd.DataFrame(rows, columns=CUT.names)[kind.names]
 
-    return F.pandas_udf(scan, SCAN)
+    kind = CUT if cut else SCAN
+    udf = F.pandas_udf(scan, kind)
+    return udf.asNondeterministic() if cut else udf
 
 
 @F.pandas_udf(SCAN)
@@ -229,8 +234,9 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[str, lis
     yield named()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs with a column `scan`: struct n_words, n_hit, items (sorted as strings), hits (a bit for each word).
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, cut: bool = False) -> DataFrame:
+    """docs with a column `scan`: struct n_words, n_hit, items (sorted as strings), hits (a bit for each word); with
+    `cut`, also clean, the text without its hit words (null if there are none).
 
     Texts and items are lower-cased A-Z and split into words of letters, digits and non-ASCII. A word is hit if it is
     in any occurrence of a window of an item; an item of fewer words is one window. Null and empty texts have no
@@ -245,7 +251,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     blocks = blocks_of(benchmark, block_bytes)
     block, after = next(blocks), next(blocks, None)
     if after is None:
-        return packed.select("row", scanner(spark.sparkContext.broadcast(block), window)("row.text").alias("scan"))
+        return packed.select("row", scanner(spark.sparkContext.broadcast(block), window, cut)("row.text").alias("scan"))
     rows = saved(packed.withColumn("at", F.monotonically_increasing_id()), "rows")
     parts = None
     while block is not None:
@@ -259,7 +265,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     hits = parts.filter("scan.n_hit > 0").groupBy("at").agg(F.collect_list("scan").alias("scans")).select("at", merged("scans").alias("all"))
     none = parts.filter("scan.n_hit = 0").select("at", "scan")
     whole = none.join(hits, "at", "full").select("at", F.coalesce("all", "scan").alias("scan"))
-    return rows.join(whole, "at").select("row", "scan")
+    out = rows.join(whole, "at").select("row", "scan")
+    text = F.when(F.col("scan.n_hit") > 0, cleaned("row.text", "scan.hits", "scan.n_words"))
+    return out.withColumn("scan", F.col("scan").withField("clean", text)) if cut else out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -269,11 +277,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     return out.select("row.doc_id", "scan.n_words", "scan.n_hit", F.size("scan.items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("scan.n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """docs without contamination: hit words are cut out of the text (n_chars, where there is one, follows), and a
     document of which over `most` of the words are hit goes. Clean documents stay as they are."""
-    out = scan(docs, benchmark, window).filter(F.col("scan.n_hit") <= most * F.col("scan.n_words"))
-    out = out.select("row", "scan", F.when(F.col("scan.n_hit") > 0, cleaned("row.text", "scan.hits", "scan.n_words")).otherwise(F.col("row.text")).alias("new"))
+    out = scan(docs, benchmark, window, block_bytes, cut=True).filter(F.col("scan.n_hit") <= most * F.col("scan.n_words"))
+    out = out.select("row", "scan", F.when(F.col("scan.n_hit") > 0, F.col("scan.clean")).otherwise(F.col("row.text")).alias("new"))
     fields = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in fields:
         fields["n_chars"] = F.when(F.col("scan.n_hit") > 0, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])

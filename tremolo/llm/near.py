@@ -235,7 +235,8 @@ def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     def whole(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t, width).view(np.int64))
 
-    each = F.pandas_udf(whole, T.ArrayType(T.LongType()))
+    # not deterministic for the optimizer, or it runs twice: below the join too, on all texts, to drop empty sets
+    each = F.pandas_udf(whole, T.ArrayType(T.LongType())).asNondeterministic()
     sets = body.select("id", "comp", each("text").alias("s")).select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("token"))
     often = saved(sets.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
     total = often.agg(F.coalesce(F.sum("often"), F.lit(0)).alias("n")).first()["n"]
@@ -261,14 +262,15 @@ def residual(todo: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return x.join(y, ["token", "band", "slot"]).filter(on).select("id", "id2")
 
 
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def empty(spark: SparkSession, *names: str) -> DataFrame:
+    """No rows, of bigint columns. (Rows of the driver's, even none, would come through Python workers of their own.)"""
+    return spark.range(0).select(*[F.lit(None).cast("bigint").alias(n) for n in names])
 
 
 def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds: int, risk: float) -> DataFrame:
     """id, comp for the classes that have a link. Without a risk, all classes go to the exact search at once."""
     spark = docs.sparkSession
-    comp = empty(spark, "id long, comp long")
+    comp = empty(spark, "id", "comp")
     if risk:
         first = lists(classes, percent, risk)
         todo = in_several(first, comp, first.count()).withColumn("led", F.lit(False))
@@ -280,7 +282,7 @@ def link(docs: DataFrame, classes: DataFrame, width: int, percent: int, rounds:
     ids = classes.select("set_id", "id").join(todo.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"))
     several = docs.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])  # an id may repeat, with other texts
     texts = saved(several.select(F.col("doc_id").alias("id"), "text"), "texts")
-    tried = empty(spark, "a long, b long")
+    tried = empty(spark, "a", "b")
     fits = (F.col("n_shingles") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n_shingles"))
     for r in range(rounds + 1):
         if not total:
