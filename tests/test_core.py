@@ -1,5 +1,6 @@
 """Edge cases of the robustness operators, with golden rows, and properties of the noise."""
 
+import math
 import random
 
 import pytest
@@ -192,6 +193,26 @@ def test_signals_with_null_samples_and_long_clips(spark):
     assert S.swapped(5, 3, 20, False).tolist() != [0, 1, 2, 3, 4] or S.swapped(5, 4, 20, False).tolist() != [0, 1, 2, 3, 4]
 
 
+def test_bitcrush_levels_are_those_of_sql_close_to_saturation(spark, tmp_path):
+    import duckdb
+
+    from tremolo import queries
+
+    r = random.Random(2)
+    clips = [(k, [r.choice((-1, 1)) * r.uniform(0.0034, 0.0056) for _ in range(1000)], 0) for k in range(20)]  # a tanh of 13.7 to 22.5 at severity 4
+    spark.createDataFrame(clips, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("g2_bitcrush", "g2_bitcrush_mild"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.sql(f"SELECT clip_id, n, samples FROM ({queries.SQL[name]})").fetchall())
+    df = spark.createDataFrame([(k, [x * f for x in s for f in (1, 0.125, 0.01)]) for k, s, _ in clips[:3]], "k long, s array<double>")
+    for sev in range(1, 6):
+        drive, steps, hold = S.DRIVE[sev - 1] * 10 ** (S.PREGAIN_DB[sev - 1] / 20), 2.0 ** (S.BITS[sev - 1] - 1), S.HOLD[sev - 1]
+        for x in df.select("s", S.bitcrush(F.col("s"), sev).alias("b")).collect():
+            assert x.b == [math.floor(0.5 * math.tanh(drive * x.s[i - i % hold]) * steps + 0.5) / steps for i in range(len(x.s))]
+
+
 # ---- time series
 
 def test_runs_and_coverage(spark):
